@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import op5_line_dedup, op8_packing
+from . import op5_line_dedup, op8_packing, op10_toxicity
 
 QUERIES = {
     "op5_line_dedup": (op5_line_dedup.query, op5_line_dedup.ORACLE),
     "op8_best_fit_packing": (op8_packing.query, None),
+    "op10_toxicity": (op10_toxicity.query, None),
 }
 
 
