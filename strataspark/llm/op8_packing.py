@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -21,35 +22,66 @@ from pyspark.sql import functions as F
 
 from .common import read, text_of
 
-GROUP, CACHE, ROUNDS = 8192, 400_000, 4
+GROUP, CACHE, ROUNDS = 8192, 800_000, 4
+DONORS = 4
+TAIL = ".,!?;:$%&#*"
 PIECES = "piece int, start long, length long, ids_crc32 long"
 
 
 class Encoder:
-    """Word-by-word use of a tokenizer whose pre-tokenizer never crosses a space, with a bounded cache."""
+    """Word-by-word use of a tokenizer whose pre-tokenizer never crosses a space, with a bounded cache.
+
+    Signs in TAIL at a word's end, after a letter or number, are always tokens apart from it, so they are
+    cut off, and the rest is encoded once however it was punctuated."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
 
+    def _encode(self, words: list[str]) -> dict[str, bytes]:
+        return {w: np.asarray(code.ids, "<u4").tobytes() for w, code in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True)}
+
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
         words = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        if len(self.known) > CACHE:
-            self.known = {}
-        new = list(set().union(*words).difference(self.known))
-        for word, code in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[word] = np.asarray(code.ids, "<u4").tobytes()
+        known = self.known
+        new = set().union(*words).difference(known)
+        cores = {w: core if (core := w.rstrip(TAIL))[-1:].isalnum() else w for w in new}
+        fresh = self._encode(list({x for w, core in cores.items() for x in (core, w[len(core) :]) if x not in known}))
+        for w, core in cores.items():
+            fresh[w] = (known.get(core) if core in known else fresh[core]) + (known.get(w[len(core) :]) if w[len(core) :] in known else fresh[w[len(core) :]])
+        if len(known) + len(fresh) <= CACHE:  # the words met first are the frequent ones
+            known.update(fresh)
+            fresh = known
+        else:
+            fresh = known | fresh if len(known) < len(fresh) else _Over(fresh, known)
         for w in words:
-            yield b"".join(map(self.known.__getitem__, w))
+            yield b"".join(map(fresh.__getitem__, w))
+
+
+class _Over(dict):
+    """A dict with a larger one behind it."""
+
+    def __init__(self, own: dict, behind: dict):
+        super().__init__(own)
+        self.behind = behind
+
+    def __missing__(self, key):
+        return self.behind[key]
+
+
+@cache
+def encoder(path: str) -> Encoder:
+    """One for each Python worker, for all its tasks."""
+    return Encoder(path)
 
 
 def _pieces(path: str, capacity: int, end_id: int, groups: int, with_ids: bool):
     end = np.asarray([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, k = Encoder(path), TaskContext.get().partitionId() * 7919
+        encode, k = encoder(path), TaskContext.get().partitionId() * 7919
         for batch in batches:
             texts, ids = batch.column("text").to_pylist(), batch.column("doc_id")
             for at in range(0, len(texts), 256):
@@ -92,23 +124,26 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
 def improve(bins: list[list[int]], lengths: list[int], capacity: int, rounds: int = ROUNDS) -> list[list[int]]:
     """Swaps documents between underfull bins while that raises the sum of squared fills; drops emptied bins.
 
+    It works on the emptiest bins, DONORS for each bin over the number that the total needs, and ends when that is reached.
     A step always goes from an emptier bin to a fuller one, so the sum rises and the search ends."""
     fill = [sum(lengths[i] for i in b) for b in bins]
+    least = -(-sum(fill) // capacity)  # fewer bins can't hold all
+    alive = len(bins)
     for _ in range(rounds):
         changed = False
         open_ = sorted((b for b in range(len(bins)) if 0 < fill[b] < capacity), key=lambda b: fill[b])
-        for at, b in enumerate(open_):
+        for at, b in enumerate(open_[: DONORS * max(0, alive - least)]):
             for a in reversed(open_[at + 1 :]):
-                if fill[a] < fill[b] or not bins[b]:
-                    continue
-                step = _step(bins[b], bins[a], lengths, capacity - fill[a])
-                if step:
+                if alive == least or not bins[b]:
+                    break
+                if fill[a] >= fill[b] and (step := _step(bins[b], bins[a], lengths, capacity - fill[a])):
                     out, back = step
                     bins[b] = [i for i in bins[b] if i not in out] + back
                     bins[a] = [i for i in bins[a] if i not in back] + list(out)
                     gain = sum(lengths[i] for i in out) - sum(lengths[i] for i in back)
                     fill[a], fill[b], changed = fill[a] + gain, fill[b] - gain, True
-        if not changed:
+                    alive -= not bins[b]
+        if not changed or alive == least:
             break
     return [b for b in bins if b]
 
