@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from . import op5_line_dedup, op8_packing, op10_toxicity
+import corpus_pipeline
+
+from . import op3_mixing, op5_line_dedup, op7_ngram_join, op8_packing, op10_toxicity
 
 QUERIES = {
+    "op3_source_mixing": (op3_mixing.query, None),
     "op5_line_dedup": (op5_line_dedup.query, op5_line_dedup.ORACLE),
+    "op7_ngram_join": (op7_ngram_join.query, None),
     "op8_best_fit_packing": (op8_packing.query, None),
     "op10_toxicity": (op10_toxicity.query, None),
+    "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
 
 
