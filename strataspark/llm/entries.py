@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import op3_mixing, op5_line_dedup, op7_ngram_join, op8_packing, op10_toxicity
+from . import op1_projected_ann, op2_topk, op3_mixing, op5_line_dedup, op7_ngram_join, op8_packing, op10_toxicity
 
 QUERIES = {
+    "op1_projected_ann": (op1_projected_ann.query, None),
+    "op2_norm_bucketed_topk": (op2_topk.query, op2_topk.ORACLE),
     "op3_source_mixing": (op3_mixing.query, None),
     "op5_line_dedup": (op5_line_dedup.query, op5_line_dedup.ORACLE),
     "op7_ngram_join": (op7_ngram_join.query, None),
