@@ -12,6 +12,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from struct import pack
 
 import numpy as np
 import pandas as pd
@@ -28,34 +29,53 @@ TAIL = ".,!?;:$%&#*"
 PIECES = "piece int, start long, length long, ids_crc32 long"
 
 
+#: The visible character that byte-level BPE writes for each byte.
+_BYTES = {b: c for b, c in zip([*range(33, 127), *range(161, 173), *range(174, 256)], [*range(33, 127), *range(161, 173), *range(174, 256)], strict=True)}
+_BYTES |= {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in _BYTES)}
+
+
 class Encoder:
-    """Word-by-word use of a tokenizer whose pre-tokenizer never crosses a space, with a bounded cache.
+    """Word-by-word use of a byte-level BPE tokenizer whose pre-tokenizer never crosses a space, with a bounded cache.
 
     Signs in TAIL at a word's end, after a letter or number, are always tokens apart from it, so they are
-    cut off, and the rest is encoded once however it was punctuated."""
+    cut off, and the rest is encoded once however it was punctuated. A rest of Latin letters alone, which has no other
+    normal form, is one piece for the pre-tokenizer: it goes to the model at once, lower-cased."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.whole, self.known = Tokenizer.from_file(path), {}
+        self.model = Tokenizer(self.whole.model)
 
     def _encode(self, words: list[str]) -> dict[str, bytes]:
-        return {w: np.asarray(code.ids, "<u4").tobytes() for w, code in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True)}
+        letters, rest = [], []
+        for w in words:
+            (letters if w.isalpha() and (w.isascii() or max(w) < "\u0250" and w.lower().isalpha()) else rest).append(w)
+        low = [w.lower() for w in letters]
+        once = list(set(low))
+        seen = [w if w.isascii() else w.encode().decode("latin-1").translate(_BYTES) for w in once]
+        ids = dict(zip(once, (pack(f"<{len(x)}I", *x) for x in (c.ids for c in self.model.encode_batch_fast(seen, add_special_tokens=False))), strict=True))
+        out = dict(zip(letters, map(ids.__getitem__, low), strict=True))
+        for w, c in zip(rest, self.whole.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            out[w] = pack(f"<{len(x := c.ids)}I", *x)
+        return out
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
         words = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         known = self.known
         new = set().union(*words).difference(known)
-        cores = {w: core if (core := w.rstrip(TAIL))[-1:].isalnum() else w for w in new}
-        fresh = self._encode(list({x for w, core in cores.items() for x in (core, w[len(core) :]) if x not in known}))
-        for w, core in cores.items():
-            fresh[w] = (known.get(core) if core in known else fresh[core]) + (known.get(w[len(core) :]) if w[len(core) :] in known else fresh[w[len(core) :]])
+        parts = {w: (core, w[len(core) :]) for w in new if (core := w.rstrip(TAIL)) != w and core[-1:].isalnum()}
+        need = new.difference(parts)
+        need.update(x for pair in parts.values() for x in pair)
+        fresh = self._encode(list(need.difference(known)))
+        for w, (core, tail) in parts.items():
+            fresh[w] = (fresh.get(core) or known[core]) + (fresh.get(tail) or known[tail])
         if len(known) + len(fresh) <= CACHE:  # the words met first are the frequent ones
             known.update(fresh)
             fresh = known
         else:
-            fresh = known | fresh if len(known) < len(fresh) else _Over(fresh, known)
+            fresh = _Over(fresh, known)
         for w in words:
             yield b"".join(map(fresh.__getitem__, w))
 
@@ -91,7 +111,7 @@ def _pieces(path: str, capacity: int, end_id: int, groups: int, with_ids: bool):
                     for piece, b in enumerate(range(0, len(code), 4 * capacity)):
                         part = code[b : b + 4 * capacity]
                         row.append(i)
-                        for c, v in zip(out, (piece, b // 4, len(part) // 4, zlib.crc32(part), k % groups, np.frombuffer(part, "<u4").astype("i4")), strict=False):
+                        for c, v in zip(out, (piece, b // 4, len(part) // 4, zlib.crc32(part), k % groups, np.frombuffer(part, "<u4").astype("i4") if with_ids else None), strict=False):
                             out[c].append(v)
                     k += 1
                 types = {"piece": pa.int32(), "_group": pa.int32(), "ids": pa.list_(pa.int32())}
@@ -167,7 +187,7 @@ def _step(giver: list[int], taker: list[int], lengths: list[int], free: int) ->
 
 
 def _packer(capacity: int):
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+    def place_all(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "piece", "ids_crc32"], kind="stable").reset_index(drop=True)
         lengths = pdf["length"].tolist()
         seq, off = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64)
@@ -179,7 +199,7 @@ def _packer(capacity: int):
                 place += lengths[i]
         return pdf.drop(columns="_group").assign(sequence_id=seq, offset=off)
 
-    return pack
+    return place_all
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, with_ids: bool = False) -> DataFrame:
