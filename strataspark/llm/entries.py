@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import op1_projected_ann, op2_topk, op3_mixing, op5_line_dedup, op7_ngram_join, op8_packing, op10_toxicity
+from . import op1_projected_ann, op2_topk, op3_mixing, op4_url_filter, op5_line_dedup, op6_license, op7_ngram_join, op8_packing, op9_secrets, op10_toxicity
 
 QUERIES = {
     "op1_projected_ann": (op1_projected_ann.query, None),
     "op2_norm_bucketed_topk": (op2_topk.query, op2_topk.ORACLE),
     "op3_source_mixing": (op3_mixing.query, None),
+    "op4_url_filter": (op4_url_filter.query, None),
     "op5_line_dedup": (op5_line_dedup.query, op5_line_dedup.ORACLE),
+    "op6_license_scan": (op6_license.query, None),
     "op7_ngram_join": (op7_ngram_join.query, None),
     "op8_best_fit_packing": (op8_packing.query, None),
+    "op9_secret_scan": (op9_secrets.query, None),
     "op10_toxicity": (op10_toxicity.query, None),
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
