@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from strataspark.plans import rasters, spatial, tables  # noqa: F401
+from strataspark.plans.registry import QUERIES, Query
 
-from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def queries() -> dict[str, Query]:
     return {name: q for name, (q, _) in QUERIES.items()}
 
 
