@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataspark.checkpoints import cut  # noqa: F401
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Stands for a null id inside an operator: smaller than any other.
 NULL_ID = -(2**63)
@@ -16,19 +16,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint in the folder that all executors share.
-
-    The folder is the session's spark.checkpoint.dir. Where that is unset, a local master gets a
-    temporary folder (tests), a cluster a folder beside its warehouse."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and sc.master.startswith("local") and "cluster" not in sc.master:
-            folder = tempfile.mkdtemp(prefix="checkpoints-")
-        sc.setCheckpointDir(folder or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
-    return df.checkpoint()
+def small_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Sends texts to Python in batches of at most so many rows: with the usual 10,000, a batch of long texts takes hundreds of MB."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, rows)
 
 
 def text_of(df: DataFrame, col: str = "text") -> Column:

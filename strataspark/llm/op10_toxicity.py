@@ -24,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import read, text_of
+from .common import read, small_batches, text_of
 
-MAX_LABELLED, MAX_WORDS, MIN_ODDS, CACHE = 20_000, 5_000, 2.5, 500_000
+MAX_LABELLED, MAX_WORDS, MIN_ODDS, CACHE = 20_000, 5_000, 2.5, 300_000
 #: A telling word stands in so many toxic training documents, and in this share of them.
 MIN_DOCS, MIN_SHARE = 3, 0.005
 THRESHOLD = 0.7
@@ -167,15 +167,16 @@ class ToxicityModel:
 class Scorer(Reader):
     def __init__(self, lm: np.ndarray, weights: dict[str, float]):
         super().__init__(lm)
-        self.weights, self.hot = weights, {}
+        self.weights, self.hot, self.seen = weights, {}, set()
 
     def features(self, text: str) -> tuple[float, float, float, float]:
         low = text.lower()
         tokens = set(low.split())
-        if len(self.known) > CACHE:
-            self.known, self.hot = {}, {}
-        for t in tokens.difference(self.known):
-            self.known[t] = None
+        if len(self.seen) > CACHE:
+            self.hot, self.seen = {}, set()
+        new = tokens.difference(self.seen)
+        self.seen |= new
+        for t in new:
             if hit := [w for w in restored(t, self.lm) if w in self.weights]:
                 self.hot[t] = hit
         found = {w for t in tokens.intersection(self.hot) for w in self.hot[t]}
@@ -205,6 +206,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LAB
 
     Of repeated labels of an id the largest counts; null ids and labels are left out. Without both classes, or without telling words, the score is a constant."""
     spark = docs.sparkSession
+    small_batches(spark)
     lm = character_model(docs)
     known = labels.where(labels["doc_id"].isNotNull() & labels["toxic"].isNotNull() & ~held_out(labels["doc_id"])).groupBy(labels["doc_id"].alias("_id")).agg(F.max("toxic").cast("int").alias("_toxic"))
     sample = known.orderBy(F.xxhash64("_id"), "_id").limit(max_labelled)
@@ -250,6 +252,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = THR
     """docs with held_out, score and predicted. Null texts score as empty ones; every row is scored by itself.
 
     Columns of these three names are replaced; others are kept. An empty table gives an empty table."""
+    small_batches(docs.sparkSession)
     told = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

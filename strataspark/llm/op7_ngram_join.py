@@ -26,8 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, cut, read, slots, text_of
-from .components import components
+from strataspark.operators.graph import components
+
+from .common import NULL_ID, cut, read, slots, small_batches, text_of
 from .shingles import bands, chunks, minhash, shingles
 
 WIDTH, THRESHOLD = 5, 0.8
@@ -174,6 +175,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: fl
     empty text; empty and blank texts have no links but are copies of their like. Texts under five words are one shingle. doc_ids
     are integers; a null one counts as smaller than all others and gets class_id -2**63. Rows that share a doc_id share its class and links. An empty table gives no rows."""
     spark = docs.sparkSession
+    small_batches(spark)
     slim = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text")).withColumn("_id", F.coalesce("doc_id", F.lit(NULL_ID))).withColumn("digest", F.unhex(F.sha2("text", 256)))
     each = cut(slim.mapInArrow(_keys, "doc_id long, _id long, digest binary, n_bytes long, keys array<long>"))
     copies = each.groupBy("digest").agg(F.min("_id").alias("copy_id"), F.count("*").alias("n_copies"))

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read, text_of
+from .common import read, small_batches, text_of
 
 GROUP, CACHE, ROUNDS = 8192, 800_000, 4
 DONORS = 4
@@ -210,6 +210,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id
     Repeated rows and ids are packed one by one, as separate documents; null doc_ids stay null. An empty table gives no rows.
     Other columns aren't carried, so clashing names don't matter. Equal lengths go by doc_id."""
     kind = dict(docs.dtypes)["doc_id"]
+    small_batches(docs.sparkSession)
     groups = max(1, -(-docs.count() // GROUP))
     ids = ", ids array<int>" if with_ids else ""
     slim = docs.select("doc_id", text_of(docs).alias("text"))
