@@ -150,6 +150,13 @@ def tile_corner(name: ColumnLike) -> tuple[Column, Column]:
     return value(1, 2, "S"), value(3, 4, "W")
 
 
+def pearson(a: ColumnLike, b: ColumnLike) -> Column:
+    """Correlation over rows where both are known; null if either doesn't vary."""
+    both = col(a).isNotNull() & col(b).isNotNull()
+    x, y = (F.when(both, col(c).cast("double")) for c in (a, b))
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def key_hash(c: ColumnLike, seed: int = 12345) -> Column:
     """A linear congruential hash of an integer key, in whole-number arithmetic that any engine repeats: 0 to 2**31 - 2."""
     return F.pmod(col(c).cast("long") * 1103515245 + seed, F.lit(2147483647))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataspark.functions.columns import rnd
+from strataspark.functions.columns import pearson, rnd
 
 
 def long_form(df: DataFrame, keys: list[str], columns: list[str], name: str = "column", value: str = "value") -> DataFrame:
@@ -52,7 +52,7 @@ def correlations(df: DataFrame, columns: list[str], label: str) -> DataFrame:
     for c in columns:
         both = F.col(c).isNotNull() & F.col(label).isNotNull()
         x, y = (F.when(both, F.col(v).cast("double")) for v in (c, label))
-        aggs.append(F.struct(F.corr(x, y).alias("r"), F.avg(F.when(F.col(label) == 0, x)).alias("mean0"), F.avg(F.when(F.col(label) == 1, x)).alias("mean1"), F.count(x).alias("n")).alias(c))
+        aggs.append(F.struct(pearson(x, y).alias("r"), F.avg(F.when(F.col(label) == 0, x)).alias("mean0"), F.avg(F.when(F.col(label) == 1, x)).alias("mean1"), F.count(x).alias("n")).alias(c))
     one = df.agg(*aggs)
     rows = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("s")) for c in columns]))
     return one.select(rows.alias("x")).select("x.column", rnd("x.s.r").alias("r"), rnd("x.s.mean0", 4).alias("mean_0"), rnd("x.s.mean1", 4).alias("mean_1"), F.col("x.s.n").alias("n"))
@@ -61,7 +61,7 @@ def correlations(df: DataFrame, columns: list[str], label: str) -> DataFrame:
 def correlation_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
     """Correlation of each pair of columns (the upper triangle), in one pass."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    one = df.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
+    one = df.agg(*[pearson(a, b).alias(f"{a}|{b}") for a, b in pairs])
     rows = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"{a}|{b}").alias("r")) for a, b in pairs]))
     return one.select(rows.alias("x")).select("x.a", "x.b", rnd("x.r").alias("r"))
 
@@ -78,7 +78,7 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """Rank correlation with ties at their average rank."""
     known = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(a, b)
     ranks = known.join(midranks(known, a).withColumnRenamed("midrank", "_ra"), a).join(midranks(known, b).withColumnRenamed("midrank", "_rb"), b)
-    return ranks.agg(rnd(F.corr("_ra", "_rb")).alias("rho"), F.count("*").alias("n"))
+    return ranks.agg(rnd(pearson("_ra", "_rb")).alias("rho"), F.count("*").alias("n"))
 
 
 def explained_by_category(df: DataFrame, value: str, category: str) -> DataFrame:
