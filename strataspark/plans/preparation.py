@@ -133,6 +133,7 @@ UNION ALL SELECT 'missing', 't', round(avg((t IS NULL)::INT::DOUBLE), 6), 'warn'
 UNION ALL SELECT 'impossible', 'q', count_if(q > 45)::DOUBLE, 'fail' FROM x
 UNION ALL SELECT 'constant', 'one', 1.0, 'warn'
 UNION ALL SELECT 'low_cardinality', 'ln', count(DISTINCT ln)::DOUBLE, 'info' FROM x
+UNION ALL SELECT 'low_cardinality', 't', count(DISTINCT t)::DOUBLE, 'info' FROM x
 UNION ALL SELECT 'high_correlation', 'q~p', round(abs(corr(q, p)), 6), 'warn' FROM x HAVING abs(corr(q, p)) >= 0.8""")
 def quality_findings(spark, d):
     x = table(spark, d, "lineitem").select(F.col("l_quantity").alias("q"), F.when(F.col("l_suppkey") % 7 != 0, F.col("l_tax")).alias("t"), F.col("l_extendedprice").alias("p"), F.lit(1.0).alias("one"), F.col("l_linenumber").cast("double").alias("ln"), (F.col("l_returnflag") == "R").cast("int").alias("y"))
