@@ -61,7 +61,7 @@ def _measures(sources: DataFrame, total: int, alphas: list[float], budget: float
 
 
 def find_exponent(sources: DataFrame, total: int, n: int, entropy_share: float | None, max_epochs: float | None, budget: float | None) -> Mix:
-    """The least flattening that meets the entropy target, as far as the repetition limit allows.
+    """The least flattening that meets the entropy target, as far as the repetition limit allows; without a target, as much as the limit allows.
 
     Entropy and repetition fall as alpha rises. The target is entropy_share of the highest entropy, log(n)."""
     from math import log
@@ -78,7 +78,7 @@ def find_exponent(sources: DataFrame, total: int, n: int, entropy_share: float |
                 break
         return lo if holds.inner else hi
 
-    alpha = 1.0
+    alpha = 1.0 if max_epochs is None else 0.0
     if entropy_share is not None:
         def enough(m):
             return m[0] >= entropy_share * log(n) - 1e-12

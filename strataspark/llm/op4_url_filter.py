@@ -91,17 +91,19 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, max_labelled:
     own = ("host", "path", "rule", "verdict", "blocked")
     host, path = host_and_path(pages["url"].cast("string"))
     named = [c for c in pages.columns if c not in own]
-    base = pages.select(*(pages[c] for c in named), F.coalesce(pages["url"].cast("string"), F.lit("")).alias("_url"), host.alias("_host"), path.alias("_path"))
+    row = F.struct(*(pages[c] for c in named)) if named else F.lit(None)
+    base = pages.select(row.alias("_row"), F.coalesce(pages["url"].cast("string"), F.lit("")).alias("_url"), host.alias("_host"), path.alias("_path"))
     text, verdict = judged(F.col("_host"), F.col("_path"), rules)
     base = base.withColumns({"_rule": text, "_verdict": verdict})
     labelled = base.where("_verdict IS NOT NULL").select("_url", "_host", "_path", (F.col("_verdict") == "block").cast("double").alias("label")).orderBy(F.xxhash64("_url"), "_url").limit(max_labelled)
     train = lexical(labelled).persist()
     kinds = {r.label: r["count"] for r in train.groupBy("label").count().collect()}
+    kept = [F.col("_row")[c].alias(c) for c in named]  # carried whole, so that no name clashes with the features
     out = [F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule").alias("rule")]
     if len(kinds) < 2:
         train.unpersist()
         only = "block" if 1.0 in kinds else "allow"
-        return base.select(*named, *out, F.coalesce("_verdict", F.lit(only)).alias("verdict"), F.when(F.col("_verdict").isNull(), float(only == "block")).alias("blocked"))
+        return base.select(*kept, *out, F.coalesce("_verdict", F.lit(only)).alias("verdict"), F.when(F.col("_verdict").isNull(), float(only == "block")).alias("blocked"))
     share = kinds[1.0] / sum(kinds.values())
     tables = [(e, train.groupBy(e).agg(((F.sum("label") + SMOOTH * share) / (F.count("*") + SMOOTH)).alias(f"{e[1:]}_rate"))) for e in ENDINGS]
 
@@ -115,7 +117,7 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, max_labelled:
     told = model.transform(assembler.transform(featured(lexical(base))))
     blocked = vector_to_array("probability")[1]
     verdict = F.coalesce("_verdict", F.when(blocked >= 0.5, "block").otherwise("allow"))
-    return told.select(*named, *out, verdict.alias("verdict"), F.when(F.col("_verdict").isNull(), blocked).alias("blocked"))
+    return told.select(*kept, *out, verdict.alias("verdict"), F.when(F.col("_verdict").isNull(), blocked).alias("blocked"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
