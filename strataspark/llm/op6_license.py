@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import NULL_ID, read, text_of
 
-#: A character of a word, and one that isn't, before A-Z are lower-cased.
-IN, OUT = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+#: A character of a word, and one that isn't, before A-Z are lower-cased. A class of ranges is searched far faster than the negated one.
+IN, OUT = r"[0-9A-Za-z\x{80}-\x{10FFFF}]", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 TEMPLATES = {
     "released under the mit license": "mit",
@@ -47,25 +47,35 @@ def _phrase(words: str) -> str:
 
 
 def _any(tokens) -> str:
-    return f"(?i)(?<!{IN})(?:{'|'.join(sorted(map(re.escape, tokens)))})(?!{IN})"
-
-
-def base_columns(text: Column, low: Column, phrases: dict[str, str]) -> tuple[Column, Column, Column, Column]:
-    """Number of places, smallest and largest first word, labels. low: the text in lower case, for a cheap first look."""
-    counts, firsts, lasts, labels = [], [], [], []
-    for words, label in phrases.items():
-        may = F.lit(True)
-        for w in words.split():
-            may &= F.contains(low, F.lit(w))
-        n = F.when(may, F.regexp_count(text, F.lit(_phrase(words)))).otherwise(0).cast("long")
-        parts = F.split(text, _phrase(words), -1)
-        counts.append(n)
-        firsts.append(F.when(n > 0, n_words(parts[0])))
-        lasts.append(F.when(n > 0, n_words(text) - n_words(F.element_at(parts, -1)) - len(words.split())))
-        labels.append(F.when(n > 0, label))
-    least = F.array_min(F.array(*firsts))
-    most = F.array_max(F.array(*lasts))
-    return sum(counts[1:], counts[0]), least, most, F.array_sort(F.array_distinct(F.array_compact(F.array(*labels))))
+    """A pattern for any of the words, by first letters, so that few are tried at each place."""
+    by: dict[str, list[str]] = {}
+    for t in sorted(tokens):
+        by.setdefault(t[0], []).append(re.escape(t[1:]))
+    return f"(?i)(?<!{IN})(?:{'|'.join(f'{re.escape(c)}(?:{"|".join(rest)})' for c, rest in by.items())})(?!{IN})"
+
+
+def with_base(df: DataFrame, phrases: dict[str, str]) -> DataFrame:
+    """Adds n_words, n_base, first_word, last_word and _base to df with _text.
+
+    Step by step, so that no count is made twice: what may hold a phrase by a cheap look at the lower-case text; the places there; then words before the first and behind the last."""
+    text, low, keys = F.col("_text"), F.lower("_text"), list(phrases)
+    may = {}
+    for k, p in enumerate(keys):
+        seen = F.lit(True)
+        for w in p.split():
+            seen &= F.contains(low, F.lit(w))
+        may[f"_may{k}"] = F.when(seen, low.rlike((OUT + "+").join(p.split()))).otherwise(False)
+    df = df.withColumns(may).withColumns({"n_words": n_words(text)} | {f"_n{k}": F.when(F.col(f"_may{k}"), F.regexp_count(text, F.lit(_phrase(p)))).otherwise(0).cast("long") for k, p in enumerate(keys)})
+    first, last, labels = [], [], []
+    for k, p in enumerate(keys):
+        parts, there = F.split(text, _phrase(p), -1), F.col(f"_n{k}") > 0
+        first.append(F.when(there, n_words(parts[0])))
+        last.append(F.when(there, F.col("n_words") - n_words(F.element_at(parts, -1)) - len(p.split())))
+        labels.append(F.when(there, phrases[p]))
+    total = sum((F.col(f"_n{k}") for k in range(len(keys))), F.lit(0).cast("long"))
+    none = F.array().cast("array<long>")
+    out = {"n_base": total, "first_word": F.array_min(F.array(*first) if keys else none), "last_word": F.array_max(F.array(*last) if keys else none), "_base": F.array_sort(F.array_distinct(F.array_compact(F.array(*labels).cast("array<string>"))))}
+    return df.withColumns(out).drop(*may, *[f"_n{k}" for k in range(len(keys))])
 
 
 def template_matches(docs: DataFrame, templates: dict[str, str], threshold: float) -> DataFrame:
@@ -105,8 +115,7 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] = BASE, templates: di
     base phrase, else the largest containment of a template that reached the threshold, else 0. Null and empty texts have no words and no
     labels. Rows that share a doc_id get each other's template labels; a null doc_id is an id like others. An empty table gives no rows."""
     df = docs.select("doc_id", text_of(docs).alias("_text")).withColumn("_id", F.coalesce("doc_id", F.lit(NULL_ID)))
-    n, first, last, base = base_columns(F.col("_text"), F.lower("_text"), phrases)
-    each = df.select("doc_id", "_id", n_words(F.col("_text")).alias("n_words"), n.alias("n_base"), first.cast("long").alias("first_word"), last.cast("long").alias("last_word"), base.alias("_base"))
+    each = with_base(df, phrases).drop("_text")
     found = template_matches(df, templates, threshold)
     out = each.join(found, "_id", "left")
     labels = F.array_sort(F.array_distinct(F.concat("_base", F.coalesce("found", F.array().cast("array<string>")))))
