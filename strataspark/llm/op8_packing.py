@@ -10,9 +10,10 @@ empty is gone. A group ends with about one underfull bin, a share that the group
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
-from struct import pack
+from sys import byteorder
 
 import numpy as np
 import pandas as pd
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import read, small_batches, text_of
 
-GROUP, CACHE, ROUNDS = 8192, 800_000, 4
+GROUP, CACHE, ROUNDS, BATCH = 8192, 800_000, 4, 512
 DONORS = 4
 TAIL = ".,!?;:$%&#*"
 PIECES = "piece int, start long, length long, ids_crc32 long"
@@ -34,6 +35,25 @@ _BYTES = {b: c for b, c in zip([*range(33, 127), *range(161, 173), *range(174, 2
 _BYTES |= {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in _BYTES)}
 
 
+def _bytes(ids: list[int]) -> bytes:
+    a = array("I", ids)
+    if byteorder == "big":
+        a.byteswap()
+    return a.tobytes()
+
+
+def _lower(text: str) -> str:
+    """The text in lower case, as the tokenizer would make it, if that is sure: Latin-1 texts without a special token's bracket."""
+    if "<|" in text:
+        return text
+    if not text.isascii():
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+    return text.lower()
+
+
 class Encoder:
     """Word-by-word use of a byte-level BPE tokenizer whose pre-tokenizer never crosses a space, with a bounded cache.
 
@@ -54,15 +74,15 @@ class Encoder:
         low = [w.lower() for w in letters]
         once = list(set(low))
         seen = [w if w.isascii() else w.encode().decode("latin-1").translate(_BYTES) for w in once]
-        ids = dict(zip(once, (pack(f"<{len(x)}I", *x) for x in (c.ids for c in self.model.encode_batch_fast(seen, add_special_tokens=False))), strict=True))
+        ids = {w: _bytes(c.ids) for w, c in zip(once, self.model.encode_batch_fast(seen, add_special_tokens=False), strict=True)}
         out = dict(zip(letters, map(ids.__getitem__, low), strict=True))
         for w, c in zip(rest, self.whole.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            out[w] = pack(f"<{len(x := c.ids)}I", *x)
+            out[w] = _bytes(c.ids)
         return out
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
-        words = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        words = [_lower(t).replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         known = self.known
         new = set().union(*words).difference(known)
         parts = {w: (core, w[len(core) :]) for w in new if (core := w.rstrip(TAIL)) != w and core[-1:].isalnum()}
@@ -104,9 +124,9 @@ def _pieces(path: str, capacity: int, end_id: int, groups: int, with_ids: bool):
         encode, k = encoder(path), TaskContext.get().partitionId() * 7919
         for batch in batches:
             texts, ids = batch.column("text").to_pylist(), batch.column("doc_id")
-            for at in range(0, len(texts), 256):
+            for at in range(0, len(texts), BATCH):
                 row, out = [], {c: [] for c in ("piece", "start", "length", "ids_crc32", "_group", *(["ids"] if with_ids else []))}
-                for i, code in enumerate(encode(texts[at : at + 256]), at):
+                for i, code in enumerate(encode(texts[at : at + BATCH]), at):
                     code += end
                     for piece, b in enumerate(range(0, len(code), 4 * capacity)):
                         part = code[b : b + 4 * capacity]
