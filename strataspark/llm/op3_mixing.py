@@ -94,17 +94,17 @@ def find_exponent(sources: DataFrame, total: int, n: int, entropy_share: float |
     return Mix(alpha, b, entropy, epochs)
 
 
-def mix_sources(docs: DataFrame, entropy_share: float | None = ENTROPY_SHARE, max_epochs: float | None = MAX_EPOCHS, budget: float | None = None, seed: int = SEED) -> tuple[DataFrame, Mix]:
+def mix_sources(docs: DataFrame, entropy_share: float | None = ENTROPY_SHARE, max_epochs: float | None = MAX_EPOCHS, budget: float | None = None, seed: int = SEED, tokens: str | None = None) -> tuple[DataFrame, Mix]:
     """docs as they are to be shown, and the mix. A row is repeated for each epoch that shows it.
 
-    Added columns: mix_tokens, mix_weight, mix_quota, mix_epoch (from 0), mix_block, mix_start (tokens of its source shown before
+    tokens names a column that has each document's tokens; else the words of text are counted. Added columns: mix_tokens, mix_weight, mix_quota, mix_epoch (from 0), mix_block, mix_start (tokens of its source shown before
     it). Without a budget it is the smallest that shows every document at least once, so no document is lost; a smaller one leaves out
     what starts beyond the quota. Nulls in source make a source of their own; null texts have no tokens. A source without
     tokens has weight 0 and is shown once. Repeated rows are rows like others; ties in an order go by hashes, then doc_id and text. An
     empty table gives an empty table. Columns of the added names are replaced."""
     own = ("mix_tokens", "mix_weight", "mix_quota", "mix_epoch", "mix_block", "mix_start")
     named = [c for c in docs.columns if c not in own]
-    base = docs.select(*(docs[c] for c in named), source_key(docs).alias("_mix_key"), words(docs).alias("mix_tokens"), F.pmod(F.xxhash64(F.lit(seed), docs["doc_id"]), F.lit(BLOCKS)).cast("int").alias("mix_block"))
+    base = docs.select(*(docs[c] for c in named), source_key(docs).alias("_mix_key"), (F.coalesce(docs[tokens].cast("long"), F.lit(0).cast("long")) if tokens else words(docs)).alias("mix_tokens"), F.pmod(F.xxhash64(F.lit(seed), docs["doc_id"]), F.lit(BLOCKS)).cast("int").alias("mix_block"))
     blocks = cut(base.groupBy("_mix_key", "mix_block").agg(F.sum("mix_tokens").alias("tokens")))
     sources = blocks.groupBy("_mix_key").agg(F.sum("tokens").alias("tokens")).persist()
     head = sources.agg(F.sum("tokens").alias("t"), F.count_if(F.col("tokens") > 0).alias("n"), F.count("*").alias("all")).first()
@@ -122,7 +122,7 @@ def mix_sources(docs: DataFrame, entropy_share: float | None = ENTROPY_SHARE, ma
     order = Window.partitionBy("_mix_key", "mix_epoch").orderBy(F.xxhash64(F.lit(seed), "mix_epoch", "_mix_key", "mix_block"), "mix_block").rowsBetween(Window.unboundedPreceding, -1)
     places = blocks.join(plan, "_mix_key").select("_mix_key", "mix_block", "tokens", epochs).withColumn("_mix_before", F.coalesce(F.sum("tokens").over(order), F.lit(0).cast("long"))).drop("tokens")
     shown = base.join(plan, "_mix_key").select("*", epochs).join(places, ["_mix_key", "mix_epoch", "mix_block"])
-    ids = [F.xxhash64(F.lit(seed), "mix_epoch", "doc_id"), F.col("doc_id"), *([F.col("text")] if "text" in named else [])]
+    ids = [F.xxhash64(F.lit(seed), "mix_epoch", "doc_id"), F.col("doc_id"), F.col("mix_tokens"), *([F.col("text")] if "text" in named else [])]
     inside = Window.partitionBy("_mix_key", "mix_epoch", "mix_block").orderBy(*ids).rowsBetween(Window.unboundedPreceding, -1)
     within = F.col("_mix_before") + F.coalesce(F.sum("mix_tokens").over(inside), F.lit(0).cast("long"))
     out = shown.withColumn("_mix_within", within).withColumn("mix_start", F.col("mix_epoch") * F.col("_mix_total") + F.col("_mix_within"))
@@ -131,5 +131,6 @@ def mix_sources(docs: DataFrame, entropy_share: float | None = ENTROPY_SHARE, ma
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    df, mix = mix_sources(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    docs = read(spark, sf_dir, "documents")
+    df, mix = mix_sources(docs.select("doc_id", "source", words(docs).alias("words")), tokens="words")  # texts needn't be shuffled
     return df.select("doc_id", "source", "mix_tokens", "mix_weight", "mix_quota", "mix_epoch", "mix_block", "mix_start", F.lit(mix.alpha).alias("mix_alpha"))
