@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from strataspark.operators.graph import components
 
-from .common import NULL_ID, cut, read, slots, small_batches, text_of
+from .common import NULL_ID, cut, read, skew_join, slots, small_batches, text_of
 from .shingles import bands, chunks, minhash, shingles
 
 WIDTH, THRESHOLD = 5, 0.8
@@ -179,7 +179,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: fl
     slim = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text")).withColumn("_id", F.coalesce("doc_id", F.lit(NULL_ID))).withColumn("digest", F.unhex(F.sha2("text", 256)))
     each = cut(slim.mapInArrow(_keys, "doc_id long, _id long, digest binary, n_bytes long, keys array<long>"))
     copies = each.groupBy("digest").agg(F.min("_id").alias("copy_id"), F.count("*").alias("n_copies"))
-    mine = each.join(copies, "digest").where("_id = copy_id").select("_id", "n_bytes", "keys").dropDuplicates(["_id", "n_bytes"])
+    mine = each.groupBy("digest").agg(F.min(F.struct("_id", "n_bytes", "keys")).alias("s")).select("s.*")
     held = mine.select("_id", F.explode("keys").alias("key"))
     least = held.groupBy("key").agg(F.min("_id").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
     near = held.join(least, "key").where("_id <> least").select("_id", "least")
@@ -199,7 +199,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: fl
     counts = found.groupBy("node").agg(F.sum("links").alias("n_links"))
     classes = components(found, "node", "to")
     told = counts.join(classes, "node", "left").select(F.col("node").alias("copy_id"), F.coalesce("comp", "node").alias("class_id"), "n_links")
-    out = each.select("doc_id", "digest").join(copies, "digest").join(told, "copy_id", "left")
+    out = skew_join(each.select("doc_id", "digest"), copies, "digest", "n_copies", each.count()).join(told, "copy_id", "left")
     return out.select("doc_id", F.coalesce("class_id", "copy_id").alias("class_id"), "copy_id", "n_copies", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
 
