@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, cut, read, text_of
+from .common import NULL_ID, cut, read, skew_join, text_of
 
 LEDGER = "blob binary, scanned map<string,int>, spans array<struct<start:int,end:int,kind:string>>"
 
@@ -89,7 +89,7 @@ def scan_secrets(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[
     df = docs.select("doc_id", text_of(docs).alias("text"))
     paths = cut(df.select("doc_id", F.unhex(F.sha2("text", 256)).alias("blob")))
     old = (ledger if ledger is not None else spark.createDataFrame([], LEDGER)).select("blob", "scanned", "spans")
-    heads = paths.groupBy("blob").agg(F.min(F.coalesce("doc_id", F.lit(NULL_ID))).alias("_id"))
+    heads = paths.groupBy("blob").agg(F.min(F.coalesce("doc_id", F.lit(NULL_ID))).alias("_id"), F.count("*").alias("_n"))
     known = heads.join(old, "blob", "left") if ledger is not None else heads.select("*", F.lit(None).cast("map<string,int>").alias("scanned"), F.lit(None).cast(_SPANS).alias("spans"))
     missing = F.lit(False)
     for r in rules:
@@ -107,8 +107,8 @@ def scan_secrets(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[
     state = scanned.dropDuplicates(["blob"])
     if ledger is not None:
         state = old.join(scanned.select("blob"), "blob", "left_anti").unionByName(state)
-    found = state.where(F.size("spans") > 0).select("blob", "spans")
-    return paths.join(found, "blob", "left").select("doc_id", "blob", F.coalesce("spans", F.array().cast(_SPANS)).alias("spans")), state
+    found = state.where(F.size("spans") > 0).select("blob", "spans").join(heads.select("blob", "_n"), "blob")
+    return skew_join(paths, found, "blob", "_n", paths.count(), "left").select("doc_id", "blob", F.coalesce("spans", F.array().cast(_SPANS)).alias("spans")), state
 
 
 def written(spans: Column) -> Column:
