@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,8 +17,11 @@ def running_sum(df: DataFrame, order: str, sums: dict[str, str], descending: boo
     the totals of the ranges before, a table of at most ranges rows for each group."""
     by = by or []
     edges = sorted(set(df.approxQuantile(order, [i / ranges for i in range(1, ranges)], 0.25 / ranges)))
-    at = F.coalesce(F.array_position(F.transform(F.array(*map(F.lit, edges)), lambda e: F.col(order) < e), F.lit(True)), F.lit(0)) if edges else F.lit(1)
-    x = df.withColumn("_range", F.when(at == 0, len(edges) + 1).otherwise(at).cast("int"))
+    x = df.withColumn("_order", F.col(order).cast("double"))
+    if edges:
+        x = Bucketizer(splits=[float("-inf"), *edges, float("inf")], inputCol="_order", outputCol="_range").transform(x).drop("_order")
+    else:
+        x = x.drop("_order").withColumn("_range", F.lit(0.0))
     key = F.col(order).desc() if descending else F.col(order).asc()
     rkey = F.col("_range").desc() if descending else F.col("_range").asc()
     totals = x.groupBy(*by, "_range").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
