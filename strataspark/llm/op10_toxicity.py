@@ -5,7 +5,8 @@
    apart) is a lattice: each place has the letters it may stand for, each with a channel cost. Viterbi
    finds its most likely reading under the model. A distinct token is decoded once per worker's cache.
 3. From at most MAX_LABELLED labelled training documents, words get log odds of standing in toxic
-   documents; three sums of a document's word weights go into a logistic model fitted on the same documents.
+   documents, shrunk by PRIOR documents at the base rate. Three sums of a document's word weights go into a logistic model fitted on the
+   same documents, each without its own share in the weights.
 
 Only texts enter a score. Labels of held-out rows (crc32 of the id as text, mod 3, is 1) are never read.
 """
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import read, small_batches, text_of
 
-MAX_LABELLED, MAX_WORDS, MIN_ODDS, CACHE = 20_000, 5_000, 2.5, 300_000
+MAX_LABELLED, MAX_WORDS, MIN_ODDS, PRIOR, CACHE = 20_000, 5_000, 2.0, 2.0, 300_000
 #: A telling word stands in so many toxic training documents, and in this share of them.
 MIN_DOCS, MIN_SHARE = 3, 0.005
 THRESHOLD = 0.7
@@ -154,6 +155,11 @@ class Reader:
         return {w for t in tokens for w in self.known[t]}.union(extra)
 
 
+def log_odds(pos: float, neg: float, rate: float) -> float:
+    """How much likelier than the base rate a document with a word is toxic, in log odds."""
+    return float(np.log((max(pos, 0) + PRIOR * rate) / (max(neg, 0) + PRIOR * (1 - rate))) - np.log(rate / (1 - rate)))
+
+
 @dataclass
 class ToxicityModel:
     lm: np.ndarray
@@ -169,7 +175,8 @@ class Scorer(Reader):
         super().__init__(lm)
         self.weights, self.hot, self.seen = weights, {}, set()
 
-    def features(self, text: str) -> tuple[float, float, float, float]:
+    def features(self, text: str, weights: dict[str, float] | None = None) -> tuple[float, float, float, float]:
+        """1, then the sum, the largest and the number of the text's words' weights; other weights for the same words may be given."""
         low = text.lower()
         tokens = set(low.split())
         if len(self.seen) > CACHE:
@@ -181,7 +188,7 @@ class Scorer(Reader):
                 self.hot[t] = hit
         found = {w for t in tokens.intersection(self.hot) for w in self.hot[t]}
         found.update(w for x in spaced(low, tokens) if lattice(x) for w in decode(x, self.lm) if w in self.weights)
-        ws = sorted(self.weights[w] for w in found)
+        ws = sorted((weights or self.weights)[w] for w in found)
         return 1.0, sum(ws), ws[-1] if ws else 0.0, float(len(ws))
 
 
@@ -229,17 +236,21 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LAB
     weights: dict[str, float] = {}
     coef = np.array([np.log((n_pos + 0.5) / (n_neg + 0.5)) if totals else -5.0, 0.0, 0.0, 0.0])
     if n_pos and n_neg:
-        odds = F.log((F.col("pos") + 0.5) / (n_pos + 1)) - F.log((F.col("neg") + 0.5) / (n_neg + 1))
-        telling = counts.where((F.col("word") != "") & (F.col("pos") >= MIN_SHARE * n_pos)).select("word", odds.alias("odds")).where(F.col("odds") >= MIN_ODDS).orderBy(F.desc("odds"), "word").limit(MAX_WORDS)
-        weights = {r.word: r.odds for r in telling.collect()}
+        rate = n_pos / (n_pos + n_neg)
+        odds = F.log((F.col("pos") + PRIOR * rate) / (F.col("neg") + PRIOR * (1 - rate))) - float(np.log(rate / (1 - rate)))
+        telling = counts.where((F.col("word") != "") & (F.col("pos") >= MIN_SHARE * n_pos)).select("word", "pos", "neg", odds.alias("odds")).where(F.col("odds") >= MIN_ODDS).orderBy(F.desc("odds"), "word").limit(MAX_WORDS)
+        rows = telling.collect()
+        weights = {r.word: r.odds for r in rows}
+        less = [{r.word: log_odds(r.pos - (y == 1), r.neg - (y == 0), rate) for r in rows} for y in (0, 1)]  # without one clean or toxic document
     counts.unpersist()
     if weights:
-        told = spark.sparkContext.broadcast((lm, weights))
+        told = spark.sparkContext.broadcast((lm, weights, less))
 
         def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            scorer = Scorer(*told.value)
+            lm, weights, less = told.value
+            scorer = Scorer(lm, weights)
             for batch in batches:
-                x = np.array([scorer.features(t) for t in batch.column("text").to_pylist()]).reshape(-1, 4)
+                x = np.array([scorer.features(t, less[y > 0]) for t, y in zip(batch.column("text").to_pylist(), batch.column("_toxic").to_pylist(), strict=True)]).reshape(-1, 4)
                 yield pa.RecordBatch.from_pydict({"_id": batch.column("_id"), "toxic": batch.column("_toxic"), **{f"x{k}": x[:, k] for k in range(1, 4)}})
 
         rows = train.mapInArrow(features, f"_id {dict(train.dtypes)['_id']}, toxic int, x1 double, x2 double, x3 double").dropDuplicates(["_id"]).drop("_id").toPandas()  # one row for each label
