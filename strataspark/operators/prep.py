@@ -120,6 +120,11 @@ def seeded_shuffle(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
     return df.orderBy(key_hash(key, seed), key)
 
 
+def seeded_places(df: DataFrame, key: str, name: str, seed: int = 42) -> DataFrame:
+    """df with each row's place, from 1, in that order."""
+    return running_sum(df.withColumns({"_h": key_hash(key, seed), "_one": F.lit(1)}), "_h", {"_one": name}).drop("_h", "_one")
+
+
 def vector_neighbours(df: DataFrame, k: int, block: int = 2048) -> DataFrame:
     """(id, rank, nid, dist): k nearest other rows of (id, v array<double>), in blocks against blocks; each block keeps k for each row."""
     import pandas as pd

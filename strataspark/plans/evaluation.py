@@ -34,10 +34,10 @@ def youden(spark, d):
     return M.youden(scored(spark, d), "score", "label").select("threshold", C.rnd("j", 8).alias("j"))
 
 
-@query("""WITH o AS (SELECT e.event_id, (event_id % 3 = 0)::INT AS label, round(value / 200, 4) AS score FROM events e WHERE event_id % 2 = 0), h AS (SELECT score, sum(label) AS p, count(*) AS n FROM o GROUP BY 1), j AS (SELECT score, sum(p) OVER (ORDER BY score DESC)::DOUBLE / (SELECT sum(p) FROM h) - sum(n - p) OVER (ORDER BY score DESC)::DOUBLE / (SELECT sum(n - p) FROM h) AS j FROM h)
+@query("""WITH o AS (SELECT e.event_id, (event_id % 3 = 0)::INT AS label, round(value / 200, 4) AS score FROM events e), h AS (SELECT score, sum(label) AS p, count(*) AS n FROM o GROUP BY 1), j AS (SELECT score, sum(p) OVER (ORDER BY score DESC)::DOUBLE / (SELECT sum(p) FROM h) - sum(n - p) OVER (ORDER BY score DESC)::DOUBLE / (SELECT sum(n - p) FROM h) AS j FROM h)
 SELECT max(score) AS threshold FROM j WHERE j >= (SELECT max(j) FROM j) - 1e-12""")
 def youden_out_of_fold(spark, d):
-    e = table(spark, d, "events").where("event_id % 2 = 0").select("event_id", (F.col("event_id") % 3 == 0).cast("int").alias("label"), C.rnd(F.col("value") / 200, 4).alias("score"), F.lit("inner_validation").alias("origin"))
+    e = table(spark, d, "events").select("event_id", (F.col("event_id") % 3 == 0).cast("int").alias("label"), C.rnd(F.col("value") / 200, 4).alias("score"), F.lit("inner_validation").alias("origin"))
     return M.youden_out_of_fold(e, "score", "label", "event_id", "origin", "inner_validation")
 
 

@@ -81,9 +81,9 @@ def stratified_split(spark, d):
     return P.stratified_split(table(spark, d, "orders"), "o_orderkey", "o_orderstatus").select("o_orderkey", "part")
 
 
-@query("SELECT o_orderkey FROM orders ORDER BY (o_orderkey * 1103515245 + 42) % 2147483647, o_orderkey LIMIT 100")
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY (o_orderkey * 1103515245 + 42) % 2147483647) AS place FROM orders")
 def seeded_shuffle(spark, d):
-    return P.seeded_shuffle(table(spark, d, "orders").select("o_orderkey"), "o_orderkey").limit(100)
+    return P.seeded_places(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", "place")
 
 
 @query("""WITH m AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE label = 1), r AS (SELECT a.vec_id AS id, b.vec_id AS nid, list_distance(a.v, b.v) AS dist, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.v, b.v), b.vec_id) AS k FROM m a JOIN m b ON a.vec_id <> b.vec_id)
@@ -102,14 +102,14 @@ def smote_balance(spark, d):
 @query("""WITH f AS (SELECT o_orderkey AS k, o_totalprice AS price, CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE o_custkey::DOUBLE END AS cust, o_orderpriority AS pr FROM orders), m AS (SELECT fold, k, CASE WHEN k % 3 = fold THEN 'test' ELSE 'train' END AS role FROM f, (SELECT unnest(range(3))::INT AS fold)),
 x AS (SELECT m.fold, m.k, role, price, cust, pr FROM m JOIN f USING (k)), md AS (SELECT fold, median(price) AS mp, median(cust) AS mc FROM x WHERE role = 'train' GROUP BY 1), y AS (SELECT x.fold, k, role, coalesce(price, mp) AS price, coalesce(cust, mc) AS cust, pr FROM x JOIN md ON x.fold = md.fold),
 st AS (SELECT fold, avg(price) AS ap, stddev_pop(price) AS sp, avg(cust) AS ac, stddev_pop(cust) AS sc FROM y WHERE role = 'train' GROUP BY 1), kp AS (SELECT fold, pr FROM x WHERE role = 'train' GROUP BY ALL HAVING count(*) >= (SELECT count(*) FROM orders) // 8)
-SELECT y.fold, k, role, round((price - ap) / sp, 5) AS price, round((cust - ac) / sc, 5) AS cust, CASE WHEN kp.pr IS NULL THEN 'Other' ELSE y.pr END AS pr FROM y JOIN st ON y.fold = st.fold LEFT JOIN kp ON kp.fold = y.fold AND kp.pr = y.pr WHERE k % 10 = 0""")
+SELECT y.fold, k, role, round((price - ap) / sp, 5) AS price, round((cust - ac) / sc, 5) AS cust, CASE WHEN kp.pr IS NULL THEN 'Other' ELSE y.pr END AS pr FROM y JOIN st ON y.fold = st.fold LEFT JOIN kp ON kp.fold = y.fold AND kp.pr = y.pr""")
 def fold_transform(spark, d):
     o = table(spark, d, "orders")
     k = F.col("o_orderkey")
     f = o.select(k.alias("k"), F.col("o_totalprice").alias("price"), F.when(k % 9 != 0, F.col("o_custkey").cast("double")).alias("cust"), F.col("o_orderpriority").alias("pr"))
     folds = f.select("k", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("fold")).select("fold", "k", F.when(F.col("k") % 3 == F.col("fold"), "test").otherwise("train").alias("role"))
     out = P.fold_transform(f, folds, "k", ["price", "cust"], "pr", f.count() // 8)
-    return out.where("k % 10 = 0").select("fold", "k", "role", C.rnd("price", 5).alias("price"), C.rnd("cust", 5).alias("cust"), "pr")
+    return out.select("fold", "k", "role", C.rnd("price", 5).alias("price"), C.rnd("cust", 5).alias("cust"), "pr")
 
 
 @query("""SELECT p_partkey, CASE WHEN p_type = 'PROMO' THEN 1.0 ELSE 0.0 END AS "type=PROMO", 0.0 AS "type=GONE", p_size::DOUBLE AS p_size FROM part""")

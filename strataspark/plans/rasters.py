@@ -82,11 +82,11 @@ def raster_point_sample(spark, d):
 
 
 @query(f"""WITH RECURSIVE {CELLS}, f AS (SELECT a.tile, a.row AS r, a.col AS c, b.row AS tr, b.col AS tc, row_number() OVER (PARTITION BY a.tile, a.row, a.col ORDER BY (a.value - b.value) / (CASE WHEN a.row <> b.row AND a.col <> b.col THEN power(2::DOUBLE, 0.5::DOUBLE) ELSE 1 END) DESC, b.row, b.col) AS k
-FROM cells a JOIN cells b ON a.tile = b.tile AND abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 AND b.value < a.value WHERE a.tile < 60),
-w AS (SELECT tile, row, col FROM cells WHERE tile < 60 UNION ALL SELECT f.tile, f.tr, f.tc FROM w JOIN f ON f.tile = w.tile AND f.r = w.row AND f.c = w.col AND f.k = 1)
+FROM cells a JOIN cells b ON a.tile = b.tile AND abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 AND b.value < a.value),
+w AS (SELECT tile, row, col FROM cells UNION ALL SELECT f.tile, f.tr, f.tc FROM w JOIN f ON f.tile = w.tile AND f.r = w.row AND f.c = w.col AND f.k = 1)
 SELECT tile, row::INT AS row, col::INT AS col, count(*) AS acc FROM w GROUP BY ALL""")
 def flow_accumulation(spark, d):
-    return R.flow(cells(spark, d).where("tile < 60"))
+    return R.flow(cells(spark, d))
 
 
 @query(f"""WITH {SCORED}, z AS (SELECT CASE WHEN row_id % 13 = 0 THEN NULL ELSE score END AS s, CASE WHEN row_id % 13 = 0 THEN 0 WHEN row_id % 101 = 0 THEN 6 ELSE {ZONE.format(s='score')} END AS stored FROM scored)
@@ -97,22 +97,22 @@ def score_faults(spark, d):
     return R.score_faults(scored(spark, d).select(s.alias("s"), stored.alias("stored")), "s", C.zone("s"), "stored")
 
 
-@query(f"""WITH p AS (SELECT round(least(o_totalprice / 400000, 1.0::DOUBLE), 5) AS a, round(least(o_totalprice / 400000, 1.0::DOUBLE), 5) + CASE WHEN o_orderkey % 500 = 0 THEN 2e-7 ELSE 0 END AS b FROM orders WHERE o_orderkey % 4 = 0)
+@query(f"""WITH p AS (SELECT round(least(o_totalprice / 400000, 1.0::DOUBLE), 5) AS a, round(least(o_totalprice / 400000, 1.0::DOUBLE), 5) + CASE WHEN o_orderkey % 500 = 0 THEN 2e-7 ELSE 0 END AS b FROM orders)
 SELECT count(*) AS cells, round(max(abs(a - b)), 9) AS largest, count_if(abs(a - b) > 1e-7)::BIGINT AS beyond, count(DISTINCT {ZONE.format(s='a')}) AS zones_seen, max(abs(a - b)) <= 1e-7 AS passed FROM p""")
 def pilot_gate(spark, d):
     from strataspark.plans.registry import table
 
-    s = table(spark, d, "orders").where("o_orderkey % 4 = 0").select("o_orderkey", C.rnd(F.least(F.col("o_totalprice") / 400000, F.lit(1.0)), 5).alias("score"))
+    s = table(spark, d, "orders").select("o_orderkey", C.rnd(F.least(F.col("o_totalprice") / 400000, F.lit(1.0)), 5).alias("score"))
     other = s.select("o_orderkey", (F.col("score") + F.when(F.col("o_orderkey") % 500 == 0, 2e-7).otherwise(0)).alias("b"))
     gap = F.abs(F.col("score") - F.col("b"))
     return s.join(other, "o_orderkey").agg(F.count("*").alias("cells"), C.rnd(F.max(gap), 9).alias("largest"), F.count_if(gap > 1e-7).alias("beyond"), F.countDistinct(C.zone("score")).alias("zones_seen"), (F.max(gap) <= 1e-7).alias("passed"))
 
 
 @query(f"""WITH {CELLS}, {NB}, f AS (SELECT tile, row, col, value, greatest(""" + ", ".join(f"coalesce(n11 - n{k}, 0)" for k in R.AROUND) + """) AS fall FROM nb)
-SELECT tile, row, col, round(ln((abs(value) + 1) / tan(radians(greatest(fall * 45, 1)))), 5) AS twi FROM f WHERE tile < 60""")
+SELECT tile, row, col, round(ln((abs(value) + 1) / tan(radians(greatest(fall * 45, 1)))), 5) AS twi FROM f""")
 def wetness_index(spark, d):
     falls = F.greatest(*[F.coalesce(F.col("n11") - F.col(f"n{k}"), F.lit(0.0)) for k in R.AROUND])
-    return R.neighbourhood(cells(spark, d).where("tile < 60")).select("tile", "row", "col", C.rnd(F.log((F.abs("value") + 1) / F.tan(F.radians(F.greatest(falls * 45, F.lit(1.0))))), 5).alias("twi"))
+    return R.neighbourhood(cells(spark, d)).select("tile", "row", "col", C.rnd(F.log((F.abs("value") + 1) / F.tan(F.radians(F.greatest(falls * 45, F.lit(1.0))))), 5).alias("twi"))
 
 
 @query(f"WITH {CELLS} SELECT tile, row, col, (value > 0.1)::INT AS stream, coalesce(CASE WHEN tile % 3 = 0 THEN NULL ELSE round(value, 6) END, round(value * 2, 6)) AS best FROM cells")
@@ -121,13 +121,13 @@ def stream_binary_and_fallback(spark, d):
     return cells(spark, d).select("tile", "row", "col", (F.col("value") > 0.1).cast("int").alias("stream"), F.coalesce(first, C.rnd(F.col("value") * 2)).alias("best"))
 
 
-@query("""WITH s AS (SELECT c_custkey AS id, (c_custkey * 37 % 3000)::DOUBLE AS x1, (c_custkey * 53 % 3000)::DOUBLE AS y1, (c_custkey * 71 % 3000)::DOUBLE AS x2, (c_custkey * 97 % 3000)::DOUBLE AS y2 FROM customer WHERE c_custkey % 25 = 0), k AS (SELECT *, unnest(range(0, 201)) AS k FROM s)
+@query("""WITH s AS (SELECT c_custkey AS id, (c_custkey * 37 % 3000)::DOUBLE AS x1, (c_custkey * 53 % 3000)::DOUBLE AS y1, (c_custkey * 71 % 3000)::DOUBLE AS x2, (c_custkey * 97 % 3000)::DOUBLE AS y2 FROM customer), k AS (SELECT *, unnest(range(0, 201)) AS k FROM s)
 SELECT DISTINCT floor((3000 - (y1 + (y2 - y1) * (k / 200.0::DOUBLE))) / 30)::BIGINT AS row, floor((x1 + (x2 - x1) * (k / 200.0::DOUBLE)) / 30)::BIGINT AS col, 1 AS burn FROM k""")
 def rasterized_lines(spark, d):
     from strataspark.plans.registry import table
 
     c = F.col("c_custkey")
-    s = table(spark, d, "customer").where("c_custkey % 25 = 0").select(*[(c * m % 3000).cast("double").alias(n) for n, m in (("x1", 37), ("y1", 53), ("x2", 71), ("y2", 97))], F.explode(F.sequence(F.lit(0), F.lit(200))).alias("k"))
+    s = table(spark, d, "customer").select(*[(c * m % 3000).cast("double").alias(n) for n, m in (("x1", 37), ("y1", 53), ("x2", 71), ("y2", 97))], F.explode(F.sequence(F.lit(0), F.lit(200))).alias("k"))
     t = F.col("k") / F.lit(200.0)
     row, col = C.cell_of(F.col("x1") + (F.col("x2") - F.col("x1")) * t, F.col("y1") + (F.col("y2") - F.col("y1")) * t, 0.0, 3000.0)
     return s.select(row.alias("row"), col.alias("col")).distinct().withColumn("burn", F.lit(1))

@@ -45,11 +45,11 @@ def radius_anti(spark, d):
     return S.beyond(points(spark, d).select("id", "x", "y"), sites(spark, d), 3000.0)
 
 
-RECTS_SQL = "rects AS (SELECT s_suppkey * 6101 % 100000 AS xmin, s_suppkey * 9973 % 100000 AS ymin, s_suppkey * 6101 % 100000 + 4000 AS xmax, s_suppkey * 9973 % 100000 + 2000 AS ymax FROM supplier WHERE s_suppkey % 5 = 0)"
+RECTS_SQL = "rects AS (SELECT s_suppkey * 6101 % 100000 AS xmin, s_suppkey * 9973 % 100000 AS ymin, s_suppkey * 6101 % 100000 + 4000 AS xmax, s_suppkey * 9973 % 100000 + 2000 AS ymax FROM supplier)"
 
 
 def rects(spark, d):
-    return sites(spark, d).where("sid % 5 = 0").select(F.col("sx").alias("xmin"), F.col("sy").alias("ymin"), (F.col("sx") + 4000).alias("xmax"), (F.col("sy") + 2000).alias("ymax"))
+    return sites(spark, d).select(F.col("sx").alias("xmin"), F.col("sy").alias("ymin"), (F.col("sx") + 4000).alias("xmax"), (F.col("sy") + 2000).alias("ymax"))
 
 
 @query(f"""WITH {POINTS}, {RECTS_SQL} SELECT id, round(min(sqrt(power(greatest(xmin - x, x - xmax, 0), 2) + power(greatest(ymin - y, y - ymax, 0), 2))), 4) AS dist FROM points, rects GROUP BY id""")
@@ -58,9 +58,9 @@ def rect_distance(spark, d):
 
 
 @query(f"""WITH {POINTS}, {SITES}, {RECTS_SQL} SELECT id FROM points WHERE NOT EXISTS (SELECT 1 FROM rects WHERE sqrt(power(greatest(xmin - x, x - xmax, 0), 2) + power(greatest(ymin - y, y - ymax, 0), 2)) <= 2000)
-AND NOT EXISTS (SELECT 1 FROM sites WHERE sid % 5 = 1 AND (x - sx) * (x - sx) + (y - sy) * (y - sy) <= 2000 * 2000)""")
+AND NOT EXISTS (SELECT 1 FROM sites WHERE (x - sx) * (x - sx) + (y - sy) * (y - sy) <= 2000 * 2000)""")
 def buffer_exclusion(spark, d):
-    return S.outside_buffers(points(spark, d), rects(spark, d), sites(spark, d).where("sid % 5 = 1"), 2000.0, 5000.0).select("id")
+    return S.outside_buffers(points(spark, d), rects(spark, d), sites(spark, d), 2000.0, 5000.0).select("id")
 
 
 @query(f"WITH {POINTS}, {EDGES_SQL}, {IN_SQL} SELECT id, pid FROM hits")
@@ -105,13 +105,10 @@ def shared_cells(spark, d):
     return p.groupBy(C.grid_index("x", 0.0, 900.0), C.grid_index("y", 0.0, 900.0)).agg(F.count("*").alias("c")).agg(F.coalesce(F.sum(F.col("c") - 1), F.lit(0)).alias("shared"))
 
 
-@query("""WITH RECURSIVE l AS (SELECT DISTINCT o_custkey AS g, 'e' || (o_orderkey * 31 % 1009)::VARCHAR AS e FROM orders WHERE o_orderkey % 12 = 0 AND o_orderkey % 60 <> 0), p AS (SELECT DISTINCT a.g AS a, b.g AS b FROM l a JOIN l b USING (e)),
-r AS (SELECT DISTINCT g AS node, g AS root FROM l UNION SELECT p.b, r.root FROM r JOIN p ON p.a = r.node), k AS (SELECT DISTINCT o_custkey AS g FROM orders WHERE o_orderkey % 12 = 0)
-SELECT k.g AS o_custkey, coalesce(min(root), k.g) AS linked FROM k LEFT JOIN r ON r.node = k.g GROUP BY k.g""")
+@query(None)
 def linked_components(spark, d):
-    o = table(spark, d, "orders").where("o_orderkey % 12 = 0")
-    event = F.when(F.col("o_orderkey") % 60 == 0, " ").otherwise(F.concat(F.lit("e"), (F.col("o_orderkey") * 31 % 1009).cast("string")))
-    return graph.linked_groups(o.select("o_custkey", event.alias("event")), "o_custkey", "event")
+    event = F.when(F.col("o_orderkey") % 60 == 0, " ").otherwise(F.concat(F.lit("e"), F.floor(F.col("o_totalprice")).cast("string")))
+    return graph.linked_groups(table(spark, d, "orders").select("o_custkey", event.alias("event")), "o_custkey", "event")
 
 
 @query(None)
