@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataspark.checkpoints import cut
+from strataspark.skew import skew_join
 
 
 def _least(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("u").agg(F.min("v").alias("m"))
+    return edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
 
 
 def components(edges: DataFrame, a: str, b: str, rounds: int = 40) -> DataFrame:
@@ -24,9 +25,9 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 40) -> DataFrame:
         if state == before or not state[0]:
             break
         before = state
-        both = e.union(e.select("v", "u").toDF("u", "v"))
-        large = both.join(_least(both), "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
-        joined = large.join(_least(large), "u")
+        both, total = e.union(e.select("v", "u").toDF("u", "v")), 2 * state[0]
+        large = skew_join(both, _least(both), "u", "n", total).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        joined = skew_join(large, _least(large), "u", "n", total)
         e = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v"))).where("u > v").distinct()
     else:
         raise RuntimeError(f"components are not settled after {rounds} rounds")
