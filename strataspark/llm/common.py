@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataspark.checkpoints import cut  # noqa: F401
+from strataspark.skew import skew_join  # noqa: F401
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Stands for a null id inside an operator: smaller than any other.
@@ -34,17 +35,6 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def skew_join(big: DataFrame, small: DataFrame, key: str, weight: str, total: int, how: str = "inner", share: int = 1000) -> DataFrame:
-    """big joined with small, which has one row per key and in weight how many rows of big have it; they sum to total at most.
-
-    Keys with more than a share-th of the rows are fewer than share, so they may be broadcast: no task gets all rows of one. Others
-    are shuffled. how is inner or left."""
-    least = max(1, total // share)
-    hot = small.where(F.col(weight) > least)
-    cold = big.join(F.broadcast(hot.select(key)), key, "left_anti").join(small.where(F.col(weight) <= least), key, how)
-    return big.join(F.broadcast(hot), key).unionByName(cold)
-
-
 def slots(spark: SparkSession) -> int:
     """Tasks that the cluster runs at once."""
     return max(1, spark.sparkContext.defaultParallelism)

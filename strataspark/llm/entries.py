@@ -12,10 +12,10 @@ QUERIES = {
     "op3_source_mixing": (op3_mixing.query, None),
     "op4_url_filter": (op4_url_filter.query, None),
     "op5_line_dedup": (op5_line_dedup.query, op5_line_dedup.ORACLE),
-    "op6_license_scan": (op6_license.query, None),
-    "op7_ngram_join": (op7_ngram_join.query, None),
+    "op6_license_scan": (op6_license.query, op6_license.ORACLE),
+    "op7_ngram_join": (op7_ngram_join.query, op7_ngram_join.ORACLE),
     "op8_best_fit_packing": (op8_packing.query, None),
-    "op9_secret_scan": (op9_secrets.query, None),
+    "op9_secret_scan": (op9_secrets.query, op9_secrets.ORACLE),
     "op10_toxicity": (op10_toxicity.query, None),
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }

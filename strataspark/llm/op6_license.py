@@ -123,5 +123,26 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] = BASE, templates: di
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("_base", ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), score.alias("score"))
 
 
+def _sql_words(text: str) -> str:
+    return f"regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')"
+
+
+_PHRASES = ", ".join(f"({p.split()}, '{label}')" for p, label in BASE.items())
+_TEMPLATES = ", ".join(f"({sorted(set(t.split()))}, '{label}')" for t, label in TEMPLATES.items())
+ORACLE = f"""
+WITH phrases AS (SELECT * FROM (VALUES {_PHRASES}) AS t(p, label)), templates AS (SELECT * FROM (VALUES {_TEMPLATES}) AS t(ws, label)),
+docs AS (SELECT doc_id, coalesce(text, '') AS text, {_sql_words("coalesce(text, '')")} AS w FROM documents),
+places AS (SELECT doc_id, label, unnest(list_filter(range(len(w)), lambda k: w[k + 1] = p[1] AND w[k + 1:k + len(p)] = p)) AS pos FROM docs, phrases),
+base AS (SELECT doc_id, count(*) AS n, min(pos) AS a, max(pos) AS b, list_sort(list_distinct(list(label))) AS labels FROM places GROUP BY 1),
+lines AS (SELECT doc_id, list_distinct({_sql_words('line')}) AS s FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM docs)),
+hits AS (SELECT doc_id, label, len(list_intersect(s, ws)) / len(ws)::DOUBLE AS share FROM lines, templates),
+found AS (SELECT doc_id, list(DISTINCT label) AS labels, max(share) AS best FROM hits WHERE share >= {THRESHOLD} - 1e-9 GROUP BY 1)
+SELECT docs.doc_id, len(w) AS n_words, coalesce(n, 0) AS n_base, a AS first_word, b AS last_word, coalesce(array_to_string(base.labels, ','), '') AS base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(found.labels, [])))), ','), '') AS labels,
+       CASE WHEN n > 0 THEN 1.0::DOUBLE ELSE coalesce(best, 0.0::DOUBLE) END AS score
+FROM docs LEFT JOIN base ON base.doc_id = docs.doc_id LEFT JOIN found ON found.doc_id = docs.doc_id
+"""
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return scan_licenses(read(spark, sf_dir, "documents").select("doc_id", "text"))

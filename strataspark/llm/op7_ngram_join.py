@@ -216,5 +216,21 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return marked.withColumn("_keep_n", F.row_number().over(first)).where("_keep_n = 1").select(*docs.columns)
 
 
+ORACLE = """
+WITH RECURSIVE docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+copies AS (SELECT text, min(doc_id) AS copy_id, count(*) AS n_copies FROM docs GROUP BY 1),
+words AS (SELECT copy_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0b\x0c\r]+'), lambda x: x <> '') AS w FROM copies),
+runs AS (SELECT DISTINCT copy_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' ')) END) AS s FROM words),
+sizes AS (SELECT copy_id, count(*) AS n FROM runs GROUP BY 1),
+common AS (SELECT a.copy_id AS a, b.copy_id AS b, count(*) AS c FROM runs a JOIN runs b ON a.s = b.s AND a.copy_id < b.copy_id GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN sizes x ON x.copy_id = a JOIN sizes y ON y.copy_id = b WHERE c >= 0.8 * (x.n + y.n - c) - 1e-9),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT DISTINCT a AS node, a AS root FROM both_ways UNION SELECT b, root FROM reach JOIN both_ways ON a = node),
+classes AS (SELECT node, min(root) AS class_id FROM reach GROUP BY 1), counts AS (SELECT a AS node, count(*) AS n_links FROM both_ways GROUP BY 1)
+SELECT docs.doc_id, coalesce(class_id, copy_id) AS class_id, copy_id, n_copies, coalesce(n_links, 0) AS n_links
+FROM docs JOIN copies ON docs.text = copies.text LEFT JOIN classes ON classes.node = copy_id LEFT JOIN counts ON counts.node = copy_id
+"""
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))

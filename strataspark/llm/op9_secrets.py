@@ -116,6 +116,22 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _sql(rule: Rule, order: int) -> str:
+    """Spans of a rule's matches: the gaps between them and their own lengths, summed up."""
+    pattern = rule.pattern.replace("'", "''").replace("(?<![0-9a-f])", "")  # a run of 16 or more is its leftmost match without it
+    return f"""SELECT doc_id, {order} AS o, '{rule.kind}' AS kind, unnest(list_filter(list_transform(range(1, len(m) + 1), lambda i: {{'s': list_sum(list_transform(g[1:i], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0)::BIGINT, 'n': length(m[i]), 'h': length(h[i])}}), lambda x: x.h >= {rule.fewest})) AS x
+    FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}') AS m, regexp_extract_all(text, '{pattern}', {rule.group}) AS h, string_split_regex(text, '{pattern}') AS g FROM docs)"""
+
+
+_LISTED = "coalesce(string_agg(kind || ':' || x.s || ':' || (x.s + x.n), ',' ORDER BY x.s, o){where}, '')"
+ORACLE = f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), spans AS ({" UNION ALL ".join(_sql(r, k) for k, r in enumerate(RULES))})
+SELECT docs.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+       sha256({_LISTED.format(where=" FILTER (o < 3)")}) AS base_sha256, {_LISTED.format(where=" FILTER (kind IS NOT NULL)")} AS spans
+FROM docs LEFT JOIN spans ON docs.doc_id = spans.doc_id GROUP BY docs.doc_id
+"""
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     found, _ = scan_secrets(read(spark, sf_dir, "documents").select("doc_id", "text"))
     kinds = [r.kind for r in BASE_RULES]

@@ -105,8 +105,9 @@ def test_op2_odd_rows(spark):
     assert op2_topk.search_topk(t.limit(0), t).count() == 0
 
 
-def test_op2_query_equals_sql(spark, same):
-    same(op2_topk.query(spark, DATA), op2_topk.ORACLE)
+@pytest.mark.parametrize("name", sorted(entries.oracle_sql()))
+def test_query_equals_sql(name, spark, same):
+    same(entries.queries()[name](spark, DATA), entries.oracle_sql()[name])
 
 
 def mixed(spark, hot=300, small=20):
@@ -191,10 +192,6 @@ def test_op4_one_kind_or_none(spark):
     assert op4_url_filter.judge_urls(pages(spark, ["x"]).limit(0)).count() == 0
 
 
-def test_op5_query_equals_sql(spark, same):
-    same(op5_line_dedup.query(spark, DATA), op5_line_dedup.ORACLE)
-
-
 def test_op5_odd_rows(spark):
     line = "a line that three documents share"
     more = [(10, f"{line}\nkeep ten"), (11, f"  {line.upper()}\x0b\nkeep eleven\n"), (12, f"x\n{line}\n{line}"), (13, "two share this one line here"), (14, "two share this one line here"), (None, line), (15, "\n".join(f"line {k} of a very long text indeed" for k in range(3000)))]
