@@ -157,14 +157,21 @@ def pearson(a: ColumnLike, b: ColumnLike) -> Column:
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
-def key_hash(c: ColumnLike, seed: int = 12345) -> Column:
-    """A linear congruential hash of an integer key, in whole-number arithmetic that any engine repeats: 0 to 2**31 - 2."""
-    return F.pmod(col(c).cast("long") * 1103515245 + seed, F.lit(2147483647))
+def key_hash(c: ColumnLike, seed: int = 12345, multiplier: int = 1103515245) -> Column:
+    """A linear congruential hash of an integer key, in whole-number arithmetic that any engine repeats: 0 to 2**31 - 2.
 
+    Hashes of one key that differ in the seed alone are near each other; what must be independent needs its own multiplier."""
+    return F.pmod(col(c).cast("long") * multiplier + seed, F.lit(2147483647))
 
-def uniform(c: ColumnLike, seed: int = 12345) -> Column:
+
+def uniform(c: ColumnLike, seed: int = 12345, multiplier: int = 1103515245) -> Column:
     """key_hash as a number in [0, 1)."""
-    return key_hash(c, seed) / F.lit(2147483647.0)
+    return key_hash(c, seed, multiplier) / F.lit(2147483647.0)
+
+
+def independent_uniform(c: ColumnLike, seed: int) -> Column:
+    """A number in [0, 1) from a 64-bit hash: independent of those of other seeds."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), col(c)), 11) / F.lit(float(2**53))
 
 
 def agreement(scores: list[Column], threshold: float = 0.5) -> Column:

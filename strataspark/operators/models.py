@@ -187,3 +187,24 @@ def nested_fit(df: DataFrame, outer: int, inner: int, key: str, candidates: list
         told = score(fit(train, **best), test).select(F.lit(o).alias("outer_fold"), key, label, "score", (F.col("score") >= threshold).cast("int").alias("prediction"), F.lit(threshold).alias("threshold"))
         out = told if out is None else out.unionByName(told)
     return out
+
+
+def save_checked(model: PipelineModel, path: str, features: list[str], spark: SparkSession) -> None:
+    """A model beside the list of its features, in order."""
+    model.write().save(f"{path}/model")
+    spark.createDataFrame(list(enumerate(features)), "place int, feature string").coalesce(1).write.parquet(f"{path}/features")
+
+
+def load_checked(spark: SparkSession, path: str, features: list[str]) -> PipelineModel:
+    """The model saved at a path; its features must be the expected ones, in order, and its classes 0 and 1."""
+    from strataspark.operators.quality import first_difference
+
+    saved = [r.feature for r in spark.read.parquet(f"{path}/features").orderBy("place").collect()]
+    at = first_difference(saved, features)
+    if at >= 0:
+        raise ValueError(f"features differ at {at}: {saved[at : at + 1]} saved, {features[at : at + 1]} expected")
+    model = PipelineModel.load(f"{path}/model")
+    last = model.stages[-1]
+    if last.numClasses != 2 or last.numFeatures != len(features):
+        raise ValueError(f"{last.numClasses} classes, {last.numFeatures} features")
+    return model

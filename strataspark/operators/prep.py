@@ -120,6 +120,35 @@ def seeded_shuffle(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
     return df.orderBy(key_hash(key, seed), key)
 
 
+def stratified_sample(df: DataFrame, key: str, label: str, n: int, seed: int = 42) -> DataFrame:
+    """About n rows with the classes' shares: round(n * share) of each, the first by a hash of the key."""
+    total = df.count()
+    x = running_sum(df.withColumns({"_h": key_hash(key, seed), "_one": F.lit(1)}), "_h", {"_one": "_rank"}, by=[label])
+    size = F.broadcast(df.groupBy(label).agg(F.round(F.count("*") * (n / max(1, total))).cast("long").alias("_n")))  # one row per class
+    return x.join(size, label).where(F.col("_rank") <= F.col("_n")).drop("_h", "_one", "_rank", "_n")
+
+
+def typical_row(df: DataFrame, numbers: list[str], categories: list[str]) -> DataFrame:
+    """One row: exact medians and commonest classes."""
+    from strataspark.operators.tables import mode_by
+
+    out = df.agg(*[F.median(c).alias(c) for c in numbers])
+    for c in categories:
+        out = out.join(F.broadcast(mode_by(df.withColumn("_g", F.lit(1)), ["_g"], c).select(F.col("mode").alias(c))))
+    return out
+
+
+def row_of_class(df: DataFrame, key: str, label: str, value: int, seed: int = 42) -> DataFrame:
+    """A row of a class, chosen by a hash."""
+    return df.where(F.col(label) == value).orderBy(key_hash(key, seed), key).limit(1)
+
+
+def class_profile(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, known): the sorted classes that training has seen."""
+    one = df.agg(*[F.sort_array(F.collect_set(c)).alias(c) for c in columns])
+    return one.unpivot([], columns, "column", "known")
+
+
 def seeded_places(df: DataFrame, key: str, name: str, seed: int = 42) -> DataFrame:
     """df with each row's place, from 1, in that order."""
     return running_sum(df.withColumns({"_h": key_hash(key, seed), "_one": F.lit(1)}), "_h", {"_one": name}).drop("_h", "_one")
@@ -166,7 +195,7 @@ def smote(df: DataFrame, label: str, minority: int, k: int = 5, seed: int = 42)
     each = ranked.join(near, "id").where(copies > 0).select("id", "v", "_near", F.explode(F.sequence(F.lit(1), copies)).alias("_c"))
     pick = F.element_at("_near", (F.pmod(key_hash(F.col("id") * 131 + F.col("_c"), seed), F.size("_near")) + 1).cast("int"))["nid"]
     other = mine.select(F.col("id").alias("_nid"), F.col("v").alias("_nv"))
-    made = each.withColumn("_nid", pick).join(other, "_nid").withColumn("_t", uniform(F.col("id") * 977 + F.col("_c"), seed + 1))
+    made = each.withColumn("_nid", pick).join(other, "_nid").withColumn("_t", uniform(F.col("id") * 977 + F.col("_c"), seed + 1, 811297697))
     out = made.select((-(F.col("id") * 1000 + F.col("_c"))).alias("id"), F.transform(F.arrays_zip("v", "_nv"), lambda x: x["v"] + F.col("_t") * (x["_nv"] - x["v"])).alias("v"), F.lit(minority).alias(label))
     return df.select("id", "v", label).unionByName(out)
 

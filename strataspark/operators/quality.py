@@ -52,3 +52,15 @@ def only_own_dummy(df: DataFrame, value: str, dummies: dict[str, str]) -> DataFr
     for v, c in dummies.items():
         wrong |= F.col(f"`{c}`") != (F.col(value).eqNullSafe(F.lit(v))).cast("double")
     return df.where(wrong)
+
+
+def header_faults(header: DataFrame, cells: DataFrame, cell_m: float = 30.0) -> DataFrame:
+    """What a product's stored zone table (zone, cells, area_km2, share) gets wrong against its cells (zone): one row per wrong value."""
+    from strataspark.functions.columns import cells_km2
+
+    now = cells.groupBy("zone").agg(F.count("*").alias("n"))
+    scored = cells.agg(F.count_if(F.col("zone") > 0).alias("scored"))
+    x = header.join(now, "zone", "full").join(F.broadcast(scored))
+    n = F.coalesce("n", F.lit(0))
+    checks = {"cells": ~F.col("cells").eqNullSafe(n), "area": F.coalesce(F.abs(F.col("area_km2") - cells_km2(n, cell_m)) > 1e-6, F.lit(True)), "share": (F.col("zone") > 0) & F.coalesce(F.abs(F.col("share") - n / F.col("scored")) > 1e-6, F.lit(True))}
+    return x.select("zone", F.explode(F.array_compact(F.array(*[F.when(c, k) for k, c in checks.items()]))).alias("fault"))

@@ -138,3 +138,32 @@ UNION ALL SELECT 'high_correlation', 'q~p', round(abs(corr(q, p)), 6), 'warn' FR
 def quality_findings(spark, d):
     x = table(spark, d, "lineitem").select(F.col("l_quantity").alias("q"), F.when(F.col("l_suppkey") % 7 != 0, F.col("l_tax")).alias("t"), F.col("l_extendedprice").alias("p"), F.lit(1.0).alias("one"), F.col("l_linenumber").cast("double").alias("ln"), (F.col("l_returnflag") == "R").cast("int").alias("y"))
     return findings(x, ["q", "t", "p", "one", "ln"], "y", {"q": (0.0, 45.0)})
+
+
+@query("SELECT * FROM (VALUES (0, 2400), (1, 1200)) AS t(label, n)")
+def synthetic_terrain(spark, d):
+    from strataspark.operators.synthetic import terrain
+
+    return terrain(spark).groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query("""WITH h AS (SELECT o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus ORDER BY (o_orderkey * 1103515245 + 42) % 2147483647) AS k, count(*) OVER (PARTITION BY o_orderstatus) AS n, count(*) OVER () AS t FROM orders)
+SELECT o_orderkey, o_orderstatus FROM h WHERE k <= round(n * (500.0::DOUBLE / t))""")
+def stratified_sample(spark, d):
+    return P.stratified_sample(table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey", "o_orderstatus", 500)
+
+
+@query("SELECT round(median(p_size), 6) AS size, round(median(p_retailprice), 6) AS price, (SELECT p_type FROM part GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS p_type FROM part")
+def typical_part(spark, d):
+    t = P.typical_row(table(spark, d, "part"), ["p_size", "p_retailprice"], ["p_type"])
+    return t.select(C.rnd("p_size").alias("size"), C.rnd("p_retailprice").alias("price"), "p_type")
+
+
+@query("SELECT 'p_type' AS \"column\", list_sort(list(DISTINCT p_type)) AS known FROM part UNION ALL SELECT 'p_brand', list_sort(list(DISTINCT p_brand)) FROM part")
+def class_profile(spark, d):
+    return P.class_profile(table(spark, d, "part"), ["p_type", "p_brand"])
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F' ORDER BY (o_orderkey * 1103515245 + 42) % 2147483647 LIMIT 1")
+def hashed_example(spark, d):
+    return P.row_of_class(table(spark, d, "orders").withColumn("f", (F.col("o_orderstatus") == "F").cast("int")), "o_orderkey", "f", 1).select("o_orderkey", "o_orderstatus")

@@ -133,9 +133,9 @@ def length_by_class(spark, d):
     return c.groupBy(F.col("n_name").alias("class")).agg(C.rnd(F.sum(F.hypot(k * 31 % 1000, k * 57 % 1000)) / 1000, 4).alias("km")).orderBy(F.desc("km"))
 
 
-@query("SELECT i AS id, round((i * 1103515245 + 1) % 2147483647 / 2147483647.0::DOUBLE * 100000, 4) AS x, round((i * 1103515245 + 2) % 2147483647 / 2147483647.0::DOUBLE * 100000, 4) AS y FROM (SELECT unnest(range(20000)) AS i)")
+@query("SELECT i AS id, round((i * 1103515245 + 1) % 2147483647 / 2147483647.0::DOUBLE * 100000, 4) AS x, round((i * 811297697 + 2) % 2147483647 / 2147483647.0::DOUBLE * 100000, 4) AS y FROM (SELECT unnest(range(20000)) AS i)")
 def random_points(spark, d):
-    return spark.range(20_000).select("id", C.rnd(C.uniform("id", 1) * 100_000, 4).alias("x"), C.rnd(C.uniform("id", 2) * 100_000, 4).alias("y"))
+    return spark.range(20_000).select("id", C.rnd(C.uniform("id", 1) * 100_000, 4).alias("x"), C.rnd(C.uniform("id", 2, 811297697) * 100_000, 4).alias("y"))
 
 
 @query(f"WITH {POINTS} SELECT id FROM points WHERE floor(x / 30)::BIGINT % 7 = 0 AND floor(y / 30)::BIGINT % 7 = 0")

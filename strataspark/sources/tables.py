@@ -83,3 +83,23 @@ def read_window(spark: SparkSession, path: str, top: int, left: int, height: int
     """Cells of a window of a raster written by write_raster; partitions outside aren't listed, row groups outside are skipped."""
     cells = spark.read.parquet(path)
     return cells.where(F.col("tile_row").between(top // tile, (top + height - 1) // tile) & F.col("row").between(top, top + height - 1) & F.col("col").between(left, left + width - 1)).drop("tile_row")
+
+
+def write_report(lines: DataFrame, path: str) -> None:
+    """(place, line) as one text file, in order; reports are small."""
+    lines.orderBy("place").select("line").coalesce(1).write.mode("errorifexists").text(path)
+
+
+def merge_section(path: str, section: str, values: dict) -> dict:
+    """A JSON document on the driver's disk with one section replaced and stamped; the others stay."""
+    import json
+    from datetime import UTC, datetime
+    from pathlib import Path
+
+    p = Path(path)
+    doc = json.loads(p.read_text()) if p.exists() else {}
+    doc[section] = values | {"written": datetime.now(UTC).isoformat(timespec="seconds")}
+    new = p.with_suffix(p.suffix + ".new")
+    new.write_text(json.dumps(doc, indent=1, sort_keys=True))
+    new.replace(p)
+    return doc

@@ -246,3 +246,53 @@ def test_verified_products(spark):
     man = spark.createDataFrame([("p", "a", "1", 1), ("p", "b", "2", 1), ("q", "a", "1", 1)], "product string, name string, sha256 string, bytes long")
     files = spark.createDataFrame([("a", "1", 1)], "name string, sha256 string, bytes long")
     assert rows(V.verified_products(man, files)) == [("q",)]
+
+
+def test_synthetic_terrain(spark):
+    from strataspark.operators.synthetic import pool, terrain
+
+    t = terrain(spark, positives=100, negatives=200, n=5000, missing={"soil_type": 0.2})
+    assert rows(t.groupBy("label").count()) == [(0, 200), (1, 100)] and 30 < t.where("soil_type IS NULL").count() < 90
+    assert pool(spark, 1000).where("slope < 1 AND aspect <> -1").isEmpty()
+    assert rows(terrain(spark, 20, 20, 2000).select("id")) == rows(terrain(spark, 20, 20, 2000).repartition(3).select("id"))
+
+
+def test_header_faults(spark):
+    from strataspark.operators.quality import header_faults
+
+    cells = spark.createDataFrame([(0,)] * 4 + [(1,)] * 6 + [(2,)] * 4, "zone int")
+    good = [(0, 4, 0.0036, None), (1, 6, 0.0054, 0.6), (2, 4, 0.0036, 0.4)]
+    kind = "zone int, cells long, area_km2 double, share double"
+    assert header_faults(spark.createDataFrame(good, kind), cells).isEmpty()
+    assert rows(header_faults(spark.createDataFrame([good[0], (1, 5, 0.0054, 0.6), (2, 4, 0.0036, 0.5)], kind), cells)) == [(1, "cells"), (2, "share")]
+    assert {r.zone for r in header_faults(spark.createDataFrame(good[:2], kind), cells).collect()} == {2}
+
+
+def test_saved_models_keep_their_contract(spark, tmp_path):
+    from strataspark.operators import models as L
+
+    df = spark.createDataFrame([(float(i), float(i % 5), int(i > 20)) for i in range(40)], "a double, b double, label int")
+    L.save_checked(L.fit_forest(df, ["a", "b"], "label", trees=2, depth=2), str(tmp_path / "m"), ["a", "b"], spark)
+    assert L.score(L.load_checked(spark, str(tmp_path / "m"), ["a", "b"]), df).count() == 40
+    with pytest.raises(ValueError):
+        L.load_checked(spark, str(tmp_path / "m"), ["b", "a"])
+
+
+def test_reports_and_sections(spark, tmp_path):
+    Src.write_report(spark.createDataFrame([(2, "b"), (1, "a")], "place int, line string"), str(tmp_path / "r"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "r")).collect()] == ["a", "b"]
+    Src.merge_section(str(tmp_path / "m.json"), "x", {"k": 1})
+    doc = Src.merge_section(str(tmp_path / "m.json"), "y", {"k": 2})
+    assert doc["x"]["k"] == 1 and doc["y"]["k"] == 2 and "written" in doc["y"]
+
+
+def test_inventory_and_checked_writes(spark, tmp_path):
+    Src.write_checked(spark.range(5), str(tmp_path / "w"), "id")
+    with pytest.raises(ValueError):
+        Src.write_checked(spark.range(5).union(spark.range(1)), str(tmp_path / "v"), "id")
+    files = Src.file_inventory(spark, str(tmp_path / "w"))
+    assert Src.inventory_faults(files, files).isEmpty()
+
+
+def test_rates_and_projection():
+    assert M.projection(1000, 100.0, 4.0, 8000.0) == {"seconds": 10.0, "cells_at_once": 500.0}
