@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import cut, read
 from .vectors import QUERY_BLOCK, best, matrix, ranked, vectors
 
-DIMS, SAMPLE, LEAF, CONFIDENCE, RINGS, SEED = 16, 20_000, 2048, 0.98, 4, 5
+DIMS, SAMPLE, LEAF, CONFIDENCE, RINGS, AT_ONCE, SEED = 16, 20_000, 2048, 0.98, 4, 512, 5
 K, QUERY_MOD = 20, 20
 
 
@@ -149,11 +149,17 @@ def search_ann(vecs: DataFrame, queries: DataFrame, k: int = K, dims: int = DIMS
         return run
 
     def meet(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        """Queries against the vectors of a leaf."""
-        if left.empty or right.empty:
-            return pd.DataFrame([], columns=["query_id", "top"], dtype=object)
-        q, v, ids, me = matrix(left["v"]), matrix(right["v"]), right["vec_id"].to_numpy(np.int64), left["query_id"].to_numpy(np.int64)
-        pq, pv = project(q, True), matrix(right["p"])
+        """Queries against the vectors of a leaf, AT_ONCE queries at a time, which bounds the matrices."""
+        out = []
+        if not left.empty and not right.empty:
+            v, pv, ids = matrix(right["v"]), matrix(right["p"]), right["vec_id"].to_numpy(np.int64)
+            for a in range(0, len(left), AT_ONCE):
+                out += verify(left.iloc[a : a + AT_ONCE], v, pv, ids)
+        return pd.DataFrame(out, columns=["query_id", "top"], dtype=object)
+
+    def verify(left: pd.DataFrame, v: np.ndarray, pv: np.ndarray, ids: np.ndarray) -> list[tuple]:
+        q, me = matrix(left["v"]), left["query_id"].to_numpy(np.int64)
+        pq = project(q, True)
         apart = np.maximum(0, (pq * pq).sum(1)[:, None] + (pv * pv).sum(1)[None] - 2 * pq @ pv.T)
         base = most2 + (q * q).sum(1)
         bound = left["bound"].to_numpy(float).copy()  # the k-th product known so far; -inf: none
@@ -181,7 +187,7 @@ def search_ann(vecs: DataFrame, queries: DataFrame, k: int = K, dims: int = DIMS
                 exact = _products(q[i][None], v[at])
                 at, exact = at[(o := best(exact, ids[at], k))], exact[o]
                 out.append((me[i], [{"score": float(s), "vec_id": int(x)} for s, x in zip(exact, ids[at], strict=True)]))
-        return pd.DataFrame(out, columns=["query_id", "top"], dtype=object)
+        return out
 
     shape = "query_id long, v array<double>, bound double, leaf long, salt long, q_block int"
     asked = queries.select(F.col("vec_id").alias("query_id"), "v", F.lit(float("-inf")).alias("bound"), F.pmod(F.xxhash64(F.col("vec_id"), F.lit(1)), F.lit(q_blocks)).cast("int").alias("q_block"))
