@@ -124,7 +124,7 @@ def stratified_sample(df: DataFrame, key: str, label: str, n: int, seed: int = 4
     """About n rows with the classes' shares: round(n * share) of each, the first by a hash of the key."""
     total = df.count()
     x = running_sum(df.withColumns({"_h": key_hash(key, seed), "_one": F.lit(1)}), "_h", {"_one": "_rank"}, by=[label])
-    size = F.broadcast(df.groupBy(label).agg(F.round(F.count("*") * (n / max(1, total))).cast("long").alias("_n")))  # one row per class
+    size = df.groupBy(label).agg(F.round(F.count("*") * (n / max(1, total))).cast("long").alias("_n"))
     return x.join(size, label).where(F.col("_rank") <= F.col("_n")).drop("_h", "_one", "_rank", "_n")
 
 

@@ -129,7 +129,7 @@ def rejection_counts(spark, d):
 @query("SELECT n_name AS class, round(sum(sqrt(((c_custkey * 31 % 1000) * (c_custkey * 31 % 1000) + (c_custkey * 57 % 1000) * (c_custkey * 57 % 1000))::DOUBLE)) / 1000, 4) AS km FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1 ORDER BY 2 DESC")
 def length_by_class(spark, d):
     k = F.col("c_custkey")
-    c = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     return c.groupBy(F.col("n_name").alias("class")).agg(C.rnd(F.sum(F.hypot(k * 31 % 1000, k * 57 % 1000)) / 1000, 4).alias("km")).orderBy(F.desc("km"))
 
 

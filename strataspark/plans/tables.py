@@ -19,7 +19,7 @@ g AS (SELECT nation, zone FROM (SELECT DISTINCT nation FROM z) CROSS JOIN (SELEC
 f AS (SELECT g.nation, g.zone, coalesce(c, 0)::BIGINT AS cells FROM g LEFT JOIN z USING (nation, zone))
 SELECT nation, zone, cells, round(cells * 900.0 / 1e6, 6) AS area_km2, round(CASE WHEN zone = 0 THEN NULL ELSE cells::DOUBLE / sum(CASE WHEN zone > 0 THEN cells END) OVER (PARTITION BY nation) END, 6) AS share FROM f""")
 def zonal_profile(spark, d):
-    s = scored(spark, d).join(table(spark, d, "supplier"), F.col("suppkey") == F.col("s_suppkey")).join(F.broadcast(table(spark, d, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
+    s = scored(spark, d).join(table(spark, d, "supplier"), F.col("suppkey") == F.col("s_suppkey")).join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     return zone_table(s.select(F.col("n_name").alias("nation"), C.zone("score").alias("zone")), "nation")
 
 
