@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 
 from .common import read, small_batches, text_of
 
-GROUP, CACHE, ROUNDS, BATCH = 8192, 800_000, 4, 512
+GROUP, CACHE, ROUNDS, BATCH = 8192, 1_200_000, 4, 512
 DONORS = 4
 TAIL = ".,!?;:$%&#*"
 PIECES = "piece int, start long, length long, ids_crc32 long"
