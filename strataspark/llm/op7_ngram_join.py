@@ -199,7 +199,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: fl
     counts = found.groupBy("node").agg(F.sum("links").alias("n_links"))
     classes = components(found, "node", "to")
     told = counts.join(classes, "node", "left").select(F.col("node").alias("copy_id"), F.coalesce("comp", "node").alias("class_id"), "n_links")
-    out = skew_join(each.select("doc_id", "digest"), copies, "digest", "n_copies", each.count()).join(told, "copy_id", "left")
+    texts_told = copies.join(told, "copy_id", "left")  # one row per different text
+    out = skew_join(each.select("doc_id", "digest"), texts_told, "digest", "n_copies", each.count())
     return out.select("doc_id", F.coalesce("class_id", "copy_id").alias("class_id"), "copy_id", "n_copies", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
 
