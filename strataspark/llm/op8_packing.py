@@ -18,12 +18,13 @@ from sys import byteorder
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .common import read, small_batches, text_of
 
-GROUP, CACHE, ROUNDS, BATCH = 8192, 1_200_000, 4, 512
+GROUP, CACHE, ROUNDS = 8192, 1_200_000, 4
 DONORS = 4
 TAIL = ".,!?;:$%&#*"
 PIECES = "piece int, start long, length long, ids_crc32 long"
@@ -41,18 +42,6 @@ def _bytes(ids: list[int]) -> bytes:
     return a.tobytes()
 
 
-def _lower(text: str) -> str:
-    """The text in lower case, as the tokenizer would make it, if that is sure: Latin-1 texts without a special token's bracket."""
-    if "<|" in text:
-        return text
-    if not text.isascii():
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return text
-    return text.lower()
-
-
 class Encoder:
     """Word-by-word use of a byte-level BPE tokenizer whose pre-tokenizer never crosses a space, with a bounded cache.
 
@@ -79,35 +68,39 @@ class Encoder:
             out[w] = _bytes(c.ids)
         return out
 
-    def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit numbers."""
-        words = [_lower(t).replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+    def codes(self, words: list[str]) -> list[bytes]:
+        """Each word's ids as little-endian unsigned 32-bit numbers."""
         known = self.known
-        new = set().union(*words).difference(known)
+        new = [w for w in words if w not in known]
         parts = {w: (core, w[len(core) :]) for w in new if (core := w.rstrip(TAIL)) != w and core[-1:].isalnum()}
-        need = new.difference(parts)
+        need = set(new).difference(parts)
         need.update(x for pair in parts.values() for x in pair)
         fresh = self._encode(list(need.difference(known)))
         for w, (core, tail) in parts.items():
             fresh[w] = (fresh.get(core) or known[core]) + (fresh.get(tail) or known[tail])
         if len(known) + len(fresh) <= CACHE:  # the words met first are the frequent ones
             known.update(fresh)
-            fresh = known
-        else:
-            fresh = _Over(fresh, known)
-        for w in words:
-            yield b"".join(map(fresh.__getitem__, w))
-
-
-class _Over(dict):
-    """A dict with a larger one behind it."""
-
-    def __init__(self, own: dict, behind: dict):
-        super().__init__(own)
-        self.behind = behind
-
-    def __missing__(self, key):
-        return self.behind[key]
+            return [known[w] for w in words]
+        return [known[w] if w in known else fresh[w] for w in words]
+
+    def __call__(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """Each text's ids. Texts are split and their words numbered as Arrow columns; only different words become Python strings.
+
+        A-Z are lower-cased first, as the tokenizer would, but for texts that may hold one of its special tokens."""
+        low = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        lists = pc.ascii_split_whitespace(low)
+        words = lists.flatten().dictionary_encode()
+        codes = self.codes(words.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, codes), np.int64, len(codes)) // 4
+        data, starts = np.frombuffer(b"".join(codes), "<u4"), np.cumsum(sizes) - sizes
+        at = words.indices.to_numpy()
+        n = sizes[at]
+        ends = np.cumsum(n)
+        ids = data[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[at] - ends + n, n)]
+        offsets = lists.offsets.to_numpy()
+        bounds = np.concatenate([[0], ends])[offsets - offsets[0]]
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            yield ids[a:b]
 
 
 @cache
@@ -117,24 +110,22 @@ def encoder(path: str) -> Encoder:
 
 
 def _pieces(path: str, capacity: int, end_id: int, groups: int, with_ids: bool):
-    end = np.asarray([end_id], "<u4").tobytes()
+    end = np.asarray([end_id], "<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, k = encoder(path), TaskContext.get().partitionId() * 7919
         for batch in batches:
-            texts, ids = batch.column("text").to_pylist(), batch.column("doc_id")
-            for at in range(0, len(texts), BATCH):
-                row, out = [], {c: [] for c in ("piece", "start", "length", "ids_crc32", "_group", *(["ids"] if with_ids else []))}
-                for i, code in enumerate(encode(texts[at : at + BATCH]), at):
-                    code += end
-                    for piece, b in enumerate(range(0, len(code), 4 * capacity)):
-                        part = code[b : b + 4 * capacity]
-                        row.append(i)
-                        for c, v in zip(out, (piece, b // 4, len(part) // 4, zlib.crc32(part), k % groups, np.frombuffer(part, "<u4").astype("i4") if with_ids else None), strict=False):
-                            out[c].append(v)
-                    k += 1
-                types = {"piece": pa.int32(), "_group": pa.int32(), "ids": pa.list_(pa.int32())}
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row, pa.int64())), *(pa.array(v, types.get(c, pa.int64())) for c, v in out.items())], names=["doc_id", *out])
+            row, out = [], {c: [] for c in ("piece", "start", "length", "ids_crc32", "_group", *(["ids"] if with_ids else []))}
+            for i, code in enumerate(encode(batch.column("text"))):
+                code = np.append(code, end)
+                for piece, b in enumerate(range(0, len(code), capacity)):
+                    part = code[b : b + capacity]
+                    row.append(i)
+                    for c, v in zip(out, (piece, b, len(part), zlib.crc32(part.tobytes()), k % groups, part.astype("i4") if with_ids else None), strict=False):
+                        out[c].append(v)
+                k += 1
+            types = {"piece": pa.int32(), "_group": pa.int32(), "ids": pa.list_(pa.int32())}
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row, pa.int64())), *(pa.array(v, types.get(c, pa.int64())) for c, v in out.items())], names=["doc_id", *out])
 
     return run
 
