@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 
 from .common import read, small_batches, text_of
 
-GROUP, CACHE, ROUNDS = 8192, 1_200_000, 4
+GROUP, CACHE, ROUNDS = 8192, 500_000, 4
 DONORS = 4
 TAIL = ".,!?;:$%&#*"
 PIECES = "piece int, start long, length long, ids_crc32 long"
