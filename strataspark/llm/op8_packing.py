@@ -13,6 +13,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import cache
+from itertools import islice
 from sys import byteorder
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 
 from .common import read, small_batches, text_of
 
-GROUP, CACHE, ROUNDS = 8192, 500_000, 4
+GROUP, CACHE, KEEP, ROUNDS = 8192, 500_000, 100_000, 4
 DONORS = 4
 TAIL = ".,!?;:$%&#*"
 PIECES = "piece int, start long, length long, ids_crc32 long"
@@ -83,6 +84,11 @@ class Encoder:
             return [known[w] for w in words]
         return [known[w] if w in known else fresh[w] for w in words]
 
+    def trim(self) -> None:
+        """Keeps the KEEP words met first: a worker lives on after the task, and other stages need its memory."""
+        if len(self.known) > KEEP:
+            self.known = dict(islice(self.known.items(), KEEP))
+
     def __call__(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """Each text's ids. Texts are split and their words numbered as Arrow columns; only different words become Python strings.
 
@@ -126,6 +132,7 @@ def _pieces(path: str, capacity: int, end_id: int, groups: int, with_ids: bool):
                 k += 1
             types = {"piece": pa.int32(), "_group": pa.int32(), "ids": pa.list_(pa.int32())}
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row, pa.int64())), *(pa.array(v, types.get(c, pa.int64())) for c, v in out.items())], names=["doc_id", *out])
+        encode.trim()
 
     return run
 
