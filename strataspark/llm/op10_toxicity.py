@@ -1,7 +1,7 @@
 """Toxicity: noisy-channel deobfuscation, then scoring of the restored words.
 
 1. A character trigram model is counted over every document (28 symbols, so 28**3 counts whatever the size).
-2. A token that looks disguised (digits or signs among its letters, a letter three times running, single letters
+2. A token that looks disguised (digits or signs among or for its letters, a letter three times running, single letters
    apart) is a lattice: each place has the letters it may stand for, each with a channel cost. Viterbi
    finds its most likely reading under the model. A distinct token is decoded once per worker's cache.
 3. From at most MAX_LABELLED labelled training documents, words get log odds of standing in toxic
@@ -35,12 +35,17 @@ THRESHOLD = 0.7
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "*": "aeiou"}
 SIGN_COST, SHORTEN_COST, DOUBLE_COST = 1.0, 0.5, 1.5
 READINGS, MARGIN = 4, 8.0
+#: Letters that are words of their own. As many as ENDS of them, or signs, may stand before or behind a spaced-out word.
+SINGLE, ENDS = frozenset("aeiouyrnwzàèéìòóôö"), 3
 SYMBOLS = 28  # 0: between words, 1-26: a-z, 27: any other letter
 
 _HIDDEN = re.compile("[­​-‏⁠﻿]")
 _WORD = re.compile(r"[^\W\d_]+")
 _APART = re.compile(r"(?:\w[\W_]){2,}\w")
-_SPACED = re.compile(r"(?<!\S)(?:\S[ \t]+){2,}\S(?!\S)")
+#: Single characters between blanks; signs may stand before the first and behind the last.
+_SPACED = re.compile(r"(?<!\S)[^\w\s]*(\S(?:[ \t]+\S)+[ \t]+\S)[^\w\s]*(?!\S)")
+#: Numbers and amounts are no words, though their digits may stand for letters.
+_AMOUNT = re.compile(r"\+?[$€]?[^+$€@!|(*]*[+$€]?")
 _RUN = re.compile(r"(.)\1*", re.S)
 _TABLE = np.zeros(256, np.uint16)
 _TABLE[97:123] = _TABLE[65:91] = np.arange(1, 27)
@@ -108,29 +113,44 @@ def decode(token: str, lm: np.ndarray) -> list[str]:
 
 
 def disguised(token: str) -> bool:
-    letters = sum(c.isalpha() for c in token)
-    signs = sum(c in LEET for c in token)
-    return letters > 0 and (0 < signs <= (letters if len(token) > 12 else 2 * letters) or any(len(m[0]) > 2 and m[1].isalpha() for m in _RUN.finditer(token)) or bool(_APART.fullmatch(token)))
+    if not any(c.isalpha() for c in token):
+        return any(c in LEET for c in token) and not _AMOUNT.fullmatch(token)
+    return any(c in LEET for c in token) or any(len(m[0]) > 2 and m[1].isalpha() for m in _RUN.finditer(token)) or bool(_APART.fullmatch(token))
 
 
-def restored(token: str, lm: np.ndarray) -> list[str]:
-    """The words of a token, among them the decoded one if it looks disguised."""
+def restored(token: str, lm: np.ndarray, longest: int | None = None) -> list[str]:
+    """The words of a token, among them the decoded one if it looks disguised.
+
+    With longest, tokens that can only be read as more letters aren't decoded."""
     if not token.isascii():
         token = unicodedata.normalize("NFKC", _HIDDEN.sub("", token))
     words = _WORD.findall(token)
     core = token.strip(".,;:?\"'()[]{}<>#%&*-_~`^=/\\ ")
     core = core.rstrip("!")
-    if core and disguised(core):
+    if core and disguised(core) and (longest is None or len(core) <= longest or len(lattice(core)) <= longest):
         words += decode(core, lm)
     return words
 
 
-def spaced(text: str, tokens: set[str]) -> list[str]:
-    """Runs of at least three single characters, joined; runs of one character repeated aren't words."""
-    if sum(len(t) == 1 for t in tokens) < 3:
-        return []
-    joined = ("".join(m[0].split()) for m in _SPACED.finditer(text))
-    return [x for x in joined if len(set(x)) > 2]
+def spaced(text: str) -> list[str]:
+    """Runs of at least three single characters, joined; runs of one character repeated aren't words.
+
+    Such a run is also joined without words of one letter and signs at its ends, as 'a' in 'a m o r o n'."""
+    out = []
+    for m in _SPACED.finditer(text):
+        run = m[1].split()
+        ends = []
+        for side in (run, run[::-1]):
+            n = 0
+            while n < min(ENDS, len(run)) and (side[n] in SINGLE or not side[n].isalpha()):
+                n += 1
+            ends.append(n)
+        for a in range(ends[0] + 1):
+            for b in range(ends[1] + 1):
+                part = run[a : len(run) - b]
+                if len(part) > 2 and len(set(part)) > 1 and (any(c.isalpha() for c in part) or disguised("".join(part))):
+                    out.append("".join(part))
+    return out
 
 
 class Reader:
@@ -143,7 +163,7 @@ class Reader:
         """Tokens as they stand, and spaced-out words joined."""
         low = text.lower()
         tokens = set(low.split())
-        extra = [w for x in spaced(low, tokens) if lattice(x) for w in decode(x, self.lm)]
+        extra = [w for x in spaced(low) if lattice(x) for w in decode(x, self.lm)]
         if len(self.known) > CACHE:
             self.known = {}
         for t in tokens.difference(self.known):
@@ -173,7 +193,7 @@ class ToxicityModel:
 class Scorer(Reader):
     def __init__(self, lm: np.ndarray, weights: dict[str, float]):
         super().__init__(lm)
-        self.weights, self.hot, self.seen = weights, {}, set()
+        self.weights, self.hot, self.seen, self.longest = weights, {}, set(), max(map(len, weights), default=0)
 
     def features(self, text: str, weights: dict[str, float] | None = None) -> tuple[float, float, float, float]:
         """1, then the sum, the largest and the number of the text's words' weights; other weights for the same words may be given."""
@@ -184,10 +204,10 @@ class Scorer(Reader):
         new = tokens.difference(self.seen)
         self.seen |= new
         for t in new:
-            if hit := [w for w in restored(t, self.lm) if w in self.weights]:
+            if hit := [w for w in restored(t, self.lm, self.longest) if w in self.weights]:
                 self.hot[t] = hit
         found = {w for t in tokens.intersection(self.hot) for w in self.hot[t]}
-        found.update(w for x in spaced(low, tokens) if lattice(x) for w in decode(x, self.lm) if w in self.weights)
+        found.update(w for x in spaced(low) if lattice(x) for w in decode(x, self.lm) if w in self.weights)
         ws = sorted((weights or self.weights)[w] for w in found)
         return 1.0, sum(ws), ws[-1] if ws else 0.0, float(len(ws))
 

@@ -434,6 +434,17 @@ def test_op10_restores_disguised_words(spark):
     assert all(got[k].held_out for k in held) and all(got[k].predicted == dict(labels)[k] for k in held)
 
 
+def test_op10_spaced_words_at_ends_and_tokens_of_signs(spark):
+    docs, labels = toxic_tables(spark)
+    docs = [(k, t.replace("moron", "ass")) if k % 10 else (k, t) for k, t in docs]  # a short word among the telling ones
+    hidden = {500: "you total i d i o t.", 501: "i d i o t!", 502: "you are a m o r o n", 503: "(m o r o n)", 504: "u r a m o r o n, ok", 505: "m o r o n u", 506: "a s s", 507: "what an @$$", 508: "@ $ $", 509: "1d107", 510: "1d1000000000t", 511: "i d i o t !"}
+    clean = {600: "rooms 455 and 4 5 5", 601: "$455 or +455", 602: "p a s s", 603: "a a a. a a a", 604: "j. r. r. river", 605: "10:30 2024-01-02 1,000.50"}
+    table = spark.createDataFrame(docs + list(hidden.items()) + list(clean.items()), "doc_id long, text string")
+    got = {r.doc_id: r for r in op10_toxicity.score_toxicity(table, op10_toxicity.fit_toxicity(table, spark.createDataFrame(labels, "doc_id long, toxic int"))).collect()}
+    assert all(got[k].predicted == 1 for k in hidden), {k: got[k].score for k in hidden}
+    assert all(got[k].predicted == 0 for k in clean), {k: got[k].score for k in clean}
+
+
 def test_op10_never_reads_held_out_labels(spark):
     docs, labels = toxic_tables(spark)
     d = spark.createDataFrame(docs, "doc_id long, text string")
