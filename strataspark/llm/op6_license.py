@@ -1,12 +1,13 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-Blocks are lines, as sets of words. A line has a template's label if it holds at least THRESHOLD of the template's words.
+Blocks are sets of words: lines and, for notices that are wrapped, runs of words over the ends of lines. A line has a template's label if it holds
+at least THRESHOLD of the template's words, a run if so many stand within SPAN times the template's length.
 1. The corpus is counted once for the templates' words; these are then ranked, rarest first.
 2. A template of n words that must share need = ceil(THRESHOLD * n) of them is indexed by its n - need + 1 rarest words only (prefix
-   filter). Lines without any such word are never split into words.
-3. A line is the sorted ranks of its template words. Lines meet templates on indexed words, if they have
+   filter). Blocks without any such word are never split into words.
+3. A block is the sorted ranks of its template words. Blocks meet templates on indexed words, if they have
    need words at all (length filter), and if what is left of both behind the match can still make need (positional filter).
-4. Each pair is verified once, at its first common word, by whole sets.
+4. Each pair is verified once, at its first common word, by whole sets, and in runs by the words' places.
 
 The templates are a parameter of at most MAX_TOKENS words, which bounds what is broadcast. All steps are DataFrame functions.
 """
@@ -34,7 +35,7 @@ TEMPLATES = {
     "redistribution and use in source and binary forms with or without modification are permitted": "bsd",
     "all rights reserved": "reserved",
 }
-THRESHOLD, MAX_TOKENS = 0.8, 100_000
+THRESHOLD, MAX_TOKENS, SPAN = 0.8, 100_000, 2
 
 
 def n_words(c: Column) -> Column:
@@ -78,8 +79,22 @@ def with_base(df: DataFrame, phrases: dict[str, str]) -> DataFrame:
     return df.withColumns(out).drop(*may, *[f"_n{k}" for k in range(len(keys))])
 
 
+def wrapped(text: Column, span: int) -> Column:
+    """Texts of more than one line as overlapping runs of 2 * span words; any span words in a row stand in one of them."""
+    runs = lambda ws: F.transform(F.sequence(F.lit(0), F.greatest(F.size(ws) - 1 - span, F.lit(0)), F.lit(span)), lambda k: F.array_join(F.slice(ws, k + 1, 2 * span), " "))
+    once = F.array(F.regexp_extract_all(text, F.lit(IN + "+"), F.lit(0)))  # a variable of transform, so that a text is split once
+    return F.when(F.contains(text, F.lit("\n")), F.flatten(F.transform(once, runs))).otherwise(F.array().cast("array<string>"))
+
+
+def most_within(at: Column, ranks: Column, span: Column) -> Column:
+    """The largest number of different ranks whose places lie within span words in a row."""
+    own = F.array(F.filter(at, lambda x: F.array_contains(ranks, x["rank"])))
+    near = lambda xs, s: F.size(F.array_distinct(F.transform(F.filter(xs, lambda x: (x["pos"] >= s["pos"]) & (x["pos"] < s["pos"] + span)), lambda x: x["rank"])))
+    return F.array_max(F.flatten(F.transform(own, lambda xs: F.transform(xs, lambda s: near(xs, s)))))
+
+
 def template_matches(docs: DataFrame, templates: dict[str, str], threshold: float) -> DataFrame:
-    """(_id, found, best): labels of the templates that some line of a document contains, and the largest containment."""
+    """(_id, found, best): labels of the templates that some line or run of a document contains, and the largest containment."""
     spark = docs.sparkSession
     sets = [(k, label, sorted(set(t.split()))) for k, (t, label) in enumerate(templates.items())]
     vocabulary = sorted({w for _, _, s in sets for w in s})
@@ -88,24 +103,29 @@ def template_matches(docs: DataFrame, templates: dict[str, str], threshold: floa
     seen = docs.select(F.explode(F.regexp_extract_all("_text", F.lit(_any(vocabulary)), F.lit(0))).alias("w")).groupBy(F.lower("w").alias("w")).count()
     counts = {r.w: r["count"] for r in seen.collect()}  # one row for each word of the templates
     order = {w: k for k, w in enumerate(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))}
-    index, prefix = [], set()
+    index, prefix, spans = [], set(), [SPAN * len(t.split()) for t in templates]
     for k, label, s in sets:
         ranks = sorted(order[w] for w in s)
         need = ceil(threshold * len(ranks) - 1e-9)
         for p, r in enumerate(ranks[: len(ranks) - need + 1]):
-            index.append((r, k, label, p, need, ranks))
+            index.append((r, k, label, p, need, ranks, spans[k]))
             prefix.add(r)
-    table = spark.createDataFrame(index, "rank int, template int, label string, p int, need int, ranks array<int>")
+    table = spark.createDataFrame(index, "rank int, template int, label string, p int, need int, ranks array<int>, span int")
     rare = _any([w for w, r in order.items() if r in prefix])
     ranks = F.create_map(*[F.lit(x) for w, r in order.items() for x in (w, r)])
-    lines = docs.where(F.col("_text").rlike(rare)).select("_id", F.explode(F.split("_text", "\n")).alias("line")).where(F.col("line").rlike(rare))
+    text = lambda run: lambda x: F.struct(x.alias("line"), F.lit(run).alias("run"))
+    both = F.concat(F.transform(F.split("_text", "\n"), text(False)), F.transform(wrapped(F.col("_text"), max(spans, default=1)), text(True)))
+    lines = docs.where(F.col("_text").rlike(rare)).select("_id", F.explode(both).alias("_b")).select("_id", F.col("_b.line").alias("line"), F.col("_b.run").alias("run")).where(F.col("line").rlike(rare))
+    rank = lambda w: F.element_at(ranks, w)
     words = F.regexp_extract_all(F.lower("line"), F.lit(_any(vocabulary)), F.lit(0))
-    blocks = lines.select("_id", F.array_sort(F.array_distinct(F.array_compact(F.transform(words, lambda w: F.element_at(ranks, w))))).alias("own"))
-    pairs = blocks.select("_id", "own", F.posexplode("own").alias("i", "rank")).join(F.broadcast(table), "rank")
+    places = F.filter(F.transform(F.split(F.lower("line"), " "), lambda w, k: F.struct(k.alias("pos"), rank(w).alias("rank"))), lambda x: x["rank"].isNotNull())
+    blocks = lines.select("_id", F.array_sort(F.array_distinct(F.array_compact(F.transform(words, rank)))).alias("own"), F.when(F.col("run"), places).alias("at"))
+    pairs = blocks.select("_id", "own", "at", F.posexplode("own").alias("i", "rank")).join(F.broadcast(table), "rank")
     pairs = pairs.where((F.size("own") >= F.col("need")) & (1 + F.least(F.size("ranks") - F.col("p") - 1, F.size("own") - F.col("i") - 1) >= F.col("need")))
     common = F.array_intersect("ranks", "own")
     hits = pairs.withColumn("common", common).where((F.size("common") >= F.col("need")) & (F.col("common")[0] == F.col("rank")))
-    return hits.groupBy("_id").agg(F.collect_set("label").alias("found"), F.max(F.size("common") / F.size("ranks")).alias("best"))
+    hits = hits.withColumn("held", F.when(F.col("at").isNull(), F.size("common")).otherwise(most_within(F.col("at"), F.col("ranks"), F.col("span")))).where(F.col("held") >= F.col("need"))
+    return hits.groupBy("_id").agg(F.collect_set("label").alias("found"), F.max(F.col("held") / F.size("ranks")).alias("best"))
 
 
 def scan_licenses(docs: DataFrame, phrases: dict[str, str] = BASE, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:

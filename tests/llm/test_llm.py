@@ -249,6 +249,15 @@ def test_op6_join_equals_brute_force(spark):
     assert op6_license.scan_licenses(docs.limit(0)).count() == 0
 
 
+def test_op6_wrapped_notices(spark):
+    bsd = "Copyright (c) X\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"
+    mit = "# Permission is hereby granted, free of charge, to any person\n# obtaining a copy of this software and associated files"
+    far = "\n".join(" ".join([w] + ["word"] * 40) for w in "redistribution and use in source and binary forms with or without modification are permitted".split())
+    texts = {1: bsd, 2: mit, 3: "word " * 61 + "\n" + bsd.replace(" ", "\r\n"), 4: "\n".join(["word"] * 5000) + "\n" + mit, 5: far, 6: "released under the\nMIT\nlicense", 7: "\n", 8: "all of us\nhave rights that every one of us has long\nreserved"}
+    got = {r.doc_id: (r.labels, r.score) for r in op6_license.scan_licenses(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == {1: ("bsd", 1.0), 2: ("mit", 1.0), 3: ("bsd", 1.0), 4: ("mit", 1.0), 5: ("", 0.0), 6: ("mit", 1.0), 7: ("", 0.0), 8: ("", 0.0)}
+
+
 def _base(text):
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
     return ",".join(sorted({label for p, label in op6_license.BASE.items() if any(w[k : k + len(p.split())] == p.split() for k in range(len(w)))}))
