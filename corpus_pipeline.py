@@ -17,9 +17,6 @@ from strataspark.llm.op7_ngram_join import keep_one
 from strataspark.llm.op8_packing import default_tokenizer, pack_documents
 from strataspark.llm.op10_toxicity import fit_toxicity, score_toxicity
 
-#: A source is shown at most this often. No document is left out.
-MAX_EPOCHS = 1.25
-
 
 def _counted(df: DataFrame, columns: list[str]) -> DataFrame:
     """The columns of documents, n_chars set anew."""
@@ -44,7 +41,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document at least once; those of small sources again, as their weights ask."""
-    return mix_sources(docs, max_epochs=MAX_EPOCHS)[0].select(*docs.columns)
+    return mix_sources(docs)[0].select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -500,6 +500,15 @@ def test_pipeline_stages(spark):
     assert set(got.doc_id) <= ids and got.groupby("sequence_id").length.sum().max() <= 4096
 
 
+def test_pipeline_mixes_as_op3_does(spark):
+    import corpus_pipeline as cp
+
+    data = [(k, "hot" if k < 190 else f"s{k % 19}", "one two three") for k in range(570)]  # a third beside 19 equal ones
+    docs = spark.createDataFrame(data, "doc_id long, source string, text string")
+    n = np.array([r["count"] for r in cp.mix(spark, docs, DATA).groupBy("source").count().collect()])
+    assert len(n) == 20 and -(n / n.sum() * np.log(n / n.sum())).sum() / np.log(20) > 0.94
+
+
 def test_pipeline_equals_brute_force(spark):
     """Lines, copies and mixing, followed by hand from what the toxicity stage leaves."""
     import corpus_pipeline as cp
