@@ -1,7 +1,8 @@
 """Best-fit packing of token sequences, improved by a local search that swaps documents between underfull bins.
 
-Documents are tokenized where they lie; only (document, piece, length) rows are shuffled, dealt into
-groups of about GROUP documents, so that no task holds more than a group. In a group the pieces
+Documents are tokenized where they lie; only (document, piece, length) rows are checkpointed and shuffled, dealt
+by a counter into groups of about GROUP documents, so that no task holds more than a group, whatever ids repeat. The
+checkpoint fixes which group a piece is in, so a lost executor can't move it to another. In a group the pieces
 go best-fit decreasing into bins. Then the emptiest bins give their documents to others by moves,
 one-for-one and two-for-one swaps. Each step raises the sum of squared fills; a bin that gets
 empty is gone. A group ends with about one underfull bin, a share that the group size fixes.
@@ -9,12 +10,14 @@ empty is gone. A group ends with about one underfull bin, a share that the group
 
 from __future__ import annotations
 
+import json
 import zlib
 from array import array
 from collections.abc import Iterator
 from functools import cache
 from itertools import islice
 from sys import byteorder
+from unicodedata import normalize
 
 import numpy as np
 import pandas as pd
@@ -23,11 +26,12 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import read, small_batches, text_of
+from .common import cut, read, small_batches, text_of
 
 GROUP, CACHE, KEEP, ROUNDS = 8192, 500_000, 100_000, 4
 DONORS = 4
 TAIL = ".,!?;:$%&#*"
+SPECIAL_OR_MARK = r"<\||\p{M}"
 PIECES = "piece int, start long, length long, ids_crc32 long"
 
 
@@ -43,17 +47,38 @@ def _bytes(ids: list[int]) -> bytes:
     return a.tobytes()
 
 
+def by_words(path: str) -> bool:
+    """Whether a tokenizer file has the normal form and the pieces that Encoder's way by words rests on."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    normal = [(n.get("type"), n.get("pattern"), n.get("content")) for n in (spec["normalizer"] or {}).get("normalizers", [])]
+    pieces = [(p.get("type"), p.get("pattern"), p.get("behavior"), p.get("invert"), p.get("add_prefix_space"), p.get("use_regex")) for p in (spec["pre_tokenizer"] or {}).get("pretokenizers", [])]
+    return (
+        normal == [("NFC", None, None), ("Replace", {"Regex": r"\s+"}, " "), ("Lowercase", None, None)]
+        and pieces == [("Split", {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "Removed", True, None, None), ("ByteLevel", None, None, None, False, False)]
+        and all(t["content"].startswith("<|") and not (t["lstrip"] or t["rstrip"]) for t in spec["added_tokens"])
+        and not (spec["truncation"] or spec["padding"] or spec["model"].get("continuing_subword_prefix"))
+    )
+
+
+def ends_in_letter(core: str) -> bool:
+    """A letter or number is the last character of the word's lower-case normal form too: of those that lower-casing lengthens, some end in a mark."""
+    last = core[-1:]
+    return last.isalnum() and (last.isascii() or normalize("NFC", core).lower()[-1].isalnum())
+
+
 class Encoder:
     """Word-by-word use of a byte-level BPE tokenizer whose pre-tokenizer never crosses a space, with a bounded cache.
 
     Signs in TAIL at a word's end, after a letter or number, are always tokens apart from it, so they are
     cut off, and the rest is encoded once however it was punctuated. A rest of Latin letters alone, which has no other
-    normal form, is one piece for the pre-tokenizer: it goes to the model at once, lower-cased."""
+    normal form, is one piece for the pre-tokenizer: it goes to the model at once, lower-cased. Files of other
+    tokenizers encode whole texts."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.whole, self.known = Tokenizer.from_file(path), {}
+        self.whole, self.known, self.by_words = Tokenizer.from_file(path), {}, by_words(path)
         self.model = Tokenizer(self.whole.model)
 
     def _encode(self, words: list[str]) -> dict[str, bytes]:
@@ -73,7 +98,7 @@ class Encoder:
         """Each word's ids as little-endian unsigned 32-bit numbers."""
         known = self.known
         new = [w for w in words if w not in known]
-        parts = {w: (core, w[len(core) :]) for w in new if (core := w.rstrip(TAIL)) != w and core[-1:].isalnum()}
+        parts = {w: (core, w[len(core) :]) for w in new if (core := w.rstrip(TAIL)) != w and ends_in_letter(core)}
         need = set(new).difference(parts)
         need.update(x for pair in parts.values() for x in pair)
         fresh = self._encode(list(need.difference(known)))
@@ -92,8 +117,12 @@ class Encoder:
     def __call__(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """Each text's ids. Texts are split and their words numbered as Arrow columns; only different words become Python strings.
 
-        A-Z are lower-cased first, as the tokenizer would, but for texts that may hold one of its special tokens."""
-        low = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        A-Z are lower-cased first, as the tokenizer would, but for texts that may hold one of its special tokens, or marks: it
+        composes these with letters before it lower-cases."""
+        if not self.by_words:
+            yield from (np.asarray(c.ids, "<u4") for c in self.whole.encode_batch_fast(texts.to_pylist(), add_special_tokens=False))
+            return
+        low = pc.if_else(pc.match_substring_regex(texts, SPECIAL_OR_MARK), texts, pc.ascii_lower(texts))
         lists = pc.ascii_split_whitespace(low)
         words = lists.flatten().dictionary_encode()
         codes = self.codes(words.dictionary.to_pylist())
@@ -186,21 +215,35 @@ def improve(bins: list[list[int]], lengths: list[int], capacity: int, rounds: in
 
 
 def _step(giver: list[int], taker: list[int], lengths: list[int], free: int) -> tuple[set[int], list[int]] | None:
-    """The items that go over and come back so that taker grows most, by at most free: a move, one for one, or two for one."""
+    """The items that go over and come back so that taker grows most, by at most free: a move, one for one, or two for one.
+
+    Items of one length are alike, so only different lengths are tried: a bin of many short documents has few of them."""
     if not free:
         return None
-    best, most = None, 0
+    own, back = {}, {}
     for i in giver:
-        if most < lengths[i] <= free:
-            best, most = ({i}, []), lengths[i]
-    back = sorted((lengths[j], j) for j in taker)
-    sizes = np.array([n for n, _ in back])
-    pairs = [((i,), lengths[i]) for i in giver] + [((i, j), lengths[i] + lengths[j]) for k, i in enumerate(giver) for j in giver[:k]]
-    for out, n in pairs:
-        k = int(np.searchsorted(sizes, n - free))  # the smallest that may come back
-        if most < free and k < len(back) and most < n - back[k][0]:
-            best, most = (set(out), [back[k][1]]), n - back[k][0]
-    return best
+        own.setdefault(lengths[i], []).append(i)
+    for j in taker:
+        back.setdefault(lengths[j], j)
+    one = np.array(sorted(own))
+    first, second = np.triu_indices(len(one))
+    possible = (first != second) | np.array([len(own[n]) > 1 for n in one.tolist()])[first]
+    first, second = first[possible], second[possible]
+    out = np.concatenate([one, one[first] + one[second]])
+    sizes = np.array([0, *sorted(back)])  # 0: nothing comes back, which only one item may ask for
+    at = np.searchsorted(sizes, out - free)  # the smallest that may come back
+    at[len(one) :] = np.maximum(at[len(one) :], 1)
+    gain = np.where(at < len(sizes), out - sizes[np.minimum(at, len(sizes) - 1)], 0)
+    k = int(gain.argmax())
+    if gain[k] <= 0:
+        return None
+    n = sizes[at[k]]
+    if k < len(one):
+        goes = {own[int(one[k])][0]}
+    else:
+        a, b = int(one[first[k - len(one)]]), int(one[second[k - len(one)]])
+        goes = {own[a][0], own[b][1 if a == b else 0]}
+    return goes, [back[int(n)]] if n else []
 
 
 def _packer(capacity: int):
@@ -231,7 +274,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id
     groups = max(1, -(-docs.count() // GROUP))
     ids = ", ids array<int>" if with_ids else ""
     slim = docs.select("doc_id", text_of(docs).alias("text"))
-    pieces = slim.mapInArrow(_pieces(tokenizer, capacity, end_id, groups, with_ids), f"doc_id {kind}, {PIECES}, _group int{ids}")
+    pieces = cut(slim.mapInArrow(_pieces(tokenizer, capacity, end_id, groups, with_ids), f"doc_id {kind}, {PIECES}, _group int{ids}"))
     return pieces.groupBy("_group").applyInPandas(_packer(capacity), f"doc_id {kind}, {PIECES}{ids}, sequence_id long, offset long")
 
 
