@@ -3,15 +3,18 @@
 1. A vector x becomes (x, sqrt(M**2 - |x|**2)) with M the largest norm, a query (q, 0): the largest inner product is then the smallest
    distance d, d**2 = M**2 + |q|**2 - 2 q.x. Gaussian (2-stable) projections to DIMS dimensions make |p(x) - p(q)|**2 / d**2 chi-square
    with DIMS degrees of freedom.
-2. A kd-tree is fitted on at most SAMPLE projected vectors; every vector is indexed by its leaf. Leaves with more than LEAF vectors are
+2. A kd-tree is fitted on at most SAMPLE projected vectors; every vector is indexed by its leaf. Leaves with more than 2 * LEAF vectors are
    split by a hash of the id, so equal vectors don't fill one.
-3. A query is first answered in its own leaf: its k-th distance d there bounds the search.
-4. It then goes to the leaves whose boxes reach within radius**2 = quantile(CONFIDENCE) * d**2. In a leaf, projected neighbours are verified
-   ring by ring, nearest first. After each ring d shrinks and the query stops once no unseen projected
-   neighbour lies within the radius: a true neighbour is then missed with probability 1 - CONFIDENCE at most.
+3. A query goes to leaves by the distance of their boxes from its projection, in rounds: the nearest, then up to the fourth, then all
+   others. d is its k-th distance over the rounds before. It goes to a leaf only if the box is within
+   radius**2 = quantile(CONFIDENCE) * d**2; of a leaf there is one copy for each QUERY_BLOCK queries that go there.
+4. In a leaf, vectors are verified nearest projections first, BATCH at a time; products of others are never computed. Each batch may
+   lower d. A query stops once the next projection lies beyond the radius: a true neighbour is then missed with
+   probability 1 - CONFIDENCE at most.
 5. The leaves' lists (at most k per leaf, none worse than d) are merged.
 
 Driver and tasks hold the tree and the leaves' boxes: at most SAMPLE / 8 leaves of 2 * DIMS numbers, whatever the table's size.
+On vectors without structure the k-th distance is near the mean one, so many vectors must be verified: verified says how many.
 """
 
 from __future__ import annotations
@@ -28,7 +31,9 @@ from pyspark.sql import functions as F
 from .common import cut, read
 from .vectors import QUERY_BLOCK, best, matrix, ranked, vectors
 
-DIMS, SAMPLE, LEAF, CONFIDENCE, RINGS, AT_ONCE, SEED = 16, 20_000, 2048, 0.98, 4, 512, 5
+DIMS, SAMPLE, LEAF, CONFIDENCE, BATCH, AT_ONCE, SEED = 16, 20_000, 512, 0.85, 32, 512, 5
+#: Leaves by nearness at which a round ends and the bounds are merged; a last round goes to all others within the radius.
+ROUNDS = (1, 4)
 K, QUERY_MOD = 20, 20
 
 
@@ -89,16 +94,40 @@ def _products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return np.cumsum(q * v, axis=1)[:, -1]
 
 
+def nearest_first(q: np.ndarray, pq: np.ndarray, me: np.ndarray, bound: np.ndarray, v: np.ndarray, pv: np.ndarray, ids: np.ndarray, k: int, most2: float, quantile: float) -> tuple[np.ndarray, np.ndarray]:
+    """Verifies a leaf's vectors for some queries, nearest projections first, each until the stopping test holds.
+
+    ids rise. Returns products (-inf: not verified) and the k-th largest product known of each query, at least bound."""
+    apart = np.maximum(0, (pq * pq).sum(1)[:, None] + (pv * pv).sum(1)[None] - 2 * pq @ pv.T)
+    apart = np.where(me[:, None] == ids[None], np.inf, np.round(apart, 9))  # equal vectors are equally far, so smaller ids come first
+    order = np.argsort(apart, axis=1, kind="stable")
+    apart = np.take_along_axis(apart, order, 1)
+    base = most2 + (q * q).sum(1)
+    bound, top, scores = bound.copy(), np.full((len(q), k), -np.inf), np.full(apart.shape, -np.inf)
+    for at in range(0, len(ids), BATCH):
+        with np.errstate(invalid="ignore"):
+            radius = np.where(np.isinf(bound), np.inf, quantile * np.maximum(0, base - 2 * bound) * (1 + 1e-9) + 1e-9)
+        live = np.flatnonzero((apart[:, at] <= radius) & np.isfinite(apart[:, at]))
+        if not len(live):
+            break
+        near = order[live, at : at + BATCH]
+        found = np.where(np.isfinite(apart[live, at : at + BATCH]), np.matmul(v[near], q[live][:, :, None])[:, :, 0], -np.inf)
+        scores[live[:, None], near] = found
+        both = np.concatenate([top[live], found], axis=1)
+        top[live] = np.partition(both, both.shape[1] - k, axis=1)[:, both.shape[1] - k :]
+        bound[live] = np.maximum(bound[live], top[live].min(1))
+    return scores, bound
+
+
 def search_ann(vecs: DataFrame, queries: DataFrame, k: int = K, dims: int = DIMS, confidence: float = CONFIDENCE, sample: int = SAMPLE, leaf: int = LEAF, seed: int = SEED) -> DataFrame:
-    """(query_id, rank, vec_id, score): each query's k largest inner products found, ties to smaller vec_id.
+    """(query_id, rank, vec_id, score, verified): each query's k largest inner products found, ties to smaller vec_id; how many products were computed for it.
 
     Both tables have (vec_id long, v array<double>), ids unique, as vectors() makes them. A query's own id is no candidate. With
     fewer than k candidates all are returned; empty tables give no rows."""
     spark = vecs.sparkSession
     head = vecs.agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("m"), F.first(F.size("v")).alias("dim")).first()
-    n_queries = queries.count()
-    if not head.n or not n_queries:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    if not head.n or not queries.count():
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double, verified long")
     project = _projector(head.dim, dims, float(np.sqrt(head.m)), seed)
     most2, quantile = head.m, chi2_quantile(confidence, dims)
     seen = vecs.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toPandas()
@@ -115,89 +144,78 @@ def search_ann(vecs: DataFrame, queries: DataFrame, k: int = K, dims: int = DIMS
     leaves = np.array([b.leaf for b in boxes])
     low, high = np.array([b.box[:dims] for b in boxes]), np.array([b.box[dims:] for b in boxes])
     salts = np.array([-(-b.n // (2 * leaf)) for b in boxes])
-    per_leaf = dict(zip(leaves.tolist(), salts.tolist(), strict=True))
-    salt_of = F.element_at(F.array(*[F.lit(per_leaf.get(i, 1)) for i in range(len(nodes) + 1)]), (F.col("leaf") + 1).cast("int"))
-    q_blocks = -(-n_queries // QUERY_BLOCK)
-    stored = placed.select("vec_id", "v", "p", "leaf", F.pmod(F.xxhash64("vec_id"), salt_of).alias("salt"))
-    if q_blocks > 1:
-        stored = stored.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-    else:
-        stored = stored.withColumn("q_block", F.lit(0))
-
-    def route(own: bool):
-        """Queries with the leaves they go to: their own (the nearest box) and one salt of it, or all others within their radius."""
 
+    def by_leaf(values: np.ndarray):
+        """A column of one number for each leaf, by the leaf's number."""
+        known = dict(zip(leaves.tolist(), values.tolist(), strict=True))
+        return F.element_at(F.array(*[F.lit(known.get(i, 0)) for i in range(len(nodes) + 1)]), (F.col("leaf") + 1).cast("int"))
+
+    def reached(b: pa.RecordBatch, first: int, last: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of queries, and places in leaves, that they go to: of the leaves by nearness from first to last, those within the radius."""
+        q = matrix(b.column("v"))
+        p, bound = project(q, True), b.column("bound").to_numpy(zero_copy_only=False)
+        dist = np.zeros((len(q), len(leaves)))
+        for d in range(dims):
+            dist += np.maximum(0, np.maximum(low[None, :, d] - p[:, None, d], p[:, None, d] - high[None, :, d])) ** 2
+        rank = np.argsort(np.argsort(dist, axis=1, kind="stable"), axis=1)
+        with np.errstate(invalid="ignore"):
+            radius = np.where(np.isinf(bound), np.inf, quantile * np.maximum(0, most2 + (q * q).sum(1) - 2 * bound) * (1 + 1e-9) + 1e-9)
+        return np.nonzero((rank >= first) & (rank < (len(leaves) if last is None else last)) & (dist <= radius[:, None]))
+
+    def tally(first: int, last: int | None):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = sum((np.bincount(reached(b, first, last)[1], minlength=len(leaves)) for b in batches), np.zeros(len(leaves), np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(leaves))), pa.array(total, pa.int64())], names=["at", "n"])
+
+        return run
+
+    def route(first: int, last: int | None, groups: np.ndarray):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                q = matrix(b.column("v"))
-                p = project(q, True)
-                gap = np.maximum(0, np.maximum(low[None] - p[:, None], p[:, None] - high[None]))
-                dist = (gap * gap).sum(2)
-                home = dist.argmin(1)
-                if own:
-                    row, at = np.arange(len(q)), home
-                else:
-                    d2 = np.maximum(0, most2 + (q * q).sum(1) - 2 * b.column("bound").to_numpy(zero_copy_only=False))
-                    row, at = np.nonzero(dist <= (quantile * d2 * (1 + 1e-9))[:, None])
-                times = np.ones(len(row), np.int64) if own else salts[at]
-                salt = np.zeros(len(row), np.int64) if own else np.concatenate([np.arange(t) for t in times] or [np.zeros(0, np.int64)])
+                row, at = reached(b, first, last)
+                times = salts[at]
+                salt = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
                 row, at = np.repeat(row, times), np.repeat(at, times)
-                keep = np.ones(len(row), bool) if own else ~((at == home[row]) & (salt == 0))  # that part has been searched
-                row, at, salt = row[keep], at[keep], salt[keep]
-                yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(row, pa.int64())) for c in ("query_id", "v", "bound")), pa.array(leaves[at], pa.int64()), pa.array(salt, pa.int64()), b.column("q_block").take(pa.array(row, pa.int64()))], names=["query_id", "v", "bound", "leaf", "salt", "q_block"])
+                group = b.column("hash").to_numpy()[row] % groups[at]
+                yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(row, pa.int64())) for c in ("query_id", "v", "bound")), pa.array(leaves[at], pa.int64()), pa.array(salt, pa.int64()), pa.array(group, pa.int64())], names=["query_id", "v", "bound", *keys])
 
         return run
 
     def meet(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        """Queries against the vectors of a leaf, AT_ONCE queries at a time, which bounds the matrices."""
+        """Queries against a part of a leaf, AT_ONCE queries at a time, which bounds the matrices."""
         out = []
         if not left.empty and not right.empty:
+            right = right.sort_values("vec_id")
             v, pv, ids = matrix(right["v"]), matrix(right["p"]), right["vec_id"].to_numpy(np.int64)
             for a in range(0, len(left), AT_ONCE):
-                out += verify(left.iloc[a : a + AT_ONCE], v, pv, ids)
-        return pd.DataFrame(out, columns=["query_id", "top"], dtype=object)
-
-    def verify(left: pd.DataFrame, v: np.ndarray, pv: np.ndarray, ids: np.ndarray) -> list[tuple]:
-        q, me = matrix(left["v"]), left["query_id"].to_numpy(np.int64)
-        pq = project(q, True)
-        apart = np.maximum(0, (pq * pq).sum(1)[:, None] + (pv * pv).sum(1)[None] - 2 * pq @ pv.T)
-        base = most2 + (q * q).sum(1)
-        bound = left["bound"].to_numpy(float).copy()  # the k-th product known so far; -inf: none
-        scores = np.full(apart.shape, -np.inf)
-        seen_to = np.zeros(len(q))
-        for ring in range(1, RINGS + 1):
-            reach = np.where(np.isinf(bound), np.inf, quantile * np.maximum(0, base - 2 * bound))
-            to = np.where(np.isinf(reach), np.quantile(apart, ring / RINGS, axis=1) if ring < RINGS else np.inf, reach * ring / RINGS)
-            live = np.flatnonzero(to > seen_to)
-            if not len(live):
-                break
-            part = apart[live]
-            wanted = (part >= seen_to[live, None]) & (part <= to[live, None] * (1 + 1e-9) + 1e-12)
-            got = np.where(wanted & (me[live, None] != ids[None]), q[live] @ v.T, -np.inf)
-            scores[live] = np.maximum(scores[live], got)
-            seen_to[live] = np.nextafter(to[live], np.inf)
-            if len(ids) > k:
-                kth = np.partition(scores[live], len(ids) - k, axis=1)[:, len(ids) - k]
-                bound[live] = np.maximum(bound[live], kth)
-        out, slack = [], 1e-9 * (1 + np.abs(bound))
-        slack = np.where(np.isfinite(slack), slack, 0)
-        for i in range(len(q)):
-            at = np.flatnonzero((scores[i] > -np.inf) & (scores[i] >= bound[i] - slack[i]))
-            if len(at):
-                exact = _products(q[i][None], v[at])
-                at, exact = at[(o := best(exact, ids[at], k))], exact[o]
-                out.append((me[i], [{"score": float(s), "vec_id": int(x)} for s, x in zip(exact, ids[at], strict=True)]))
-        return out
-
-    shape = "query_id long, v array<double>, bound double, leaf long, salt long, q_block int"
-    asked = queries.select(F.col("vec_id").alias("query_id"), "v", F.lit(float("-inf")).alias("bound"), F.pmod(F.xxhash64(F.col("vec_id"), F.lit(1)), F.lit(q_blocks)).cast("int").alias("q_block"))
-    keys = ["leaf", "salt", "q_block"]
-    tops = "query_id long, top array<struct<score:double,vec_id:long>>"
-    first = cut(asked.mapInArrow(route(True), shape).groupBy(*keys).cogroup(stored.groupBy(*keys)).applyInPandas(meet, tops))
-    known = first.select("query_id", F.when(F.size("top") >= k, F.col("top")[k - 1]["score"]).otherwise(float("-inf")).alias("known"))
-    again = asked.drop("bound").join(known, "query_id", "left").withColumn("bound", F.coalesce("known", F.lit(float("-inf")))).select("query_id", "v", "bound", "q_block")
-    rest = again.mapInArrow(route(False), shape).groupBy(*keys).cogroup(stored.groupBy(*keys)).applyInPandas(meet, tops)
-    return ranked(first.union(rest), k, "double").withColumn("rank", F.col("rank").cast("int"))
+                part = left.iloc[a : a + AT_ONCE]
+                q, me = matrix(part["v"]), part["query_id"].to_numpy(np.int64)
+                scores, bound = nearest_first(q, project(q, True), me, part["bound"].to_numpy(float), v, pv, ids, k, most2, quantile)
+                for i in range(len(q)):
+                    n, least = int((scores[i] > -np.inf).sum()), bound[i] - 1e-9 * (1 + abs(bound[i])) if np.isfinite(bound[i]) else bound[i]
+                    at = np.flatnonzero((scores[i] > -np.inf) & (scores[i] >= least))
+                    exact = _products(q[i][None], v[at])
+                    at, exact = at[(o := best(exact, ids[at], k))], exact[o]
+                    out.append((me[i], [{"score": float(s), "vec_id": int(x)} for s, x in zip(exact, ids[at], strict=True)], n))
+        return pd.DataFrame(out, columns=["query_id", "top", "verified"], dtype=object)
+
+    keys = ["leaf", "salt", "q_group"]
+    asked = queries.select(F.col("vec_id").alias("query_id"), "v", F.shiftrightunsigned(F.xxhash64(F.col("vec_id"), F.lit(1)), 1).alias("hash"))
+    found = spark.createDataFrame([], "query_id long, top array<struct<score:double,vec_id:long>>, verified long")
+    for first, last in zip((0, *ROUNDS), (*ROUNDS, None), strict=True):
+        known = ranked(found, k, "double").where(F.col("rank") == k).select("query_id", F.col("score").alias("known"))
+        bound = cut(asked.join(known, "query_id", "left").select("query_id", "v", "hash", F.coalesce("known", F.lit(float("-inf"))).alias("bound")))
+        counts = np.zeros(len(leaves), np.int64)
+        for r in bound.mapInArrow(tally(first, last), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():  # one row for each leaf
+            counts[r["at"]] = r.n
+        groups = -(-counts // QUERY_BLOCK)
+        if not groups.any():
+            continue
+        copies = placed.where(by_leaf(groups) > 0).select("vec_id", "v", "p", "leaf", F.pmod(F.xxhash64("vec_id"), by_leaf(salts)).alias("salt"), F.explode(F.sequence(F.lit(0).cast("long"), by_leaf(groups).cast("long") - 1)).alias("q_group"))
+        sent = bound.mapInArrow(route(first, last, groups), "query_id long, v array<double>, bound double, leaf long, salt long, q_group long")
+        met = sent.groupBy(*keys).cogroup(copies.groupBy(*keys)).applyInPandas(meet, "query_id long, top array<struct<score:double,vec_id:long>>, verified long")
+        found = found.union(cut(met))
+    return ranked(found, k, "double", F.sum("verified").alias("verified")).withColumn("rank", F.col("rank").cast("int"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

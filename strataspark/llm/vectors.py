@@ -47,8 +47,10 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -scores[at]))][:k]
 
 
-def ranked(found: DataFrame, k: int, score_type: str) -> DataFrame:
-    """One row per (query_id, rank) from lists of (score, vec_id) per query and block."""
+def ranked(found: DataFrame, k: int, score_type: str, *more: Column) -> DataFrame:
+    """One row per (query_id, rank) from lists of (score, vec_id) per query and block, with more aggregates of the query's blocks."""
     s = F.flatten(F.collect_list("top"))
-    top = found.groupBy("query_id").agg(F.slice(F.array_sort(F.transform(s, lambda x: F.struct((-x["score"]).alias("n"), x["vec_id"].alias("i")))), 1, k).alias("top"))
-    return top.select("query_id", F.posexplode("top").alias("p", "x")).select("query_id", (F.col("p") + 1).alias("rank"), F.col("x.i").alias("vec_id"), (-F.col("x.n")).cast(score_type).alias("score"))
+    top = F.slice(F.array_sort(F.transform(s, lambda x: F.struct((-x["score"]).alias("n"), x["vec_id"].alias("i")))), 1, k)
+    each = found.groupBy("query_id").agg(top.alias("top"), *more).select("*", F.posexplode("top").alias("p", "x")).drop("top")
+    rest = [c for c in each.columns if c not in ("query_id", "p", "x")]
+    return each.select("query_id", (F.col("p") + 1).alias("rank"), F.col("x.i").alias("vec_id"), (-F.col("x.n")).cast(score_type).alias("score"), *rest)
