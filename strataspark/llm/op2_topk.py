@@ -3,7 +3,8 @@
 1. Vectors are cut by length into buckets (approximate quantiles of all lengths); a bucket's rows are dealt into parts of about PART by a hash
    of the id, so vectors of one length don't fill a task.
 2. Each query is answered exactly in one part of the longest bucket; its k-th product is theta.
-3. It then goes to the other parts of buckets with |q| * longest >= theta. In a part, its local cosine threshold is
+3. It then goes to the other parts of buckets with |q| * longest >= theta. A part is copied once for each QUERY_BLOCK queries that
+   go there, and not at all if none does. In a part, its local cosine threshold is
    t = theta / (|q| * longest). If t is at or under LOW, candidates are cut by length: |v| >= theta / |q|. If it is higher, by
    coordinates: on the query's largest unit components, a unit vector with cosine >= t lies within q_f * t +- sqrt((1 - t**2)(1 - q_f**2)).
    What is left is verified by its whole product; theta rises with what is found.
@@ -23,17 +24,36 @@ from pyspark.sql import functions as F
 from .common import cut, read
 from .vectors import QUERY_BLOCK, best, matrix, ranked, vectors
 
-PART, MAX_BUCKETS, LOW, FOCUS, EPS = 2048, 64, 0.3, 4, 1e-9
+PART, MAX_BUCKETS, LOW, FOCUS, EPS, AT_ONCE = 2048, 64, 0.3, 4, 1e-9, 256
 K, QUERY_MOD = 5, 50
 BOUND = 2.0**53
 
 
 def _integer_products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Exact: in doubles while these can hold every sum, else in Python's integers, held within a long."""
-    if np.abs(q).sum() * (np.abs(v).max(initial=0)) < BOUND:
-        return (v @ q).astype(np.int64)
-    whole = v.astype(object) @ np.array([int(x) for x in q], object)
-    return np.array([min(max(int(x), -(2**63)), 2**63 - 1) for x in whole], np.int64)
+    """Exact products of each row of q with each of v: in doubles while these can hold every sum, else in Python's integers, held within a long."""
+    if np.abs(q).sum(1).max(initial=0) * np.abs(v).max(initial=0) < BOUND:
+        return (q @ v.T).astype(np.int64)
+    whole = np.array([[int(x) for x in row] for row in q], object) @ np.array([[int(x) for x in row] for row in v], object).T
+    return np.clip(whole, -(2**63), 2**63 - 1).astype(np.int64)
+
+
+def survivors(q: np.ndarray, theta: np.ndarray, v: np.ndarray, norms: np.ndarray, unit: np.ndarray) -> np.ndarray:
+    """Which vectors (columns) may reach a query's theta (rows): cut by length, and by coordinates where the local cosine threshold is over LOW."""
+    length, longest = np.sqrt((q * q).sum(1)), float(norms.max(initial=0))
+    can = (theta > 0) & (length > 0) & (longest > 0)
+    safe = np.where(can, length, 1)
+    t = np.where(can, theta / (safe * max(longest, 1e-300)) * (1 - EPS), 0)
+    keep = norms[None, :] >= np.where(can, theta / safe * (1 - EPS), -1)[:, None]
+    keep[t > 1] = False
+    at = np.flatnonzero((t > LOW) & (t <= 1))
+    if len(at):
+        u = q[at] / safe[at, None]
+        for f in np.argsort(-np.abs(u), axis=1)[:, :FOCUS].T:
+            x = np.take_along_axis(u, f[:, None], 1)[:, 0]
+            half = np.sqrt((1 - t[at] ** 2) * np.maximum(0, 1 - x * x)) + EPS
+            of = unit.T[f] * np.where(x >= 0, 1, -1)[:, None]
+            keep[at] &= of >= (np.abs(x) * t[at] - half)[:, None]
+    return keep
 
 
 def search_topk(vecs: DataFrame, queries: DataFrame, k: int = K, part: int = PART) -> DataFrame:
@@ -54,66 +74,72 @@ def search_topk(vecs: DataFrame, queries: DataFrame, k: int = K, part: int = PAR
     stats = {r.bucket: r for r in bucketed.groupBy("bucket").agg(F.count("*").alias("n"), F.max("norm").alias("longest")).collect()}  # at most MAX_BUCKETS
     parts = {b: max(1, -(-r.n // part)) for b, r in stats.items()}
     n_parts = F.element_at(F.array(*[F.lit(parts.get(b, 1)) for b in range(len(edges) + 1)]), F.col("bucket") + 1)
-    q_blocks = -(-n_queries // QUERY_BLOCK)
-    stored = bucketed.withColumn("part", F.pmod(F.xxhash64("vec_id"), n_parts)).withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))) if q_blocks > 1 else F.lit(0))
+    placed = bucketed.withColumn("part", F.pmod(F.xxhash64("vec_id"), n_parts))
     top_bucket = max(stats)
 
-    def prune(q: np.ndarray, length: float, theta: float, v: np.ndarray, norms: np.ndarray, unit: np.ndarray, longest: float) -> np.ndarray:
-        """Candidates that may reach theta."""
-        if theta <= 0 or not length or not longest:
-            return np.arange(len(v))
-        t = theta / (length * longest) * (1 - EPS)
-        if t > 1:
-            return np.zeros(0, np.int64)
-        keep = norms >= theta / length * (1 - EPS)
-        if t > LOW:
-            u = q / length
-            for f in np.argsort(-np.abs(u))[:FOCUS]:
-                half = np.sqrt((1 - t * t) * max(0.0, 1 - u[f] * u[f]))
-                keep &= (unit[:, f] >= u[f] * t - half - EPS) if u[f] >= 0 else (unit[:, f] <= u[f] * t + half + EPS)
-        return np.flatnonzero(keep)
-
     def meet(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame([], columns=["query_id", "top"], dtype=object)
-        v, ids, norms = matrix(right["v"]), right["vec_id"].to_numpy(np.int64), right["norm"].to_numpy(float)
-        longest, unit = float(norms.max()), v / np.where(norms > 0, norms, 1)[:, None]
+        """Queries against a part, AT_ONCE queries at a time, which bounds the matrices."""
         out = []
-        for me, q, theta in zip(left["query_id"], left["v"], left["theta"], strict=True):
-            q = np.asarray(q, float)
-            at = prune(q, float(np.sqrt(q @ q)), theta, v, norms, unit, longest)
-            at = at[ids[at] != me]
-            s = _integer_products(q, v[at])
-            at, s = at[s >= theta], s[s >= theta]
-            o = best(s, ids[at], k)
-            if len(o):
-                out.append((me, [{"score": int(a), "vec_id": int(b)} for a, b in zip(s[o], ids[at][o], strict=True)]))
+        if not left.empty and not right.empty:
+            v, ids, norms = matrix(right["v"]), right["vec_id"].to_numpy(np.int64), right["norm"].to_numpy(float)
+            unit = v / np.where(norms > 0, norms, 1)[:, None]
+            for a in range(0, len(left), AT_ONCE):
+                few = left.iloc[a : a + AT_ONCE]
+                q, me, theta = matrix(few["v"]), few["query_id"].to_numpy(np.int64), few["theta"].to_numpy(float)
+                keep = survivors(q, theta, v, norms, unit) & (me[:, None] != ids[None, :])
+                some = np.flatnonzero(keep.any(0))
+                if not len(some):
+                    continue
+                s = _integer_products(q, v[some])  # of vectors that some query needs
+                for i in range(len(q)):
+                    at = np.flatnonzero(keep[i, some] & (s[i] >= theta[i]))
+                    at = at[best(s[i][at], ids[some][at], k)]
+                    if len(at):
+                        out.append((me[i], [{"score": int(x), "vec_id": int(y)} for x, y in zip(s[i][at], ids[some][at], strict=True)]))
         return pd.DataFrame(out, columns=["query_id", "top"], dtype=object)
 
+    def reached(b: pa.RecordBatch) -> dict[int, np.ndarray]:
+        """Rows of queries that go to each bucket."""
+        q, theta = matrix(b.column("v")), b.column("theta").to_numpy(zero_copy_only=False)
+        length = np.sqrt((q * q).sum(1))
+        return {bucket: np.flatnonzero((theta <= 0) | (length * r.longest * (1 + EPS) >= theta)) for bucket, r in stats.items()}
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = dict.fromkeys(stats, 0)
+        for b in batches:
+            for bucket, row in reached(b).items():
+                total[bucket] += len(row)
+        yield pa.RecordBatch.from_pydict({"bucket": pa.array(list(total), pa.int32()), "n": pa.array(list(total.values()), pa.int64())})
+
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Queries with the parts they go to after the first: buckets that reach theta."""
+        """Queries with the parts that they go to after the first."""
         for b in batches:
-            q = matrix(b.column("v"))
-            length, theta = np.sqrt((q * q).sum(1)), b.column("theta").to_numpy(zero_copy_only=False)
             rows, bs, ps = [], [], []
-            for bucket, r in stats.items():
-                row = np.flatnonzero((theta <= 0) | (length * r.longest * (1 + EPS) >= theta))
+            for bucket, row in reached(b).items():
                 for p in range(bucket == top_bucket, parts[bucket]):
                     rows.append(row)
                     bs.append(np.full(len(row), bucket))
                     ps.append(np.full(len(row), p))
-            row = np.concatenate(rows or [np.zeros(0, int)])
+            row, bs, ps = (np.concatenate(x or [np.zeros(0, np.int64)]) for x in (rows, bs, ps))
+            group = b.column("hash").to_numpy()[row] % np.array([groups.get(x, 1) for x in range(len(edges) + 1)])[bs]
             take = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(b.column(c).take(take) for c in ("query_id", "v", "theta")), pa.array(np.concatenate(bs or [row]), pa.int32()), pa.array(np.concatenate(ps or [row]), pa.int64()), b.column("q_block").take(take)], names=["query_id", "v", "theta", "bucket", "part", "q_block"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(take) for c in ("query_id", "v", "theta")), pa.array(bs, pa.int32()), pa.array(ps, pa.int64()), pa.array(group, pa.int64())], names=["query_id", "v", "theta", *keys])
 
     none = F.lit(-(2.0**63))
-    asked = queries.select(F.col("vec_id").alias("query_id"), "v", F.pmod(F.xxhash64(F.col("vec_id"), F.lit(1)), F.lit(q_blocks)).cast("int").alias("q_block"))
-    keys = ["bucket", "part", "q_block"]
+    keys = ["bucket", "part", "q_group"]
     tops = "query_id long, top array<struct<score:long,vec_id:long>>"
-    first = cut(asked.select("query_id", "v", none.alias("theta"), F.lit(top_bucket).alias("bucket"), F.lit(0).cast("long").alias("part"), "q_block").groupBy(*keys).cogroup(stored.groupBy(*keys)).applyInPandas(meet, tops))
+    copies = lambda df, n: df.withColumn("q_group", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
+    asked = queries.select(F.col("vec_id").alias("query_id"), "v", F.shiftrightunsigned(F.xxhash64(F.col("vec_id"), F.lit(1)), 1).alias("hash"))
+    first_groups = F.lit(-(-n_queries // QUERY_BLOCK)).cast("long")
+    sent = asked.select("query_id", "v", none.alias("theta"), F.lit(top_bucket).alias("bucket"), F.lit(0).cast("long").alias("part"), F.pmod("hash", first_groups).alias("q_group"))
+    part = copies(placed.where((F.col("bucket") == top_bucket) & (F.col("part") == 0)), first_groups)
+    first = cut(sent.groupBy(*keys).cogroup(part.groupBy(*keys)).applyInPandas(meet, tops))
     known = first.select("query_id", F.when(F.size("top") >= k, F.col("top")[k - 1]["score"].cast("double")).alias("known"))
-    again = asked.join(known, "query_id", "left").select("query_id", "v", F.coalesce("known", none).alias("theta"), "q_block")
-    rest = again.mapInArrow(route, "query_id long, v array<double>, theta double, bucket int, part long, q_block int").groupBy(*keys).cogroup(stored.groupBy(*keys)).applyInPandas(meet, tops)
+    again = cut(asked.join(known, "query_id", "left").select("query_id", "v", "hash", F.coalesce("known", none).alias("theta")))
+    n_to = {r.bucket: r.n for r in again.mapInArrow(tally, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()}  # at most MAX_BUCKETS
+    groups = {b: -(-n // QUERY_BLOCK) for b, n in n_to.items() if n}
+    n_groups = F.element_at(F.array(*[F.lit(groups.get(b, 0)).cast("long") for b in range(len(edges) + 1)]), F.col("bucket") + 1)
+    rest = again.mapInArrow(route, "query_id long, v array<double>, theta double, bucket int, part long, q_group long").groupBy(*keys).cogroup(copies(placed.where(n_groups > 0), n_groups).groupBy(*keys)).applyInPandas(meet, tops)
     return ranked(first.union(rest), k, "long").withColumn("rank", F.col("rank").cast("int"))
 
 
