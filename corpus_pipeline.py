@@ -5,11 +5,10 @@ is written as Parquet and read again as the docs of the next. All but the last r
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataspark.checkpoints import stored
 from strataspark.llm.common import read
 from strataspark.llm.op3_mixing import mix_sources
 from strataspark.llm.op5_line_dedup import dedup_lines
@@ -55,11 +54,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows. Each stage's rows are written to the checkpoint folder, or the warehouse, and read again."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    docs, name = read(spark, sf_dir, "documents"), uuid.uuid4().hex
+    """The last stage's rows. Each stage's rows are written to the shared folder and read again."""
+    docs = read(spark, sf_dir, "documents")
     for k, (stage, function) in enumerate(STAGES):
-        path = f"{folder}/pipeline-{name}/{k}_{stage}"
-        function(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = stored(function(spark, docs, sf_dir), f"pipeline-{k}_{stage}")
     return docs
