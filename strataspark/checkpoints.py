@@ -27,9 +27,9 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as a Parquet table of its own in the shared folder, and read again."""
+def stored(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
+    """df written as a Parquet table of its own in the shared folder, in a folder for each value of by, and read again."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     return spark.read.parquet(path)
