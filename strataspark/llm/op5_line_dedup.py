@@ -7,8 +7,9 @@
    digest), and counted exactly, so a wrong hit of the filter costs a row and changes nothing.
 4. Documents that hold a confirmed line, but aren't its largest doc_id, lose it.
 
-The filters have 8 bits a digest, from 2**20 to 2**28 bits (32 MB) each: that bounds the broadcast.
-Beyond about 30 million lines a filter fills up and more lines become suspects; results stay the same.
+The filters have 8 bits a digest, from 2**20 to 2**28 bits (32 MB) each: that bounds the broadcast and a task's memory.
+For more lines than that allows, about 30 million, the digests are stored by ranges of the hash, and each range has filters of its
+own, one range after the other: each reads its own digests only, so all ranges together read them once.
 """
 
 from __future__ import annotations
@@ -20,13 +21,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, ascii_lower, cut, slots, text_of
+from strataspark.checkpoints import stored
+
+from .common import NULL_ID, ascii_lower, cut, skew_join, slots, text_of
 
 BLANKS = " \t\n\x0b\x0c\r"
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 MIN_LOG2, MAX_LOG2, SLICE, MAX_BUILDERS = 20, 28, 1 << 16, 256
-#: A key's rows are dealt out this many ways where they meet the confirmed keys.
-SALTS = 8
 
 
 def line_key(line: Column) -> Column:
@@ -82,30 +83,58 @@ def _merge(pdf):
     return pdf.iloc[:1][["slice"]].assign(twice=[twice.tobytes()])
 
 
-def repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    """(_id, drops): for each document, digests of the keys that it must lose."""
-    spark = docs.sparkSession
-    keys = F.filter(F.transform(F.split(text_of(docs), "\n"), line_key), lambda k: F.length(k) >= min_chars)
-    held = cut(docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_id"), F.transform(F.array_distinct(keys), digest).alias("digests")).where(F.size("digests") > 0))
-    n = held.agg(F.sum(F.size("digests"))).first()[0] or 0
-    log2 = min(MAX_LOG2, max(MIN_LOG2, int(8 * n).bit_length()))
+def _by_range(ranges: int):
+    """Each document's digests as a row for each range of the hash that has some."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("digests")
+            of = ((_longs(lists) >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+            row = pa.compute.list_parent_indices(lists).to_numpy()
+            order = np.lexsort((of, row))
+            key = row[order] * ranges + of[order]
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+            ends = pa.array(np.append(first, len(key)), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("_id").take(pa.array(row[order][first])), pa.ListArray.from_arrays(ends, lists.flatten().take(pa.array(order))), pa.array(of[order][first], pa.int32())], names=["_id", "digests", "range"])
+
+    return run
+
+
+def _suspects(held: DataFrame, log2: int) -> DataFrame:
+    """(_id, digest) of the digests that the twice-seen filter over held has."""
+    spark = held.sparkSession
     parts = held.select("digests").coalesce(min(MAX_BUILDERS, slots(spark))).mapInArrow(_builder(log2), "slice int, once binary, twice binary")
-    rows = parts.groupBy("slice").applyInPandas(_merge, "slice int, twice binary").collect()  # at most 2**28 bits
+    rows = parts.groupBy("slice").applyInPandas(_merge, "slice int, twice binary").collect()  # at most 2**log2 bits
     filled = np.frombuffer(b"".join(r.twice for r in sorted(rows, key=lambda r: r["slice"])), np.uint8) if rows else np.zeros(1 << (log2 - 3), np.uint8)
     twice = spark.sparkContext.broadcast(filled)
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("digests")
-            hit = _holds(twice.value, _positions(_longs(lists), log2))
             ids = batch.column("_id").take(pa.compute.list_parent_indices(lists))
-            mask = pa.array(hit)
+            mask = pa.array(_holds(twice.value, _positions(_longs(lists), log2)))
             yield pa.RecordBatch.from_arrays([ids.filter(mask), lists.flatten().filter(mask)], names=["_id", "digest"])
 
-    found = held.mapInArrow(suspects, f"_id {dict(held.dtypes)['_id']}, digest binary")
-    confirmed = found.groupBy("digest").agg(F.countDistinct("_id").alias("n"), F.max("_id").alias("keep")).where(F.col("n") >= min_docs)
-    salted = confirmed.select("digest", "keep", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
-    losers = found.withColumn("salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int")).join(salted, ["digest", "salt"]).where(F.col("_id") != F.col("keep"))
+    found = cut(held.select("_id", "digests").mapInArrow(suspects, f"_id {dict(held.dtypes)['_id']}, digest binary"))
+    twice.unpersist()
+    return found
+
+
+def repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, max_log2: int = MAX_LOG2) -> DataFrame:
+    """(_id, drops): for each document, digests of the keys that it must lose. A filter has at most 2**max_log2 bits."""
+    keys = F.filter(F.transform(F.split(text_of(docs), "\n"), line_key), lambda k: F.length(k) >= min_chars)
+    held = cut(docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_id"), F.transform(F.array_distinct(keys), digest).alias("digests")).where(F.size("digests") > 0))
+    n = held.agg(F.sum(F.size("digests"))).first()[0] or 0
+    ranges = max(1, -(-8 * n // 2**max_log2))
+    if ranges == 1:
+        found = _suspects(held, max(min(MIN_LOG2, max_log2), int(8 * n).bit_length()) if 8 * n < 2**max_log2 else max_log2)
+    else:
+        kept = stored(held.mapInArrow(_by_range(ranges), f"_id {dict(held.dtypes)['_id']}, digests array<binary>, range int"), "line-digests", ["range"])
+        found = _suspects(kept.where("range = 0"), max_log2)
+        for r in range(1, ranges):
+            found = found.union(_suspects(kept.where(F.col("range") == r), max_log2))
+    confirmed = found.dropDuplicates(["digest", "_id"]).groupBy("digest").agg(F.count("*").alias("n"), F.max("_id").alias("keep")).where(F.col("n") >= min_docs)
+    losers = skew_join(found, confirmed, "digest", "n", found.count()).where(F.col("_id") != F.col("keep"))
     return losers.groupBy("_id").agg(F.collect_set("digest").alias("drops"))
 
 
