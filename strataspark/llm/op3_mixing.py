@@ -4,10 +4,10 @@ A source's weight is its token share to the power alpha, normalised. alpha lies
 shares, 0 makes all sources equal. It is found by bisection on aggregates of the source table, which stays a DataFrame; each job tries
 GRID exponents at once, so a few jobs do.
 
-A source's quota is its weight times the budget. Its documents lie in BLOCKS blocks by a hash; each epoch has its own
-order of blocks, and of documents in a block. What starts within the quota is emitted: whole epochs, then the front of one more.
+A source's quota is its weight times the budget. Its documents lie in blocks by a hash, as many that the largest source has about
+BLOCK_DOCS documents a block; each epoch has its own order of blocks, and of documents in a block. What starts within the quota is emitted: whole epochs, then the front of one more.
 Only sums of blocks are put in order across a source, so a source with a third of all rows is
-spread over BLOCKS tasks.
+spread over its blocks.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, read, text_of
 
-BLOCKS, GRID, JOBS = 1024, 32, 5
+BLOCKS, BLOCK_DOCS, GRID, JOBS = 1024, 10_000, 32, 5
 #: Up to so many sources the table of quotas (some 60 bytes each) is broadcast.
 MAX_BROADCAST = 50_000
 ENTROPY_SHARE, MAX_EPOCHS, SEED = 0.97, 2.0, 17
@@ -104,9 +104,11 @@ def mix_sources(docs: DataFrame, entropy_share: float | None = ENTROPY_SHARE, ma
     empty table gives an empty table. Columns of the added names are replaced."""
     own = ("mix_tokens", "mix_weight", "mix_quota", "mix_epoch", "mix_block", "mix_start")
     named = [c for c in docs.columns if c not in own]
-    base = docs.select(*(docs[c] for c in named), source_key(docs).alias("_mix_key"), (F.coalesce(docs[tokens].cast("long"), F.lit(0).cast("long")) if tokens else words(docs)).alias("mix_tokens"), F.pmod(F.xxhash64(F.lit(seed), docs["doc_id"]), F.lit(BLOCKS)).cast("int").alias("mix_block"))
+    n_blocks = max(BLOCKS, -(-docs.count() // BLOCK_DOCS))
+    n_tokens = F.coalesce(docs[tokens].cast("long"), F.lit(0).cast("long")) if tokens else words(docs)
+    base = docs.select(*(docs[c] for c in named), source_key(docs).alias("_mix_key"), n_tokens.alias("mix_tokens"), F.pmod(F.xxhash64(F.lit(seed), docs["doc_id"]), F.lit(n_blocks)).cast("int").alias("mix_block"))
     blocks = cut(base.groupBy("_mix_key", "mix_block").agg(F.sum("mix_tokens").alias("tokens")))
-    sources = blocks.groupBy("_mix_key").agg(F.sum("tokens").alias("tokens")).persist()
+    sources = cut(blocks.groupBy("_mix_key").agg(F.sum("tokens").alias("tokens")))
     head = sources.agg(F.sum("tokens").alias("t"), F.count_if(F.col("tokens") > 0).alias("n"), F.count("*").alias("all")).first()
     total, n = head.t or 0, head.n
     mix = find_exponent(sources.where("tokens > 0"), total, n, entropy_share, max_epochs, budget) if total else Mix(1.0, 0.0, 0.0, 0.0)
