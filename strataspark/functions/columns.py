@@ -160,8 +160,9 @@ def pearson(a: ColumnLike, b: ColumnLike) -> Column:
 def key_hash(c: ColumnLike, seed: int = 12345, multiplier: int = 1103515245) -> Column:
     """A linear congruential hash of an integer key, in whole-number arithmetic that any engine repeats: 0 to 2**31 - 2.
 
+    Keys of any size are reduced first. Keys that differ by a multiple of 2**31 - 1 share a hash, so an order by it needs the key as a tie-break.
     Hashes of one key that differ in the seed alone are near each other; what must be independent needs its own multiplier."""
-    return F.pmod(col(c).cast("long") * multiplier + seed, F.lit(2147483647))
+    return F.pmod(F.pmod(col(c).cast("long"), F.lit(2147483647)) * multiplier + seed, F.lit(2147483647))
 
 
 def uniform(c: ColumnLike, seed: int = 12345, multiplier: int = 1103515245) -> Column:

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from math import exp, factorial
+
+import numpy as np
+import pandas as pd
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataspark.functions.columns import rnd
@@ -88,22 +94,82 @@ def report(df: DataFrame, predicted: Column, label: str) -> DataFrame:
     return m.unionByName(macro).unionByName(weighted).select("name", *[rnd(c, 4).alias(c) for c in cols], "support")
 
 
-def draws(spark, n: int, rounds: int, seed: int = 42) -> DataFrame:
-    """(round, idx, times): how often each of n rows is drawn in each round of a bootstrap, by a congruential hash."""
-    k = F.col("id")
-    mixed = F.pmod(F.pmod((k + seed) * 48271, F.lit(2147483647)) * 16807 + 12345, F.lit(2147483647))
-    return spark.range(n * rounds).select(F.floor(k / n).cast("int").alias("round"), F.pmod(mixed, F.lit(n)).alias("idx")).groupBy("round", "idx").agg(F.count("*").alias("times"))
+def poisson_weights(keys: np.ndarray, rounds: int, seed: int) -> np.ndarray:
+    """How often each key's row is drawn in each round: independent Poisson(1) numbers, rows by rounds.
+
+    A row's draws among n rows with replacement are Poisson(1) but for a dependence of 1/n; drawn so, they need no row numbers and no join."""
+    x = keys.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.arange(1, rounds + 1, dtype=np.uint64)[None] * np.uint64(0xD1B54A32D192ED03) + np.uint64(seed)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    u = ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) / 2.0**53
+    return np.searchsorted(POISSON, u.ravel(), side="right").reshape(u.shape)
+
+
+#: Cumulative probabilities of a Poisson(1) number.
+POISSON = np.cumsum([exp(-1) / factorial(k) for k in range(18)])
+BOOT_ROWS = 512
+
+
+def _boot_ranges(rounds: int, seed: int):
+    """Rows of a range, sorted by model and score, to pairs won inside the range, positives and negatives, each for every round.
+
+    Only sums are held, so a range, or a score that very many rows share, may be of any size."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        place, model, score = TaskContext.get().partitionId(), None, None
+        won = pos = below = p = n = np.zeros(rounds)
+
+        def told():
+            return pd.DataFrame({"place": [place], "model": [model], "won": [won + p * (below + 0.5 * n)], "pos": [pos + p], "neg": [below + n]})
+
+        for batch in batches:
+            for a in range(0, len(batch), BOOT_ROWS):
+                part = batch.iloc[a : a + BOOT_ROWS]
+                w, y = poisson_weights(part["key"].to_numpy(np.int64), rounds, seed), part["label"].to_numpy(bool)
+                names, values = part["model"].to_numpy(), part["score"].to_numpy(float)
+                starts = np.flatnonzero(np.concatenate([[True], (names[1:] != names[:-1]) | (values[1:] != values[:-1])]))
+                ties_p, ties_n = (np.add.reduceat(w * m[:, None], starts, axis=0) for m in (y, ~y))
+                for at, tp, tn in zip(starts, ties_p, ties_n, strict=True):
+                    if names[at] == model and values[at] == score:  # goes on from the rows before
+                        p, n = p + tp, n + tn
+                        continue
+                    if model is not None and names[at] != model:
+                        yield told()
+                        won = pos = below = p = n = np.zeros(rounds)
+                    won, pos, below = won + p * (below + 0.5 * n), pos + p, below + n
+                    model, score, p, n = names[at], values[at], tp, tn
+        if model is not None:
+            yield told()
+
+    return run
+
+
+def bootstrap_auc(df: DataFrame, scores: list[str], label: str, rounds: int = 1000, seed: int = 42, key: str = "idx") -> DataFrame:
+    """(round, auc of each score) for rounds that drew both classes. df has a unique integer key; all scores see the same draws.
+
+    Rows are cut into ranges of the score; each range gives its sums for all rounds in one pass, and ranges are put together from these."""
+    models = F.explode(F.array(*[F.struct(F.lit(s).alias("model"), F.col(s).cast("double").alias("score")) for s in scores])).alias("m")
+    long = df.where(F.col(label).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(label).cast("int").alias("label"), models).select("key", "label", "m.model", "m.score").where("score IS NOT NULL")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = long.repartitionByRange(parts, "model", "score").sortWithinPartitions("model", "score")
+    sums = ranges.mapInPandas(_boot_ranges(rounds, seed), "place int, model string, won array<double>, pos array<double>, neg array<double>")
+    each = sums.select("place", "model", F.posexplode(F.arrays_zip("won", "pos", "neg")).alias("round", "x")).select("place", "model", "round", "x.*")
+    before = Window.partitionBy("model", "round").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    each = each.withColumn("won", F.col("won") + F.col("pos") * F.coalesce(F.sum("neg").over(before), F.lit(0.0)))
+    a = each.groupBy("round", "model").agg(F.sum("won").alias("won"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    return a.where("pos > 0 AND neg > 0").groupBy("round").pivot("model", scores).agg(F.first(F.col("won") / (F.col("pos") * F.col("neg"))))
 
 
-def bootstrap_auc(df: DataFrame, scores: list[str], label: str, rounds: int, seed: int = 42) -> DataFrame:
-    """(round, auc of each score) for rounds that drew both classes. df has idx from 0 to its row count less 1."""
-    drawn = draws(df.sparkSession, df.count(), rounds, seed).join(df, "idx")
-    long = drawn.select("round", "times", label, F.explode(F.array(*[F.struct(F.lit(s).alias("model"), F.col(s).cast("double").alias("score")) for s in scores])).alias("m")).select("round", "times", label, "m.model", "m.score")
-    h = long.groupBy("round", "model", "score").agg(F.sum(F.col("times") * F.col(label)).alias("p"), F.sum("times").alias("n"))
-    h = running_sum(h, "score", {"n": "upto", "p": "p_upto"}, by=["round", "model"], ranges=8)
-    below = (F.col("upto") - F.col("n")) - (F.col("p_upto") - F.col("p"))
-    a = h.groupBy("round", "model").agg(F.sum(F.col("p") * (below + 0.5 * (F.col("n") - F.col("p")))).alias("won"), F.sum("p").alias("pos"), (F.sum("n") - F.sum("p")).alias("neg"))
-    return a.where("pos > 0 AND neg > 0").groupBy("round").pivot("model", scores).agg(F.first(F.col("won") / (F.col("pos") * F.col("neg"))))
+def auc_gap_error(df: DataFrame, a: str, b: str | None, label: str, key: str) -> DataFrame:
+    """(gap, se): the difference of two scores' AUCs (or a's alone), and its standard error by DeLong's components."""
+    x = df.select(key, label, *{a, b or a})
+    for s in {a, b or a}:
+        c = curve(df, s, label).select(F.col("score").alias(s), ((F.col("neg") - F.col("fp") + 0.5 * (F.col("n") - F.col("p"))) / F.col("neg")).alias(f"_v10_{s}"), ((F.col("tp") - F.col("p") + 0.5 * F.col("p")) / F.col("pos")).alias(f"_v01_{s}"))
+        x = x.join(c, s)
+    d = lambda v: F.when(F.col(label) == int(v == "v10"), F.col(f"_{v}_{a}") - (F.col(f"_{v}_{b}") if b else F.lit(0.0)))
+    one = x.select(d("v10").alias("v10"), d("v01").alias("v01"))
+    g = one.agg(F.avg("v10").alias("gap"), F.sqrt(F.var_samp("v10") / F.count("v10") + F.var_samp("v01") / F.count("v01")).alias("se"))
+    return g.select("gap", "se")
 
 
 def interval(df: DataFrame, value: Column) -> DataFrame:

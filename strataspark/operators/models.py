@@ -84,10 +84,10 @@ def permutation_importance(model: Transformer, df: DataFrame, features: list[str
 
     base = M.auc(score(model, df), "score", label).first().auc
     one = df.withColumn("_one", F.lit(1))
-    mine = running_sum(one.withColumn("_h", key_hash(key, seed)), "_h", {"_one": "_rank"}).drop("_h", "_one")
+    mine = running_sum(one.withColumn("_h", key_hash(key, seed)), "_h", {"_one": "_rank"}, tie=key).drop("_h", "_one")
     parts = []
     for r in range(repeats):
-        other = running_sum(one.select(*features, "_one", key_hash(F.col(key) * (31 + r), seed + 7 + r).alias("_h")), "_h", {"_one": "_rank"}).select("_rank", *[F.col(f).alias(f"_s_{f}") for f in features])
+        other = running_sum(one.select(key, *features, "_one", key_hash(F.pmod(F.col(key), F.lit(2147483647)) * (31 + r), seed + 7 + r).alias("_h")), "_h", {"_one": "_rank"}, tie=key).select("_rank", *[F.col(f).alias(f"_s_{f}") for f in features])
         dealt = mine.join(other, "_rank")
         for f in features:
             parts.append(dealt.select(F.lit(f).alias("feature"), F.lit(r).alias("repeat"), label, *[F.col(f"_s_{g}" if g == f else g).alias(g) for g in features]))

@@ -111,7 +111,7 @@ def varying(df: DataFrame, columns: list[str], least: float = 1e-12) -> list[str
 def stratified_split(df: DataFrame, key: str, label: str, share: float = 0.3, seed: int = 42) -> DataFrame:
     """df with part: test for exactly round(n * share) rows of each class, train for the rest, by the order of a hash of a unique key."""
     x = df.withColumn("_h", key_hash(key, seed)).withColumn("_one", F.lit(1))
-    x = running_sum(x, "_h", {"_one": "_rank"}, by=[label])
+    x = running_sum(x, "_h", {"_one": "_rank"}, by=[label], tie=key)
     n = df.groupBy(label).agg(F.round(F.count("*") * share).cast("long").alias("_cut"))
     return x.join(n, label).withColumn("part", F.when(F.col("_rank") <= F.col("_cut"), "test").otherwise("train")).drop("_h", "_one", "_rank", "_cut")
 
@@ -123,7 +123,7 @@ def seeded_shuffle(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
 def stratified_sample(df: DataFrame, key: str, label: str, n: int, seed: int = 42) -> DataFrame:
     """About n rows with the classes' shares: round(n * share) of each, the first by a hash of the key."""
     total = df.count()
-    x = running_sum(df.withColumns({"_h": key_hash(key, seed), "_one": F.lit(1)}), "_h", {"_one": "_rank"}, by=[label])
+    x = running_sum(df.withColumns({"_h": key_hash(key, seed), "_one": F.lit(1)}), "_h", {"_one": "_rank"}, by=[label], tie=key)
     size = df.groupBy(label).agg(F.round(F.count("*") * (n / max(1, total))).cast("long").alias("_n"))
     return x.join(size, label).where(F.col("_rank") <= F.col("_n")).drop("_h", "_one", "_rank", "_n")
 
@@ -151,7 +151,7 @@ def class_profile(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def seeded_places(df: DataFrame, key: str, name: str, seed: int = 42) -> DataFrame:
     """df with each row's place, from 1, in that order."""
-    return running_sum(df.withColumns({"_h": key_hash(key, seed), "_one": F.lit(1)}), "_h", {"_one": name}).drop("_h", "_one")
+    return running_sum(df.withColumns({"_h": key_hash(key, seed), "_one": F.lit(1)}), "_h", {"_one": name}, tie=key).drop("_h", "_one")
 
 
 def vector_neighbours(df: DataFrame, k: int, block: int = 2048) -> DataFrame:
@@ -190,7 +190,7 @@ def smote(df: DataFrame, label: str, minority: int, k: int = 5, seed: int = 42)
     if not need or m < 2:
         return df
     near = vector_neighbours(mine.select("id", "v"), min(k, m - 1)).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("rank", "nid"))).alias("_near"))
-    ranked = running_sum(mine.select("id", "v", key_hash("id", seed).alias("_h"), F.lit(1).alias("_one")), "_h", {"_one": "_rank"})
+    ranked = running_sum(mine.select("id", "v", key_hash("id", seed).alias("_h"), F.lit(1).alias("_one")), "_h", {"_one": "_rank"}, tie="id")
     copies = F.floor(F.lit(need / m)).cast("int") + (F.col("_rank") <= need % m).cast("int")
     each = ranked.join(near, "id").where(copies > 0).select("id", "v", "_near", F.explode(F.sequence(F.lit(1), copies)).alias("_c"))
     pick = F.element_at("_near", (F.pmod(key_hash(F.col("id") * 131 + F.col("_c"), seed), F.size("_near")) + 1).cast("int"))["nid"]

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from strataspark.functions import columns as C
 from strataspark.operators import folds as K
 from strataspark.operators import metrics as M
-from strataspark.operators.ordered import dense_ids
 from strataspark.plans.registry import query, table
 from strataspark.plans.samples import POINTS, SCORED, points, scored
 
@@ -67,27 +66,39 @@ def classification_report(spark, d):
     return M.report(scored(spark, d), F.col("score") >= 0.5, "label")
 
 
-BOOT = """b AS (SELECT row_number() OVER (ORDER BY l.doc_id) - 1 AS idx, toxic AS label, (n_chars * 7919 % 1000) / 1000.0::DOUBLE AS a, (n_chars * 104729 % 1009) / 1009.0::DOUBLE AS b FROM labels l JOIN documents d ON l.doc_id = d.doc_id), n AS (SELECT count(*) AS n FROM b),
-d AS (SELECT k // n AS round, ((k + 42) * 48271 % 2147483647 * 16807 + 12345) % 2147483647 % n AS idx FROM (SELECT unnest(range(n * 60)) AS k, n FROM n)),
-x AS (SELECT round, label, unnest([{'m': 'a', 's': a}, {'m': 'b', 's': b}]) AS s FROM d JOIN b USING (idx)), h AS (SELECT round, s.m AS m, s.s AS score, sum(label) AS p, count(*) AS n FROM x GROUP BY ALL),
-c AS (SELECT *, sum(n - p) OVER (PARTITION BY round, m ORDER BY score) - (n - p) AS below FROM h), u AS (SELECT round, m, sum(p * (below + 0.5::DOUBLE * (n - p))) / (sum(p) * (sum(n) - sum(p)))::DOUBLE AS auc FROM c GROUP BY ALL HAVING sum(p) > 0 AND sum(n) > sum(p)),
-r AS (SELECT round, max(auc) FILTER (m = 'a') AS a, max(auc) FILTER (m = 'b') AS b FROM u GROUP BY 1)"""
+def _components(s: str) -> str:
+    """DeLong's components of score s: for a positive the share of negatives below it, for a negative the share of positives above, ties half."""
+    return f"""CASE label WHEN 1 THEN (sum(1 - label) OVER (ORDER BY {s}) - 0.5::DOUBLE * sum(1 - label) OVER (PARTITION BY {s})) / sum(1 - label) OVER ()
+    ELSE (sum(label) OVER (ORDER BY {s} DESC) - 0.5::DOUBLE * sum(label) OVER (PARTITION BY {s})) / sum(label) OVER () END"""
+
+
+#: What a right bootstrap must agree with: its draws are its own, so the oracle has the AUCs and their standard error, worked out from pairs.
+DELONG = f"""b AS (SELECT toxic AS label, (n_chars * 7919 % 1000) / 1000.0::DOUBLE AS a, (n_chars * 104729 % 1009) / 1009.0::DOUBLE AS b FROM labels l JOIN documents d ON l.doc_id = d.doc_id),
+v AS (SELECT label, {_components("a")} AS va, {_components("b")} AS vb FROM b)"""
+_SE = "sqrt(var_samp({x}) FILTER (label = 1) / count(*) FILTER (label = 1) + var_samp({x}) FILTER (label = 0) / count(*) FILTER (label = 0))"
 
 
 def _boot(spark, d):
     x = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
-    x = dense_ids(x, "doc_id", "idx").select("idx", F.col("toxic").alias("label"), (F.col("n_chars") * 7919 % 1000 / 1000.0).alias("a"), (F.col("n_chars") * 104729 % 1009 / 1009.0).alias("b"))
-    return M.bootstrap_auc(x, ["a", "b"], "label", 60)
+    return x.select("doc_id", F.col("toxic").alias("label"), (F.col("n_chars") * 7919 % 1000 / 1000.0).alias("a"), (F.col("n_chars") * 104729 % 1009 / 1009.0).alias("b"))
+
+
+def _agreement(x, value, a, b):
+    """The exact figure and its standard error; whether the bootstrap's mean lies within a fifth of it, and its interval is as wide as the error says."""
+    known = M.auc_gap_error(x, a, b, "label", "doc_id")
+    drawn = M.interval(M.bootstrap_auc(x, ["a", "b"], "label", 1000, key="doc_id"), value)
+    width = (F.col("high") - F.col("low")) / (2 * 1.959964 * F.col("se"))
+    return drawn.join(F.broadcast(known)).select("rounds", C.rnd("gap", 6).alias("figure"), C.rnd("se", 6).alias("error"), (F.abs(F.col("mean") - F.col("gap")) < 0.2 * F.col("se")).alias("centred"), F.abs(width - 1).between(0, 0.2).alias("wide"))
 
 
-@query(f"WITH {BOOT} SELECT count(*) AS rounds, round(avg(a - b), 6) AS mean, round(quantile_cont(a - b, 0.025), 6) AS low, round(quantile_cont(a - b, 0.975), 6) AS high, quantile_cont(a - b, 0.025) > 0 OR quantile_cont(a - b, 0.975) < 0 AS separable FROM r")
+@query(f"WITH {DELONG} SELECT 1000 AS rounds, round(avg(va - vb) FILTER (label = 1), 6) AS figure, round({_SE.format(x='va - vb')}, 6) AS error, true AS centred, true AS wide FROM v")
 def bootstrap_auc_gap(spark, d):
-    return M.interval(_boot(spark, d), F.col("a") - F.col("b"))
+    return _agreement(_boot(spark, d), F.col("a") - F.col("b"), "a", "b")
 
 
-@query(f"WITH {BOOT} SELECT count(*) AS rounds, round(avg(a), 6) AS mean, round(quantile_cont(a, 0.025), 6) AS low, round(quantile_cont(a, 0.975), 6) AS high, quantile_cont(a, 0.025) > 0 OR quantile_cont(a, 0.975) < 0 AS separable FROM r")
+@query(f"WITH {DELONG} SELECT 1000 AS rounds, round(avg(va) FILTER (label = 1), 6) AS figure, round({_SE.format(x='va')}, 6) AS error, true AS centred, true AS wide FROM v")
 def bootstrap_auc_interval(spark, d):
-    return M.interval(_boot(spark, d), F.col("a"))
+    return _agreement(_boot(spark, d), F.col("a"), "a", None)
 
 
 @query("WITH m AS (SELECT event_type AS model, avg(value) AS v FROM events GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY v DESC, model) AS k FROM m) SELECT max(model) FILTER (k = 1) AS best, max(model) FILTER (k = 2) AS second, round(max(v) FILTER (k = 1) - max(v) FILTER (k = 2), 6) AS gap, max(v) FILTER (k = 1) - max(v) FILTER (k = 2) < 1e-4 AS tied FROM r")
