@@ -243,12 +243,17 @@ def test_op6_join_equals_brute_force(spark):
     for d in docs.collect():
         found = set()
         for line in (d.text or "").split("\n"):
-            b = set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in line)))
-            found |= {label for t, label in op6_license.TEMPLATES.items() if len(set(t.split()) & b) >= 0.8 * len(set(t.split())) - 1e-9}
+            b = word_pairs(line)
+            found |= {label for t, label in op6_license.TEMPLATES.items() if len(word_pairs(t) & b) >= 0.8 * len(word_pairs(t)) - 1e-9}
         assert got[d.doc_id] == found - set(filter(None, _base(d.text).split(","))), d.text[:80] if d.text else d.text
     assert op6_license.scan_licenses(docs.limit(0)).count() == 0
 
 
+def word_pairs(text):
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in text))
+    return set(zip(w, w[1:], strict=False))
+
+
 def test_op6_wrapped_notices(spark):
     bsd = "Copyright (c) X\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"
     mit = "# Permission is hereby granted, free of charge, to any person\n# obtaining a copy of this software and associated files"
