@@ -15,7 +15,8 @@ def _least(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, a: str, b: str, rounds: int = 40) -> DataFrame:
     """(node, comp): comp is the smallest node of node's component. Edges from a node to itself don't matter.
 
-    Each round is cut by a checkpoint. Nodes without an edge don't appear."""
+    Each round is cut by a checkpoint, and so are the nodes' least neighbours: the join with them then has nothing but shuffles below it, so
+    that adaptive execution broadcasts a small table of them, and splits the edges of a node that very many link to. Nodes without an edge don't appear."""
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
     before = None
     for _ in range(rounds):
@@ -24,8 +25,8 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 40) -> DataFrame:
         if state == before or not state[0]:
             break
         before = state
-        both = e.union(e.select("v", "u").toDF("u", "v"))
-        large = both.join(_least(both), "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        least = cut(_least(e.union(e.select("v", "u").toDF("u", "v"))))
+        large = e.join(least.withColumnRenamed("u", "v"), "v").select("u", F.least("v", "m").alias("v")).distinct()
         joined = large.join(_least(large), "u")
         e = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v"))).where("u > v").distinct()
     else:
