@@ -3,9 +3,9 @@
 Tokens are pairs of neighbouring words, so the order of words matters. Blocks are sets of tokens: lines and, for notices that are wrapped, runs of words
 over the ends of lines. A line has a template's label if it holds at least THRESHOLD of the template's tokens, a run if so many stand within SPAN times
 the template's length. Templates are sentences and whole notices.
-1. The corpus is counted once for the templates' words; tokens are then ranked by their rarer word, rarest first.
+1. The corpus is counted once for the documents that hold each of the templates' words; tokens are then ranked by their rarer word, rarest first.
 2. A template of n tokens that must share need = ceil(THRESHOLD * n) of them is indexed by its n - need + 1 rarest tokens only (prefix
-   filter). Blocks without any such token are never split into words.
+   filter). Documents without the rarer word of any such token, and blocks without any such token, go no further.
 3. A block is the sorted ranks of its template tokens. Blocks meet templates on indexed tokens, if they have
    need tokens at all (length filter), and if what is left of both behind the match can still make need (positional filter).
 4. Each pair is verified once, at its first common token, by whole sets, and in runs by the tokens' places.
@@ -21,7 +21,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, read, text_of
+from .common import NULL_ID, ascii_lower, read, text_of
 
 #: A character of a word, and one that isn't, before A-Z are lower-cased. A class of ranges is searched far faster than the negated one.
 IN, OUT = r"[0-9A-Za-z\x{80}-\x{10FFFF}]", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
@@ -123,7 +123,7 @@ def with_tokens(line: Column, vocabulary: list[str], rank) -> Column:
         return F.struct(F.array_sort(F.transform(held, rank)).alias("own"), F.transform(places, lambda x: F.struct(x["pos"].alias("pos"), rank(x["p"]).alias("rank"))).alias("at"))
 
     known = F.array(*map(F.lit, vocabulary))
-    words = F.array(F.regexp_extract_all(F.lower(line), F.lit(IN + "+"), F.lit(0)))  # arrays of one element bind what is used more than once to a name
+    words = F.array(F.regexp_extract_all(ascii_lower(line), F.lit(IN + "+"), F.lit(0)))  # arrays of one element bind what is used more than once to a name
     of_pairs = lambda ps: F.transform(F.array(F.array_intersect(ps, known)), lambda held: ranked(ps, held))[0]
     return F.transform(F.transform(words, pairs), of_pairs)[0]
 
@@ -135,9 +135,11 @@ def template_matches(docs: DataFrame, templates: dict[str, str], threshold: floa
     tokens = sorted({x for _, _, s in sets for x in s})
     if sum(len(s) for _, _, s in sets) > MAX_TOKENS:
         raise ValueError(f"templates of more than {MAX_TOKENS} tokens")
-    seen = docs.select(F.explode(F.regexp_extract_all("_text", F.lit(_any({w for x in tokens for w in x.split()})), F.lit(0))).alias("w")).groupBy(F.lower("w").alias("w")).count()
+    words, vocabulary = F.regexp_extract_all(F.lower("_text"), F.lit(IN + "+"), F.lit(0)), sorted({w for x in tokens for w in x.split()})
+    seen = docs.select(F.explode(F.array_intersect(words, F.array(*map(F.lit, vocabulary)))).alias("w")).groupBy("w").count()
     counts = {r.w: r["count"] for r in seen.collect()}  # one row for each word of the templates
-    order = {x: k for k, x in enumerate(sorted(tokens, key=lambda x: (min(counts.get(w, 0) for w in x.split()), x)))}
+    rarer = {x: min((counts.get(w, 0), w) for w in x.split()) for x in tokens}
+    order = {x: k for k, x in enumerate(sorted(tokens, key=lambda x: (rarer[x], x)))}
     index, prefix, spans = [], set(), [SPAN * len(words_of(t)) for t in templates]
     for k, label, s in sets:
         ranks = sorted(order[x] for x in s)
@@ -150,7 +152,8 @@ def template_matches(docs: DataFrame, templates: dict[str, str], threshold: floa
     ranks = F.create_map(*[F.lit(y) for x, r in order.items() for y in (x, r)])
     text = lambda run: lambda x: F.struct(x.alias("line"), F.lit(run).alias("run"))
     both = F.concat(F.transform(F.split("_text", "\n"), text(False)), F.transform(wrapped(F.col("_text"), max(spans, default=1)), text(True)))
-    lines = docs.where(F.col("_text").rlike(rare)).select("_id", F.explode(both).alias("_b")).select("_id", F.col("_b.line").alias("line"), F.col("_b.run").alias("run")).where(F.col("line").rlike(rare))
+    hints = F.array(*[F.lit(w) for w in sorted({rarer[x][1] for x, r in order.items() if r in prefix})])
+    lines = docs.where(F.arrays_overlap(words, hints)).where(F.col("_text").rlike(rare)).select("_id", F.explode(both).alias("_b")).select("_id", F.col("_b.line").alias("line"), F.col("_b.run").alias("run")).where(F.col("line").rlike(rare))
     blocks = lines.select("_id", "run", with_tokens(F.col("line"), tokens, lambda x: F.element_at(ranks, x)).alias("_t"))
     pairs = blocks.select("_id", F.col("_t.own").alias("own"), F.when(F.col("run"), F.col("_t.at")).alias("at")).select("*", F.posexplode("own").alias("i", "rank")).join(F.broadcast(table), "rank")
     pairs = pairs.where((F.size("own") >= F.col("need")) & (1 + F.least(F.size("ranks") - F.col("p") - 1, F.size("own") - F.col("i") - 1) >= F.col("need")))
