@@ -19,13 +19,15 @@ def zone_table(df: DataFrame, by: str) -> DataFrame:
 
 
 def neighbourhood(cells: DataFrame, value: str = "value", key: str = "tile") -> DataFrame:
-    """cells with n00 ... n22, the 3 x 3 values around (n11 is the cell's own), null beyond the edge. Rows and columns must be complete."""
-    across, down = Window.partitionBy(key, "row").orderBy("col"), Window.partitionBy(key, "col").orderBy("row")
-    x = cells.withColumns({"_w": F.lag(value).over(across), "_e": F.lead(value).over(across)})
-    out = {}
-    for k, c in enumerate(("_w", value, "_e")):
-        out |= {f"n0{k}": F.lag(c).over(down), f"n1{k}": F.col(c), f"n2{k}": F.lead(c).over(down)}
-    return x.withColumns(out).drop("_w", "_e")
+    """cells with n00 ... n22, the 3 x 3 values around (n11 is the cell's own), null where there is no cell.
+
+    Neighbours are found by their coordinates along rows, columns and both diagonals, so cells may be missing anywhere."""
+    lines = {"row": ("col", "10", "12"), "col": ("row", "01", "21"), "_diagonal": ("row", "00", "22"), "_other": ("row", "02", "20")}
+    x = cells.withColumns({"_diagonal": F.col("row") - F.col("col"), "_other": F.col("row") + F.col("col"), "n11": F.col(value)})
+    for line, (order, before, after) in lines.items():
+        along = Window.partitionBy(key, line).orderBy(order)
+        x = x.withColumns({f"n{k}": F.first(value).over(along.rangeBetween(d, d)) for k, d in ((before, -1), (after, 1))})
+    return x.drop("_diagonal", "_other")
 
 
 def _n(k: str) -> Column:
