@@ -8,7 +8,7 @@ from strataspark.functions import columns as C
 from strataspark.operators import prep as P
 from strataspark.operators.quality import findings
 from strataspark.plans.registry import query, table
-from strataspark.plans.samples import scored
+from strataspark.plans.samples import SCORED, scored
 
 GAPS = "g AS (SELECT o_orderkey, CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_totalprice END AS price, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderpriority END AS priority FROM orders)"
 
@@ -62,17 +62,26 @@ def vif_pair(spark, d):
     return spark.createDataFrame([(round(float(v[0]), 5),)], "vif double")
 
 
-@query("SELECT unnest(['quantity', 'discount', 'tax']) AS kept")
+#: Factors of three columns by their pairwise correlations; of the columns with twin among them every collinear one is infinite and the first goes.
+VIF_SQL = f"""WITH {SCORED}, r AS (SELECT corr(quantity, discount) AS qd, corr(quantity, tax) AS qt, corr(discount, tax) AS dt FROM scored),
+det AS (SELECT *, 1 + 2 * qd * qt * dt - qd * qd - qt * qt - dt * dt AS d FROM r)
+SELECT kept, round(v, 5) AS vif FROM (SELECT unnest(['quantity', 'discount', 'tax']) AS kept, unnest([(1 - dt * dt) / d, (1 - qt * qt) / d, (1 - qd * qd) / d]) AS v FROM det) WHERE v <= 10"""
+
+
+@query(VIF_SQL)
 def vif_pruned(spark, d):
     x = scored(spark, d).withColumn("twin", F.col("quantity") * 2 + F.col("tax"))
     left, _ = P.prune_vif(x, ["twin", "quantity", "discount", "tax"])
-    return spark.createDataFrame([(c,) for c in left], "kept string")
+    factors = P.vif(P.correlation_matrix(x, left))
+    return spark.createDataFrame([(c, round(float(v), 5)) for c, v in zip(left, factors, strict=True)], "kept string, vif double")
 
 
-@query("SELECT unnest(['l_quantity', 'l_discount']) AS kept")
+@query("""SELECT * FROM (SELECT 'l_quantity' AS kept, round(var_pop(l_quantity), 5) AS spread FROM lineitem UNION ALL SELECT 'one', round(var_pop(1.0), 5) FROM lineitem UNION ALL SELECT 'l_discount', round(var_pop(l_discount), 5) FROM lineitem)
+WHERE spread > 1e-12""")
 def varying_columns(spark, d):
     x = table(spark, d, "lineitem").withColumn("one", F.lit(1.0))
-    return spark.createDataFrame([(c,) for c in P.varying(x, ["l_quantity", "one", "l_discount"])], "kept string")
+    kept = P.varying(x, ["l_quantity", "one", "l_discount"])
+    return x.agg(*[C.rnd(F.var_pop(c), 5).alias(c) for c in kept]).unpivot([], kept, "kept", "spread")
 
 
 @query("""WITH h AS (SELECT o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus ORDER BY (o_orderkey * 1103515245 + 42) % 2147483647) AS k, count(*) OVER (PARTITION BY o_orderstatus) AS n FROM orders)
