@@ -30,18 +30,31 @@ def forest_score_zones(spark, d):
     return zone_table(told.select((F.col("id") % 4).alias("region"), C.zone("score").alias("zone")), "region")
 
 
-@query("SELECT true AS above, true AS within FROM (SELECT 1)")
+#: The AUC of the strongest feature by itself on the held-out fold, which a fitted model must beat.
+BASELINE_SQL = """WITH x AS (SELECT c_custkey AS id, (c_custkey * 7919 % 1009) / 1009.0::DOUBLE AS f1, (c_custkey * 104729 % 997) / 997.0::DOUBLE AS f2, (c_custkey * 6101 % 883) / 883.0::DOUBLE AS f3 FROM customer),
+y AS (SELECT *, CASE WHEN id % 10 = 0 THEN 1 - (f1 + f2 * f2 - 0.5::DOUBLE * f3 > 0.6::DOUBLE)::INT ELSE (f1 + f2 * f2 - 0.5::DOUBLE * f3 > 0.6::DOUBLE)::INT END AS label FROM x WHERE id % 3 = 0),
+v AS (SELECT label, (sum(1 - label) OVER (ORDER BY f1) - 0.5::DOUBLE * sum(1 - label) OVER (PARTITION BY f1)) / sum(1 - label) OVER () AS below FROM y)
+SELECT round(avg(below) FILTER (label = 1), 6) AS baseline, true AS better FROM v"""
+
+
+def _against_baseline(test, told):
+    """The baseline, and whether the model's AUC is higher."""
+    b, m = M.auc(test, "f1", "label").select(F.col("auc").alias("b")), M.auc(told, "score", "label").select(F.col("auc").alias("m"))
+    return b.join(F.broadcast(m)).select(C.rnd("b").alias("baseline"), (F.col("m") > F.col("b")).alias("better"))
+
+
+@query(BASELINE_SQL)
 def boosted_auc(spark, d):
     x = samples(spark, d)
-    told = L.score(L.fit_boosted(x.where("fold <> 0"), FEATURES, "label"), x.where("fold = 0"))
-    return M.auc(told, "score", "label").select((F.col("auc") > 0.75).alias("above"), (F.col("auc") <= 1).alias("within"))
+    test = x.where("fold = 0")
+    return _against_baseline(test, L.score(L.fit_boosted(x.where("fold <> 0"), FEATURES, "label"), test))
 
 
-@query("SELECT true AS above")
+@query(BASELINE_SQL)
 def kernel_machine_auc(spark, d):
     x = samples(spark, d)
-    told = L.KernelMachine(FEATURES, gamma=1.0).fit(x.where("fold <> 0"), "label").transform(x.where("fold = 0"))
-    return M.auc(told, "score", "label").select((F.col("auc") > 0.7).alias("above"))
+    test = x.where("fold = 0")
+    return _against_baseline(test, L.KernelMachine(FEATURES, gamma=1.0).fit(x.where("fold <> 0"), "label").transform(test))
 
 
 @query(None)
