@@ -68,6 +68,37 @@ def partition_faults(members: DataFrame, universe: DataFrame, key: str) -> DataF
     return f.join(n).select("outer_fold", "repeated", (F.col("_n") - F.col("known")).alias("lost"), "extra")
 
 
+def split_faults(members: DataFrame, facts: DataFrame, key: str, group: str, event: str, label: str, least: int = 1) -> DataFrame:
+    """(outer_fold, groups, cells, events, too_few): groups, raster cells (row, col) and events on both sides of a split, and whether a class has fewer than
+    least train rows or no test row. All are 0 or false for a sound split. Blank events don't count; removed rows are on neither side."""
+    x = members.where("role IN ('train', 'test')").join(facts, key)
+    train = F.col("role") == "train"
+
+    def crossing(name: str, *columns) -> DataFrame:
+        g = x.groupBy("outer_fold", F.struct(*columns).alias("_v")).agg(F.count_if(train).alias("a"), F.count_if(~train).alias("b"))
+        return g.groupBy("outer_fold").agg(F.count_if((F.col("a") > 0) & (F.col("b") > 0)).alias(name))
+
+    said = F.nullif(F.trim(F.col(event).cast("string")), F.lit(""))
+    one = x.groupBy("outer_fold", said.alias("_v")).agg(F.count_if(train).alias("a"), F.count_if(~train).alias("b")).groupBy("outer_fold").agg(F.count_if(F.col("_v").isNotNull() & (F.col("a") > 0) & (F.col("b") > 0)).alias("events"))
+    seen = lambda side, y: F.count_if(side & (F.col(label) == y))
+    few = x.groupBy("outer_fold").agg(((F.least(seen(train, 0), seen(train, 1)) < least) | (F.least(seen(~train, 0), seen(~train, 1)) == 0)).alias("too_few"))
+    return crossing("groups", group).join(crossing("cells", "row", "col"), "outer_fold").join(one, "outer_fold").join(few, "outer_fold")
+
+
+def least_distances(members: DataFrame, points: DataFrame, key: str) -> DataFrame:
+    """(outer_fold, least): the smallest distance between a test and a train point of each fold. points is (key, x, y)."""
+    from strataspark.operators.spatial import nearest
+
+    out = None
+    for fold in [r.outer_fold for r in members.select("outer_fold").distinct().orderBy("outer_fold").collect()]:
+        x = members.where(F.col("outer_fold") == fold).join(points, key)
+        test = x.where("role = 'test'").select(F.col(key).alias("id"), "x", "y")
+        train = x.where("role = 'train'").select(F.col(key).alias("sid"), F.col("x").alias("sx"), F.col("y").alias("sy"))
+        one = nearest(test, train).agg(F.min("dist").alias("least")).select(F.lit(fold).alias("outer_fold"), "least")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def coverage_faults(members: DataFrame, key: str) -> DataFrame:
     """Rows that aren't test in exactly one fold."""
     return members.groupBy(key).agg(F.count_if(F.col("role") == "test").alias("tests")).where("tests <> 1")

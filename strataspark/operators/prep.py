@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strataspark.checkpoints import cut
 from strataspark.contract import OTHER, RARE_MIN_ROWS, UNKNOWN
 from strataspark.functions.columns import circular, key_hash, pearson, uniform
 from strataspark.operators.ordered import running_sum
@@ -84,15 +85,25 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> np.ndarray:
 
 
 def vif(matrix: np.ndarray) -> np.ndarray:
-    """1 / (1 - R**2) of each column on the others: the diagonal of the inverse; infinite if the matrix is singular."""
-    if not np.isfinite(matrix).all() or np.linalg.cond(matrix) > 1e12:
-        return np.full(len(matrix), np.inf)
-    return np.diag(np.linalg.inv(matrix))
+    """1 / (1 - R**2) of each column on the others. Infinite for columns that others give exactly, and for constant ones."""
+    known = np.isfinite(matrix).sum(1) > 1 if len(matrix) > 1 else np.ones(len(matrix), bool)
+    out = np.full(len(matrix), np.inf)
+    m = matrix[np.ix_(known, known)]
+    if not np.isfinite(m).all():
+        return out
+    if len(m) and np.linalg.cond(m) <= 1e12:
+        out[known] = np.diag(np.linalg.inv(m))
+        return out
+    for i, k in enumerate(np.flatnonzero(known)):
+        rest = np.arange(len(m)) != i
+        gap = 1 - m[i, rest] @ np.linalg.pinv(m[np.ix_(rest, rest)], rcond=1e-10, hermitian=True) @ m[i, rest]
+        out[k] = 1 / gap if gap > 1e-9 else np.inf
+    return out
 
 
-def prune_vif(df: DataFrame, columns: list[str], limit: float = 10.0) -> tuple[list[str], list[tuple[str, float]]]:
-    """Columns left, and those dropped with their factor: the worst goes until all are within the limit. One pass over the data serves all rounds."""
-    m, left, gone = correlation_matrix(df, columns), list(range(len(columns))), []
+def prune_matrix(m: np.ndarray, columns: list[str], limit: float = 10.0) -> tuple[list[str], list[tuple[str, float]]]:
+    """Columns left, and those dropped with their factor: the worst goes, the first of equal ones, until all are within the limit."""
+    left, gone = list(range(len(columns))), []
     while len(left) > 1:
         v = vif(m[np.ix_(left, left)])
         k = int(np.argmax(v))
@@ -103,6 +114,11 @@ def prune_vif(df: DataFrame, columns: list[str], limit: float = 10.0) -> tuple[l
     return [columns[i] for i in left], gone
 
 
+def prune_vif(df: DataFrame, columns: list[str], limit: float = 10.0) -> tuple[list[str], list[tuple[str, float]]]:
+    """prune_matrix on the table's correlations. One pass over the data serves all rounds."""
+    return prune_matrix(correlation_matrix(df, columns), columns, limit)
+
+
 def varying(df: DataFrame, columns: list[str], least: float = 1e-12) -> list[str]:
     r = df.agg(*[F.var_pop(c).alias(c) for c in columns]).first()
     return [c for c in columns if r[c] is not None and r[c] > least]
@@ -220,6 +236,91 @@ def fold_transform(df: DataFrame, folds: DataFrame, key: str, numbers: list[str]
     return out.withColumns(scaled).withColumn(category, F.when(F.col("_n").isNotNull(), F.col(category)).otherwise(OTHER)).select("fold", key, "role", *numbers, category)
 
 
+def fold_vocabulary(train: DataFrame, category: str, least: int) -> dict[int, tuple[str, list[str], list[str]]]:
+    """For each fold the category's mode, its frequent levels (nulls count for the mode), and the levels that become columns, all but the commonest.
+
+    Levels with fewer than least rows are one level, Other. Ties go to the alphabetically first."""
+    g = train.groupBy("fold", F.col(category).alias("c")).agg(F.count("*").alias("n")).persist()
+    known = F.col("c").isNotNull()
+    told = g.groupBy("fold").agg(F.sum("n").alias("rows"), F.sum(F.when(known, 0).otherwise(F.col("n"))).alias("nulls"), F.min(F.when(known, F.struct((-F.col("n")).alias("n"), "c"))).alias("top")).collect()
+    rows = g.where(known & (F.col("n") >= least)).orderBy("fold", "c").limit(len(told) * MAX_LEVELS + 1).collect()
+    g.unpersist()
+    if len(rows) > len(told) * MAX_LEVELS:
+        raise ValueError(f"{category} has more than {MAX_LEVELS} levels")
+    out = {}
+    for t in told:
+        mode = t.top.c if t.top else UNKNOWN
+        counts = {r.c: r.n for r in rows if r.fold == t.fold}
+        counts[mode] = (-t.top.n if t.top else 0) + t.nulls
+        frequent = sorted(c for c, n in counts.items() if n >= least)
+        merged = {c: counts[c] for c in frequent}
+        if other := t.rows - sum(merged.values()):
+            merged[OTHER] = merged.get(OTHER, 0) + other
+        out[t.fold] = mode, frequent, sorted(sorted(merged, key=lambda c: (-merged[c], c))[1:])
+    return out
+
+
+def fold_prepare(df: DataFrame, folds: DataFrame, key: str, numbers: list[str], angles: list[str], categories: list[str], least: int = RARE_MIN_ROWS, limit: float = 10.0) -> tuple[DataFrame, DataFrame]:
+    """(rows, dropped), with all that is learned coming from each fold's train rows alone.
+
+    rows is (fold, key, role, features): every row once for every fold, features a map from a feature's name to its standardised value. Numbers get the median
+    where they are null, NaN or infinite, angles become sine and cosine (negative ones are flat: 0, 0), categories get the mode, rare levels merge, and each level but the commonest is a 0/1
+    feature. Then constant features go, and the worst by variance inflation until all are within the limit. dropped is (fold, feature, why, vif).
+
+    All folds share the jobs: medians, one per category, and one pass for means and covariances. What reaches the driver are the folds' levels and one matrix per fold."""
+    spark, plain = df.sparkSession, [*numbers, *angles]
+    finite = {c: F.when(~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c).cast("double")) != float("inf")), F.col(c).cast("double")) for c in plain}
+    x = folds.join(df.withColumns(finite), key)
+    train = x.where("role = 'train'")
+    med = train.groupBy("fold").agg(*[F.median(c).alias(f"_m_{c}") for c in plain])
+    vocabulary = {c: fold_vocabulary(train, c, least) for c in categories}
+    known = sorted({f for v in vocabulary.values() for f in v} or {r.fold for r in med.select("fold").collect()})
+    words = spark.createDataFrame([(f, *[v for c in categories for v in vocabulary[c][f][:2]]) for f in known], ", ".join(["fold int"] + [f"`_mode_{c}` string, `_freq_{c}` array<string>" for c in categories]))
+    x = x.join(F.broadcast(med), "fold").join(F.broadcast(words), "fold")  # one row per fold
+    features: dict[str, Column] = {}
+    for c in numbers:
+        features[c] = F.coalesce(c, f"_m_{c}")
+    for c in angles:
+        features[f"{c}_sin"], features[f"{c}_cos"] = circular(F.coalesce(c, f"_m_{c}"))
+    for c in categories:
+        value = F.coalesce(c, f"_mode_{c}")
+        merged = F.when(F.array_contains(f"_freq_{c}", value), value).otherwise(OTHER)
+        for level in sorted({w for f in known for w in vocabulary[c][f][2]}):
+            features[f"{c}={level}"] = (merged == level).cast("double")
+    names = list(features)
+    raw = x.select("fold", key, "role", F.array(*[features[n].cast("double") for n in names]).alias("_v"))
+    pairs = [(i, j) for i in range(len(names)) for j in range(i + 1)]
+    v = lambda i: F.col("_v")[i]
+    stats = raw.where("role = 'train'").groupBy("fold").agg(F.array(*[F.avg(v(i)) for i in range(len(names))]).alias("mean"), F.array(*[F.covar_pop(v(i), v(j)) for i, j in pairs]).alias("cov")).collect()
+    learned, dropped = [], []
+    for r in stats:
+        if empty := [n for n, m in zip(names, r["mean"], strict=True) if m is None]:
+            raise ValueError(f"no known value in {', '.join(empty)} of fold {r.fold}")
+        cov = np.zeros((len(names), len(names)))
+        for (i, j), c in zip(pairs, r["cov"], strict=True):
+            cov[i, j] = cov[j, i] = c
+        columns = {f"{c}={w}" for c in categories for w in vocabulary[c][r.fold][2]}
+        mine = [i for i, n in enumerate(names) if i < len(numbers) + 2 * len(angles) or n in columns]
+        varies = [i for i in mine if cov[i, i] > 1e-12]
+        dropped += [(r.fold, names[i], "constant", None) for i in mine if i not in varies]
+        sd = np.sqrt(np.diag(cov))
+        left, gone = prune_matrix(cov[np.ix_(varies, varies)] / np.outer(sd[varies], sd[varies]), [names[i] for i in varies], limit)
+        dropped += [(r.fold, n, "inflated", f) for n, f in gone]
+        learned.append((r.fold, left, list(r["mean"]), [float(s) or 1.0 for s in sd]))
+    fitted = spark.createDataFrame(learned, "fold int, _kept array<string>, _mean array<double>, _sd array<double>")
+    z = F.zip_with(F.zip_with("_v", "_mean", lambda a, b: a - b), "_sd", lambda a, b: a / b)
+    told = F.map_filter(F.map_from_arrays(F.array(*map(F.lit, names)), z), lambda n, _: F.array_contains("_kept", n))
+    rows = raw.join(F.broadcast(fitted), "fold").select("fold", key, "role", told.alias("features"))
+    return rows, spark.createDataFrame(dropped, "fold int, feature string, why string, vif double")
+
+
+def fold_smote(rows: DataFrame, key: str, labels: DataFrame, label: str, minority: int, fold: int, k: int = 5) -> DataFrame:
+    """(id, v, label): a fold's prepared train rows, balanced by synthetic minority rows. Test rows never enter. v goes by the features' names."""
+    train = rows.where((F.col("fold") == fold) & (F.col("role") == "train"))
+    v = F.transform(F.array_sort(F.map_keys("features")), lambda n: F.element_at("features", n))
+    return smote(cut(train.join(labels.select(key, label), key).select(F.col(key).cast("long").alias("id"), v.alias("v"), label)), label, minority, k)
+
+
 def bisect_intercept(df: DataFrame, logit: Column, share: float, steps: int = 6, grid: int = 32) -> float:
     """The number to add to a logit for a wanted mean probability. Each job tries a grid of them."""
     lo, hi = -50.0, 50.0

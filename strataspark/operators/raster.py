@@ -50,6 +50,13 @@ def slope_degrees(size: float) -> Column:
     return F.degrees(F.atan(F.sqrt(dx * dx + dy * dy)))
 
 
+def aspect_degrees() -> Column:
+    """Compass direction of the steepest fall by Horn's gradient, 0 to 360; -1 where it is level, null at the edge. Rows run down from north."""
+    dx = (_n("02") + 2 * _n("12") + _n("22")) - (_n("00") + 2 * _n("10") + _n("20"))
+    dy = (_n("20") + 2 * _n("21") + _n("22")) - (_n("00") + 2 * _n("01") + _n("02"))
+    return F.when((dx == 0) & (dy == 0), -1.0).otherwise(F.pmod(F.degrees(F.atan2(-dx, dy)), F.lit(360.0)))
+
+
 def profile_curvature(size: float) -> Column:
     """Curvature along the slope from a partial quartic surface; 0 where it is level, null at the edge."""
     e = _n("11")
@@ -78,6 +85,36 @@ def majority(cells: DataFrame, factor: int, key: str = "tile") -> DataFrame:
     return c.groupBy(key, "row", "col").agg(F.min_by("value", F.struct((-F.col("n")).alias("a"), F.col("value").alias("b"))).alias("value"))
 
 
+def resample(cells: DataFrame, source: tuple[float, float, float], target: tuple[float, float, float, int, int], how: str = "bilinear", key: str = "tile") -> DataFrame:
+    """(key, row, col, value) on another grid of the same projection. source is (left, top, cell size), target the same with rows and columns.
+
+    nearest: the source cell that holds the target cell's centre. bilinear: the four cells around it by their weights, without missing ones; null beyond
+    the half of a cell at the edges where none is known. mode: the commonest of the source cells whose centres the target cell holds, ties to the smallest.
+    Only the target's cells are made, and each meets at most four source cells in one equi-join."""
+    (left, top, size), (to_left, to_top, to_size, rows, cols) = source, target
+    if how == "mode":
+        at = lambda c, start, to, sign: F.floor(((F.col(c) + 0.5) * size + sign * (start - to)) / to_size).cast("int")
+        c = cells.where("value IS NOT NULL").select(key, at("row", top, to_top, -1).alias("row"), at("col", left, to_left, 1).alias("col"), "value").where(F.col("row").between(0, rows - 1) & F.col("col").between(0, cols - 1))
+        return c.groupBy(key, "row", "col", "value").agg(F.count("*").alias("n")).groupBy(key, "row", "col").agg(F.min_by("value", F.struct((-F.col("n")).alias("a"), F.col("value").alias("b"))).alias("value"))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    grid = cells.select(key).distinct().select(key, each(rows).alias("row")).select("*", each(cols).alias("col"))
+    y, x = ((top - to_top) + (F.col("row") + 0.5) * to_size) / size, ((to_left - left) + (F.col("col") + 0.5) * to_size) / size
+    if how == "nearest":
+        spots = grid.select("*", F.floor(y).cast("int").alias("_r"), F.floor(x).cast("int").alias("_c"))
+        return spots.join(cells.select(key, F.col("row").alias("_r"), F.col("col").alias("_c"), "value"), [key, "_r", "_c"], "left").select(key, "row", "col", "value")
+    if how != "bilinear":
+        raise ValueError(f"unknown way to resample: {how}")
+    grid = grid.select("*", (y - 0.5).alias("_y"), (x - 0.5).alias("_x"))
+    r, c = F.floor("_y").cast("int"), F.floor("_x").cast("int")
+    fy, fx = F.col("_y") - r, F.col("_x") - c
+    corners = F.array(*[F.struct((r + i).alias("r"), (c + j).alias("c"), ((fy if i else 1 - fy) * (fx if j else 1 - fx)).alias("w")) for i in (0, 1) for j in (0, 1)])
+    near = grid.select(key, "row", "col", F.explode(F.filter(corners, lambda q: q["w"] > 0)).alias("_q"))
+    near = near.select(key, "row", "col", F.col("_q.w").alias("_w"), F.col("_q.r").alias("_r"), F.col("_q.c").alias("_c"))
+    met = near.join(cells.select(key, F.col("row").alias("_r"), F.col("col").alias("_c"), "value"), [key, "_r", "_c"], "left")
+    known = F.when(F.col("value").isNotNull(), F.col("_w"))
+    return met.groupBy(key, "row", "col").agg(F.try_divide(F.sum(F.col("value") * known), F.sum(known)).alias("value"))
+
+
 def stride(cells: DataFrame, step: int, top: int = 0, left: int = 0) -> DataFrame:
     """Every step-th cell of a window, renumbered."""
     keep = ((F.col("row") - top) % step == 0) & ((F.col("col") - left) % step == 0) & (F.col("row") >= top) & (F.col("col") >= left)

@@ -48,7 +48,9 @@ def nearest(points: DataFrame, sites: DataFrame, k: int = 1, size: float | None
         if exclude_self:
             found = found.where("id <> sid")
         dist = F.sqrt(F.pow(F.col("x") - F.col("sx"), 2) + F.pow(F.col("y") - F.col("sy"), 2))
-        best = found.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct(dist.alias("d"), "sid"))), 1, k).alias("best"))
+        first = Window.partitionBy("id").orderBy("d", "sid")  # cut to k rows before the shuffle, too
+        found = found.select("id", "sid", dist.alias("d")).withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= k)
+        best = found.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("d", "sid"))).alias("best"))
         best = cut(best.where((F.size("best") >= enough) & ((F.element_at("best", -1)["d"] <= side) | F.lit(last))))
         out.append(best)
         left = cut(left.join(best, "id", "left_anti"))
@@ -78,13 +80,31 @@ def rect_distance(x: Column, y: Column, rect: Column) -> Column:
     return F.sqrt(dx * dx + dy * dy)
 
 
-def nearest_rect(points: DataFrame, rects: DataFrame) -> DataFrame:
-    """points with the distance to the nearest rectangle. The rectangles go to every task as one row, up to MAX_RECTS."""
-    n = rects.count()
-    if n > MAX_RECTS:
-        raise ValueError(f"{n} rectangles; use outside_buffers, which buckets them")
-    one = rects.agg(F.collect_list(F.struct("xmin", "ymin", "xmax", "ymax")).alias("_rects"))
-    return points.join(F.broadcast(one)).withColumn("rect_dist", F.array_min(F.transform("_rects", lambda r: rect_distance(F.col("x"), F.col("y"), r)))).drop("_rects")
+def nearest_rect(points: DataFrame, rects: DataFrame, at_once: int = MAX_RECTS) -> DataFrame:
+    """points with rect_dist, the distance to the nearest rectangle; null if there is none. ids are unique.
+
+    Up to at_once rectangles go to every task as one row. More meet points in the squares of a grid that they touch; points without a
+    rectangle within a square's side go on to squares of double side."""
+    box = rects.agg(F.count("*").alias("n"), F.min("xmin").alias("a"), F.max("xmax").alias("b"), F.min("ymin").alias("c"), F.max("ymax").alias("d"), F.avg(F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"))).alias("side")).first()
+    if box.n <= at_once:
+        one = rects.agg(F.collect_list(F.struct("xmin", "ymin", "xmax", "ymax")).alias("_rects"))
+        return points.join(F.broadcast(one)).withColumn("rect_dist", F.array_min(F.transform("_rects", lambda r: rect_distance(F.col("x"), F.col("y"), r)))).drop("_rects")
+    spread = float(max(box.b - box.a, box.d - box.c, 1e-9))
+    side = max(1.5 * spread / box.n**0.5, float(box.side))
+    far = points.agg(F.max(F.greatest(*[F.abs(F.col(c) - F.lit(float(v))) for c, v in (("x", box.a), ("x", box.b), ("y", box.c), ("y", box.d))])).alias("m")).first().m or 0.0
+    left, out = points.select("id", "x", "y"), None
+    while True:
+        last = side > 2 * float(far) + spread
+        on = lambda lo, hi: F.explode(F.sequence(_key(F.col(lo), side), _key(F.col(hi), side)))  # noqa: B023, E731
+        spots = rects.select("xmin", "ymin", "xmax", "ymax", on("xmin", "xmax").alias("_gx")).select("*", on("ymin", "ymax").alias("_gy"))
+        dist = rect_distance(F.col("x"), F.col("y"), F.struct("xmin", "ymin", "xmax", "ymax"))
+        found = _around(left, "x", "y", side).join(spots, ["_gx", "_gy"]).groupBy("id").agg(F.min(dist).alias("rect_dist"))
+        found = cut(found.where((F.col("rect_dist") <= side) | F.lit(last)))
+        out = found if out is None else out.union(found)
+        left = cut(left.join(found, "id", "left_anti"))
+        if last or left.isEmpty():
+            return points.join(out, "id", "left")
+        side *= 2
 
 
 def outside_buffers(points: DataFrame, rects: DataFrame, held: DataFrame, r: float, size: float) -> DataFrame:
@@ -121,6 +141,28 @@ def first_polygon(points: DataFrame, polygons: DataFrame, size: float) -> DataFr
     return in_polygons(points, polygons, size).groupBy(*points.columns).agg(F.min("pid").alias("pid"))
 
 
+def clip_to_convex(lines: DataFrame, polygons: DataFrame, size: float) -> DataFrame:
+    """The part of each line (id, x1, y1, x2, y2) inside each convex polygon (pid, edges): id, pid, x1, y1, x2, y2. Lines that only touch one are left out.
+
+    Either way round a ring will do. Lines meet polygons in the squares that their bounds touch; the ends are clipped edge by edge as shares of the line."""
+    lo = lambda a, b: F.array_min(F.transform("edges", lambda e: F.least(e[a], e[b])))
+    hi = lambda a, b: F.array_max(F.transform("edges", lambda e: F.greatest(e[a], e[b])))
+    span = lambda a, b: F.explode(F.sequence(_key(a, size), _key(b, size)))
+    area2 = F.aggregate("edges", F.lit(0.0), lambda s, e: s + e["x1"] * e["y2"] - e["x2"] * e["y1"])
+    poly = polygons.select("pid", "edges", F.signum(area2).alias("_turn"), span(lo("x1", "x2"), hi("x1", "x2")).alias("_gx"), lo("y1", "y2").alias("_lo"), hi("y1", "y2").alias("_hi"))
+    poly = poly.select("pid", "edges", "_turn", "_gx", span(F.col("_lo"), F.col("_hi")).alias("_gy"))
+    seg = lines.select("id", "x1", "y1", "x2", "y2", span(F.least("x1", "x2"), F.greatest("x1", "x2")).alias("_gx")).select("*", span(F.least("y1", "y2"), F.greatest("y1", "y2")).alias("_gy"))
+    met = seg.join(poly, ["_gx", "_gy"]).dropDuplicates(["id", "pid"])
+    side = lambda e, x, y: F.col("_turn") * ((e["x2"] - e["x1"]) * (y - e["y1"]) - (e["y2"] - e["y1"]) * (x - e["x1"]))  # noqa: E731  positive inside
+    cuts = F.transform("edges", lambda e: F.struct(side(e, F.col("x1"), F.col("y1")).alias("a"), side(e, F.col("x2"), F.col("y2")).alias("b")))
+    met = met.withColumn("_c", cuts)
+    enter = F.array_max(F.transform("_c", lambda c: F.when((c["a"] < 0) & (c["b"] > 0), c["a"] / (c["a"] - c["b"])).when((c["a"] < 0) | ((c["a"] == 0) & (c["b"] < 0)), 2.0).otherwise(0.0)))
+    leave = F.array_min(F.transform("_c", lambda c: F.when((c["a"] > 0) & (c["b"] < 0), c["a"] / (c["a"] - c["b"])).otherwise(1.0)))
+    met = met.withColumns({"_s": enter, "_t": leave}).where("_s < _t")
+    at = lambda p, q, t: F.col(p) + (F.col(q) - F.col(p)) * F.col(t)
+    return met.select("id", "pid", at("x1", "x2", "_s").alias("x1"), at("y1", "y2", "_s").alias("y1"), at("x1", "x2", "_t").alias("x2"), at("y1", "y2", "_t").alias("y2"))
+
+
 def block_ids(points: DataFrame, size: float, cell: float | None = None) -> DataFrame:
     """points with bx, by: the square of a side that holds the point, or its cell's centre if a cell size is given."""
     at = lambda c: (F.floor(F.col(c) / F.lit(cell)) + 0.5) * F.lit(cell) if cell else F.col(c)

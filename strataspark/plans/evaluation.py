@@ -144,6 +144,34 @@ def buffered_plan(spark, d):
     return K.buffered(m, p.select("id", "x", "y"), "id", 800.0).groupBy("outer_fold", "role").agg(F.count("*").alias("n"))
 
 
+#: Folds with the facts that must not cross a split: group, raster cell, event; a part of the train rows is removed.
+SPLIT = f"""WITH {POINTS}, m AS (SELECT o::INT AS outer_fold, id, x, y, label, "group" AS g, floor(y / 5000)::BIGINT AS "row", floor(x / 5000)::BIGINT AS "col", CASE WHEN id % 4 = 0 THEN ' ' ELSE 'e' || (id % 50) END AS event,
+CASE WHEN "group" % 5 = o THEN 'test' WHEN id % 7 = 0 THEN 'removed' ELSE 'train' END AS role FROM points, (SELECT unnest(range(5)) AS o))"""
+
+
+def _split(spark, d):
+    p = points(spark, d)
+    m = K.memberships(p.withColumn("fold", (F.col("group") % 5).cast("int")), "id", 5)
+    m = m.withColumn("role", F.when((F.col("role") == "train") & (F.col("id") % 7 == 0), "removed").otherwise(F.col("role")))
+    event = F.when(F.col("id") % 4 == 0, " ").otherwise(F.concat(F.lit("e"), (F.col("id") % 50).cast("string")))
+    return m, p.select("id", "x", "y", "label", "group", F.floor(F.col("y") / 5000).alias("row"), F.floor(F.col("x") / 5000).alias("col"), event.alias("event"))
+
+
+@query(f"""{SPLIT}, sides AS (SELECT * FROM m WHERE role <> 'removed'), gr AS (SELECT outer_fold, count_if(s = 2)::BIGINT AS n FROM (SELECT outer_fold, g, count(DISTINCT role) AS s FROM sides GROUP BY ALL) GROUP BY 1),
+ce AS (SELECT outer_fold, count_if(s = 2)::BIGINT AS n FROM (SELECT outer_fold, "row", "col", count(DISTINCT role) AS s FROM sides GROUP BY ALL) GROUP BY 1), ev AS (SELECT outer_fold, count_if(s = 2)::BIGINT AS n FROM (SELECT outer_fold, event, count(DISTINCT role) AS s FROM sides WHERE trim(event) <> '' GROUP BY ALL) GROUP BY 1),
+fe AS (SELECT outer_fold, least(count_if(role = 'train' AND label = 0), count_if(role = 'train' AND label = 1)) < 6 OR least(count_if(role = 'test' AND label = 0), count_if(role = 'test' AND label = 1)) = 0 AS few FROM sides GROUP BY 1)
+SELECT outer_fold, gr.n AS groups, ce.n AS cells, ev.n AS events, few AS too_few FROM gr JOIN ce USING (outer_fold) JOIN ev USING (outer_fold) JOIN fe USING (outer_fold)""")
+def split_proof(spark, d):
+    m, facts = _split(spark, d)
+    return K.split_faults(m, facts.drop("x", "y"), "id", "group", "event", "label", 6)
+
+
+@query(f"{SPLIT} SELECT a.outer_fold, round(min(sqrt(((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))::DOUBLE)), 4) AS least FROM m a JOIN m b ON a.outer_fold = b.outer_fold AND a.role = 'test' AND b.role = 'train' GROUP BY 1")
+def split_distances(spark, d):
+    m, facts = _split(spark, d)
+    return K.least_distances(m, facts.select("id", "x", "y"), "id").select("outer_fold", C.rnd("least", 4).alias("least"))
+
+
 @query("""WITH f AS (SELECT c_custkey AS id, c_custkey % 5 AS fold, c_custkey % 3 AS part FROM customer) SELECT o::INT AS outer_fold, i::INT AS inner_fold, CASE WHEN part = i THEN 'validation' ELSE 'train' END AS role, count(*) AS n FROM f, (SELECT unnest(range(5)) AS o), (SELECT unnest(range(3)) AS i) WHERE fold <> o GROUP BY ALL""")
 def nested_plan(spark, d):
     c = F.col("c_custkey")

@@ -121,6 +121,39 @@ def fold_transform(spark, d):
     return out.select("fold", "k", "role", C.rnd("price", 5).alias("price"), C.rnd("cust", 5).alias("cust"), "pr")
 
 
+#: Three folds of orders with a number, its double (which takes the number out), a constant, an angle with flat ones, and a category with nulls and a rare level.
+FULL = """f AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_totalprice END AS price, CASE WHEN o_orderkey % 9 = 0 THEN -1.0::DOUBLE ELSE (o_custkey * 37 % 360)::DOUBLE END AS angle,
+CASE WHEN o_orderkey % 8 = 0 THEN NULL WHEN o_orderkey % 97 = 0 THEN 'seldom' ELSE o_orderpriority END AS pr FROM orders),
+x AS (SELECT fold, k, CASE WHEN k % 3 = fold THEN 'test' ELSE 'train' END AS role, price, 2 * price + 1 AS twin, angle, pr FROM f, (SELECT unnest(range(3))::INT AS fold)), tr AS (SELECT * FROM x WHERE role = 'train'),
+md AS (SELECT fold, median(twin) AS m FROM tr GROUP BY 1), mo AS (SELECT fold, pr AS mode FROM (SELECT fold, pr, row_number() OVER (PARTITION BY fold ORDER BY count(*) DESC, pr) AS r FROM tr WHERE pr IS NOT NULL GROUP BY fold, pr) WHERE r = 1),
+c AS (SELECT fold, coalesce(pr, mode) AS lv, count(*) AS n FROM tr JOIN mo USING (fold) GROUP BY ALL), fq AS (SELECT fold, lv FROM c WHERE n >= (SELECT count(*) FROM orders) // 25),
+y AS (SELECT x.fold, x.k, x.role, coalesce(twin, m) AS twin, CASE WHEN angle >= 0 THEN sin(radians(angle)) ELSE 0 END AS s, CASE WHEN angle >= 0 THEN cos(radians(angle)) ELSE 0 END AS co, coalesce(fq.lv, 'Other') AS lv FROM x JOIN md ON md.fold = x.fold JOIN mo ON mo.fold = x.fold LEFT JOIN fq ON fq.fold = x.fold AND fq.lv = coalesce(x.pr, mode)),
+lc AS (SELECT fold, lv, row_number() OVER (PARTITION BY fold ORDER BY count(*) DESC, lv) AS r FROM y WHERE role = 'train' GROUP BY fold, lv),
+w AS (SELECT fold, k, role, 'twin' AS feature, twin AS v FROM y UNION ALL SELECT fold, k, role, 'angle_sin', s FROM y UNION ALL SELECT fold, k, role, 'angle_cos', co FROM y UNION ALL SELECT y.fold, k, role, 'pr=' || lc.lv, (y.lv = lc.lv)::INT::DOUBLE FROM y JOIN lc ON lc.fold = y.fold AND lc.r > 1)"""
+
+
+def full_preparation(spark, d):
+    o = table(spark, d, "orders")
+    k = F.col("o_orderkey")
+    price = F.when(k % 11 != 0, F.col("o_totalprice"))
+    f = o.select(k.alias("k"), price.alias("price"), (price * 2 + 1).alias("twin"), F.lit(3.0).alias("same"), F.when(k % 9 == 0, -1.0).otherwise((F.col("o_custkey") * 37 % 360).cast("double")).alias("angle"),
+                 F.when(k % 8 == 0, None).when(k % 97 == 0, "seldom").otherwise(F.col("o_orderpriority")).alias("pr"))
+    folds = f.select("k", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("fold")).select("fold", "k", F.when(F.col("k") % 3 == F.col("fold"), "test").otherwise("train").alias("role"))
+    return P.fold_prepare(f, folds, "k", ["price", "twin", "same"], ["angle"], ["pr"], f.count() // 25)
+
+
+@query(f"WITH {FULL}, st AS (SELECT fold, feature, avg(v) AS m, stddev_pop(v) AS sd FROM w WHERE role = 'train' GROUP BY ALL) SELECT w.fold, k, role, w.feature, round((v - m) / sd, 4) AS value FROM w JOIN st ON st.fold = w.fold AND st.feature = w.feature")
+def fold_transform_full(spark, d):
+    rows, _ = full_preparation(spark, d)
+    return rows.select("fold", "k", "role", F.explode("features").alias("feature", "value")).select("fold", "k", "role", "feature", C.rnd("value", 4).alias("value"))
+
+
+@query("SELECT fold, 'same' AS feature, 'constant' AS why, false AS infinite FROM (SELECT unnest(range(3))::INT AS fold) UNION ALL SELECT fold, 'price', 'inflated', true FROM (SELECT unnest(range(3))::INT AS fold)")
+def fold_transform_dropped(spark, d):
+    _, gone = full_preparation(spark, d)
+    return gone.select("fold", "feature", "why", F.coalesce(F.col("vif") == float("inf"), F.lit(False)).alias("infinite"))
+
+
 @query("""SELECT p_partkey, CASE WHEN p_type = 'PROMO' THEN 1.0 ELSE 0.0 END AS "type=PROMO", 0.0 AS "type=GONE", p_size::DOUBLE AS p_size FROM part""")
 def aligned_features(spark, d):
     p = table(spark, d, "part").select("p_partkey", "p_size", (F.col("p_type") == "PROMO").cast("double").alias("type=PROMO"), F.lit("extra").alias("other"))
@@ -128,12 +161,12 @@ def aligned_features(spark, d):
     return p.select("p_partkey", *[c for c in p.columns if c != "p_partkey"]).select("p_partkey", *[(F.coalesce(F.col(f"`{n}`").cast("double"), F.lit(0.0)) if n in p.columns else F.lit(0.0)).alias(n) for n in names])
 
 
-@query("SELECT 0.3::DOUBLE AS wanted, true AS met")
+@query(f"""WITH RECURSIVE {SCORED}, q AS (SELECT quantity, count(*) AS n FROM scored GROUP BY 1), s AS (SELECT 0 AS k, -50.0::DOUBLE AS lo, 50.0::DOUBLE AS hi UNION ALL
+SELECT k + 1, CASE WHEN m <= 0.3 THEN mid ELSE lo END, CASE WHEN m <= 0.3 THEN hi ELSE mid END FROM (SELECT k, lo, hi, (lo + hi) / 2 AS mid, sum(n / (1 + exp(-((quantity - 25) / 10.0::DOUBLE + (lo + hi) / 2)))) / sum(n) AS m FROM s, q WHERE k < 40 GROUP BY k, lo, hi))
+SELECT 0.3::DOUBLE AS wanted, round(lo, 4) AS intercept FROM s WHERE k = 40""")
 def prevalence_intercept(spark, d):
-    x = scored(spark, d)
-    logit = (F.col("quantity") - 25) / 10.0
-    a = P.bisect_intercept(x, logit, 0.3)
-    return x.agg((F.abs(F.avg(C.sigmoid(logit + F.lit(a))) - 0.3) < 1e-6).alias("met")).select(F.lit(0.3).alias("wanted"), "met")
+    a = P.bisect_intercept(scored(spark, d), (F.col("quantity") - 25) / 10.0, 0.3)
+    return spark.createDataFrame([(0.3, round(a, 4))], "wanted double, intercept double")
 
 
 @query("""WITH x AS (SELECT l_quantity AS q, CASE WHEN l_suppkey % 7 = 0 THEN NULL ELSE l_tax END AS t, l_extendedprice AS p, 1.0 AS one, l_linenumber AS ln, (l_returnflag = 'R')::INT AS y FROM lineitem), b AS (SELECT count(*) AS n, count_if(y = 1) AS pos FROM x)

@@ -23,6 +23,35 @@ def tile_slope(spark, d):
     return R.neighbourhood(cells(spark, d)).select("tile", "row", "col", C.rnd(R.slope_degrees(1.0), 5).alias("slope")).where("slope IS NOT NULL")
 
 
+@query(f"""WITH {CELLS}, {NB}, g AS (SELECT tile, row, col, (n02 + 2 * n12 + n22) - (n00 + 2 * n10 + n20) AS dx, (n20 + 2 * n21 + n22) - (n00 + 2 * n01 + n02) AS dy FROM nb WHERE row BETWEEN 1 AND 6 AND col BETWEEN 1 AND 6), a AS (SELECT *, degrees(atan2(-dx, dy)) AS d FROM g)
+SELECT tile, row, col, round(CASE WHEN dx = 0 AND dy = 0 THEN -1 WHEN d < 0 THEN d + 360 ELSE d END, 4) AS aspect FROM a""")
+def tile_aspect(spark, d):
+    return R.neighbourhood(cells(spark, d)).select("tile", "row", "col", C.rnd(R.aspect_degrees(), 4).alias("aspect")).where("aspect IS NOT NULL")
+
+
+#: Cells of a grid of 5 x 5 over each tile, and where their centres lie in cells of the tile.
+GRID = "grid AS (SELECT tile, r::INT AS row, c::INT AS col, (r + 0.5::DOUBLE) * 1.6::DOUBLE - 0.5::DOUBLE AS y, (c + 0.5::DOUBLE) * 1.6::DOUBLE - 0.5::DOUBLE AS x FROM (SELECT DISTINCT tile FROM cells), (SELECT unnest(range(5)) AS r), (SELECT unnest(range(5)) AS c))"
+TO = (0.0, 8.0, 1.6, 5, 5)
+
+
+@query(f"""WITH {CELLS}, {GRID}, w AS (SELECT g.tile, g.row, g.col, c.value, (1 - abs(y - c.row)) * (1 - abs(x - c.col)) AS w FROM grid g JOIN cells c ON c.tile = g.tile AND abs(y - c.row) < 1 AND abs(x - c.col) < 1 WHERE NOT (c.row = 3 AND c.col = 3))
+SELECT tile, row, col, round(sum(value * w) / sum(w), 6) AS value FROM w GROUP BY ALL""")
+def tile_bilinear(spark, d):
+    known = cells(spark, d).where("NOT (row = 3 AND col = 3)")
+    return R.resample(known, (0.0, 8.0, 1.0), TO).select("tile", "row", "col", C.rnd("value").alias("value"))
+
+
+@query(f"WITH {CELLS}, {GRID} SELECT g.tile, g.row, g.col, round(c.value, 6) AS value FROM grid g JOIN cells c ON c.tile = g.tile AND c.row = floor(y + 0.5)::INT AND c.col = floor(x + 0.5)::INT")
+def tile_nearest(spark, d):
+    return R.resample(cells(spark, d), (0.0, 8.0, 1.0), TO, "nearest").select("tile", "row", "col", C.rnd("value").alias("value"))
+
+
+@query(f"""WITH {CELLS}, c AS (SELECT tile, floor((row + 0.5::DOUBLE) / 1.6::DOUBLE)::INT AS row, floor((col + 0.5::DOUBLE) / 1.6::DOUBLE)::INT AS col, floor(value * 10)::BIGINT AS v, count(*) AS n FROM cells GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY tile, row, col ORDER BY n DESC, v) AS k FROM c)
+SELECT tile, row, col, v AS value FROM r WHERE k = 1""")
+def tile_mode(spark, d):
+    return R.resample(cells(spark, d).withColumn("value", F.floor(F.col("value") * 10).cast("long")), (0.0, 8.0, 1.0), TO, "mode")
+
+
 @query(f"""WITH {CELLS}, {NB}, t AS (SELECT *, (n10 + n12) / 2 - n11 AS d, (n01 + n21) / 2 - n11 AS e, (-n00 + n02 + n20 - n22) / 4 AS f, (n12 - n10) / 2 AS g, (n01 - n21) / 2 AS h FROM nb WHERE row BETWEEN 1 AND 6 AND col BETWEEN 1 AND 6)
 SELECT tile, row, col, round(100 * -2 * (d * g * g + e * h * h + f * g * h) / (g * g + h * h), 3) AS curvature FROM t WHERE g * g + h * h > 1e-4""")
 def tile_curvature(spark, d):
@@ -81,10 +110,13 @@ def raster_point_sample(spark, d):
     return p.withColumns({"row": row.cast("int"), "col": col.cast("int")}).join(cells(spark, d), ["tile", "row", "col"], "left").select("id", C.rnd("value").alias("value"))
 
 
-@query(f"""WITH RECURSIVE {CELLS}, f AS (SELECT a.tile, a.row AS r, a.col AS c, b.row AS tr, b.col AS tc, row_number() OVER (PARTITION BY a.tile, a.row, a.col ORDER BY (a.value - b.value) / (CASE WHEN a.row <> b.row AND a.col <> b.col THEN power(2::DOUBLE, 0.5::DOUBLE) ELSE 1 END) DESC, b.row, b.col) AS k
+#: Each cell's steepest fall, and the walks from every cell down to its pit.
+FLOW = """f AS (SELECT a.tile, a.row AS r, a.col AS c, b.row AS tr, b.col AS tc, row_number() OVER (PARTITION BY a.tile, a.row, a.col ORDER BY (a.value - b.value) / (CASE WHEN a.row <> b.row AND a.col <> b.col THEN power(2::DOUBLE, 0.5::DOUBLE) ELSE 1 END) DESC, b.row, b.col) AS k
 FROM cells a JOIN cells b ON a.tile = b.tile AND abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 AND b.value < a.value),
-w AS (SELECT tile, row, col FROM cells UNION ALL SELECT f.tile, f.tr, f.tc FROM w JOIN f ON f.tile = w.tile AND f.r = w.row AND f.c = w.col AND f.k = 1)
-SELECT tile, row::INT AS row, col::INT AS col, count(*) AS acc FROM w GROUP BY ALL""")
+w AS (SELECT tile, row, col FROM cells UNION ALL SELECT f.tile, f.tr, f.tc FROM w JOIN f ON f.tile = w.tile AND f.r = w.row AND f.c = w.col AND f.k = 1)"""
+
+
+@query(f"WITH RECURSIVE {CELLS}, {FLOW} SELECT tile, row::INT AS row, col::INT AS col, count(*) AS acc FROM w GROUP BY ALL")
 def flow_accumulation(spark, d):
     return R.flow(cells(spark, d))
 
@@ -108,11 +140,13 @@ def pilot_gate(spark, d):
     return s.join(other, "o_orderkey").agg(F.count("*").alias("cells"), C.rnd(F.max(gap), 9).alias("largest"), F.count_if(gap > 1e-7).alias("beyond"), F.countDistinct(C.zone("score")).alias("zones_seen"), (F.max(gap) <= 1e-7).alias("passed"))
 
 
-@query(f"""WITH {CELLS}, {NB}, f AS (SELECT tile, row, col, value, greatest(""" + ", ".join(f"coalesce(n11 - n{k}, 0)" for k in R.AROUND) + """) AS fall FROM nb)
-SELECT tile, row, col, round(ln((abs(value) + 1) / tan(radians(greatest(fall * 45, 1)))), 5) AS twi FROM f""")
+@query(f"""WITH RECURSIVE {CELLS}, {NB}, {FLOW}, s AS (SELECT tile, row, col, sqrt(power(((n02 + 2 * n12 + n22) - (n00 + 2 * n10 + n20)) / 8, 2) + power(((n20 + 2 * n21 + n22) - (n00 + 2 * n01 + n02)) / 8, 2)) AS rise FROM nb WHERE row BETWEEN 1 AND 6 AND col BETWEEN 1 AND 6)
+SELECT s.tile, s.row::INT AS row, s.col::INT AS col, round(ln(acc / greatest(rise, 0.001::DOUBLE)), 4) AS twi FROM s JOIN (SELECT tile, row, col, count(*) AS acc FROM w GROUP BY ALL) AS a ON a.tile = s.tile AND a.row = s.row AND a.col = s.col""")
 def wetness_index(spark, d):
-    falls = F.greatest(*[F.coalesce(F.col("n11") - F.col(f"n{k}"), F.lit(0.0)) for k in R.AROUND])
-    return R.neighbourhood(cells(spark, d)).select("tile", "row", "col", C.rnd(F.log((F.abs("value") + 1) / F.tan(F.radians(F.greatest(falls * 45, F.lit(1.0))))), 5).alias("twi"))
+    c = cells(spark, d)
+    rise = F.tan(F.radians(R.slope_degrees(1.0)))
+    steep = R.neighbourhood(c).select("tile", "row", "col", F.greatest(rise, F.lit(0.001)).alias("rise")).where("row BETWEEN 1 AND 6 AND col BETWEEN 1 AND 6")
+    return R.flow(c).join(steep, ["tile", "row", "col"]).select("tile", "row", "col", C.rnd(F.log(F.col("acc") / F.col("rise")), 4).alias("twi"))
 
 
 @query(f"WITH {CELLS} SELECT tile, row, col, (value > 0.1)::INT AS stream, coalesce(CASE WHEN tile % 3 = 0 THEN NULL ELSE round(value, 6) END, round(value * 2, 6)) AS best FROM cells")

@@ -57,6 +57,26 @@ def rect_distance(spark, d):
     return S.nearest_rect(points(spark, d), rects(spark, d)).select("id", C.rnd("rect_dist", 4).alias("dist"))
 
 
+@query(f"""WITH {POINTS}, {RECTS_SQL} SELECT id, round(min(sqrt(power(greatest(xmin - x, x - xmax, 0), 2) + power(greatest(ymin - y, y - ymax, 0), 2))), 4) AS dist FROM points, rects GROUP BY id""")
+def rect_distance_on_grid(spark, d):
+    """The same by squares, as for more rectangles than may be broadcast."""
+    return S.nearest_rect(points(spark, d), rects(spark, d), at_once=0).select("id", C.rnd("rect_dist", 4).alias("dist"))
+
+
+#: Lines from customers' figures, and where they enter and leave the convex polygon 2; its ring runs with the inside on the left.
+LINES_SQL = """l AS (SELECT c_custkey AS id, (c_custkey * 7919 % 100000)::DOUBLE AS x1, (c_custkey * 104729 % 100000)::DOUBLE AS y1, (c_custkey * 6101 % 100000)::DOUBLE AS x2, (c_custkey * 9973 % 100000)::DOUBLE AS y2 FROM customer),
+e AS (SELECT x1 AS px, y1 AS py, x2 AS qx, y2 AS qy FROM edges WHERE pid = 2), s AS (SELECT l.*, (qx - px) * (y1 - py) - (qy - py) * (x1 - px) AS a, (qx - px) * (y2 - py) - (qy - py) * (x2 - px) AS b FROM l, e),
+t AS (SELECT id, x1, y1, x2, y2, max(CASE WHEN a < 0 AND b > 0 THEN a / (a - b) WHEN a < 0 OR (a = 0 AND b < 0) THEN 2 ELSE 0 END) AS i, min(CASE WHEN a > 0 AND b < 0 THEN a / (a - b) ELSE 1 END) AS o FROM s GROUP BY ALL)"""
+
+
+@query(f"""WITH {EDGES_SQL}, {LINES_SQL} SELECT id, round(sqrt(power(x2 - x1, 2) + power(y2 - y1, 2)) * (o - i), 3) AS inside FROM t WHERE i < o""")
+def lines_clipped(spark, d):
+    k = F.col("c_custkey")
+    lines = table(spark, d, "customer").select(k.alias("id"), *[(k * m % 100_000).cast("double").alias(n) for n, m in (("x1", 7919), ("y1", 104729), ("x2", 6101), ("y2", 9973))])
+    part = S.clip_to_convex(lines, polygons(spark).where("pid = 2"), SQUARE)
+    return part.select("id", C.rnd(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")), 3).alias("inside"))
+
+
 @query(f"""WITH {POINTS}, {SITES}, {RECTS_SQL} SELECT id FROM points WHERE NOT EXISTS (SELECT 1 FROM rects WHERE sqrt(power(greatest(xmin - x, x - xmax, 0), 2) + power(greatest(ymin - y, y - ymax, 0), 2)) <= 2000)
 AND NOT EXISTS (SELECT 1 FROM sites WHERE (x - sx) * (x - sx) + (y - sy) * (y - sy) <= 2000 * 2000)""")
 def buffer_exclusion(spark, d):
@@ -105,13 +125,18 @@ def shared_cells(spark, d):
     return p.groupBy(C.grid_index("x", 0.0, 900.0), C.grid_index("y", 0.0, 900.0)).agg(F.count("*").alias("c")).agg(F.coalesce(F.sum(F.col("c") - 1), F.lit(0)).alias("shared"))
 
 
-@query(None)
+@query("""WITH RECURSIVE k AS (SELECT DISTINCT o_custkey AS c, 'e' || floor(o_totalprice)::BIGINT AS e FROM orders WHERE o_orderkey % 60 <> 0), n AS (SELECT DISTINCT a.c AS a, b.c AS b FROM k a JOIN k b ON a.e = b.e),
+r AS (SELECT DISTINCT a AS node, a AS root FROM n UNION SELECT b, root FROM r JOIN n ON a = node), c AS (SELECT node, min(root) AS linked FROM r GROUP BY 1)
+SELECT o_custkey, coalesce(linked, o_custkey) AS linked FROM (SELECT DISTINCT o_custkey FROM orders) LEFT JOIN c ON node = o_custkey""")
 def linked_components(spark, d):
     event = F.when(F.col("o_orderkey") % 60 == 0, " ").otherwise(F.concat(F.lit("e"), F.floor(F.col("o_totalprice")).cast("string")))
     return graph.linked_groups(table(spark, d, "orders").select("o_custkey", event.alias("event")), "o_custkey", "event")
 
 
-@query(None)
+@query(f"""WITH RECURSIVE {POINTS}, o AS (SELECT id, x, y, row_number() OVER (ORDER BY id) AS k FROM points),
+t AS (SELECT 0::BIGINT AS k, []::STRUCT(id BIGINT, x BIGINT, y BIGINT)[] AS kept
+UNION ALL SELECT o.k, CASE WHEN len(list_filter(kept, lambda p: (p.x - o.x) * (p.x - o.x) + (p.y - o.y) * (p.y - o.y) < 4000 * 4000)) = 0 THEN list_append(kept, {{'id': o.id, 'x': o.x, 'y': o.y}}) ELSE kept END FROM t JOIN o ON o.k = t.k + 1)
+SELECT p.id, p.x, p.y FROM (SELECT unnest(kept) AS p FROM t WHERE k = (SELECT count(*) FROM points))""")
 def spacing_thinned(spark, d):
     return S.thin(points(spark, d), 4000.0).select("id", "x", "y")
 

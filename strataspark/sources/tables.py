@@ -61,6 +61,47 @@ def json_legend(spark: SparkSession, path: str, override: dict[int, str] | None
     return rows.join(mine, "code", "left_anti").unionByName(mine)
 
 
+#: Nesting of the coordinates of each kind of geometry.
+_SHAPES = {"Point": 1, "LineString": 2, "MultiLineString": 3, "Polygon": 3, "MultiPolygon": 4}
+
+
+def read_geojson(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(fid, kind, properties, edges) of the features under a path: collections, or with lines one feature per line, which splits large files.
+
+    properties is a map of texts. edges is an array of {x1, y1, x2, y2} along all parts and rings, from each vertex to the next; a point is one edge from itself
+    to itself, no geometry gives none. fid is the feature's id, else a hash of it. Coordinates beyond two are left out."""
+    feature = "struct<id: string, properties: map<string, string>, geometry: struct<type: string, coordinates: string>>"
+    if lines:
+        got = spark.read.text(path).where(F.trim("value") != "").select(F.from_json("value", feature).alias("f"))
+    else:
+        got = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", f"struct<features: array<{feature}>>")["features"]).alias("f"))
+    kind, said = F.col("f.geometry.type"), F.col("f.geometry.coordinates")
+    edge = lambda a, b: F.struct(a[0].alias("x1"), a[1].alias("y1"), b[0].alias("x2"), b[1].alias("y2"))
+    along = lambda path: F.when(F.size(path) > 1, F.transform(F.sequence(F.lit(1), F.size(path) - 1), lambda k: edge(F.get(path, k - 1), F.get(path, k))))
+    none = F.array().cast("array<struct<x1:double,y1:double,x2:double,y2:double>>")
+    out = none
+    for name, depth in _SHAPES.items():
+        at = F.from_json(said, "array<" * depth + "double" + ">" * depth)
+        if depth == 1:
+            edges = F.array(edge(at, at))
+        else:
+            at = F.flatten(at) if depth == 4 else at
+            edges = along(at) if depth == 2 else F.flatten(F.transform(at, lambda p: F.coalesce(along(p), none)))
+        out = F.when(kind == name, edges).otherwise(out)
+    fid = F.coalesce("f.id", F.hex(F.xxhash64(F.to_json("f"))))
+    return got.where("f IS NOT NULL").select(fid.alias("fid"), kind.alias("kind"), F.col("f.properties").alias("properties"), F.coalesce(out, none).alias("edges"))
+
+
+def confined(root: str, path: str) -> str:
+    """The path under root, or an error if it leaves it by dots or an absolute start. Names are letters, digits, dot, dash and underscore."""
+    import re
+
+    parts = path.split("/")
+    if not all(re.fullmatch(r"[A-Za-z0-9_-][A-Za-z0-9._-]*", p) for p in parts):
+        raise ValueError(f"not a path under {root}: {path}")
+    return f"{root.rstrip('/')}/{path}"
+
+
 def file_inventory(spark: SparkSession, path: str) -> DataFrame:
     """(name, sha256, bytes) of every file under a path, hashed where it is read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
