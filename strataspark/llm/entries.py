@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_projected_ann, op2_topk, op3_mixing, op4_url_filter, op5_line_dedup, op6_license, op7_ngram_join, op8_packing, op9_secrets, op10_toxicity
+from . import op1_projected_ann, op2_topk, op3_mixing, op4_url_filter, op5_line_dedup, op6_license, op7_ngram_join, op8_packing, op9_secrets, op10_toxicity, op11_centroids
 
 QUERIES = {
     "op1_projected_ann": (op1_projected_ann.query, None),
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_best_fit_packing": (op8_packing.query, None),
     "op9_secret_scan": (op9_secrets.query, op9_secrets.ORACLE),
     "op10_toxicity": (op10_toxicity.query, None),
+    "op11_centroid_clustering": (op11_centroids.query, op11_centroids.ORACLE),
 }
 
 
