@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_projected_ann, op2_topk, op3_mixing, op4_url_filter, op5_line_dedup, op6_license, op7_ngram_join, op8_packing, op9_secrets, op10_toxicity, op11_centroids, op12_near_vectors
+from . import op1_projected_ann, op2_topk, op3_mixing, op4_url_filter, op5_line_dedup, op6_license, op7_ngram_join, op8_packing, op9_secrets, op10_toxicity, op11_centroids, op12_near_vectors, op13_prefix_trie
 
 QUERIES = {
     "op1_projected_ann": (op1_projected_ann.query, None),
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_toxicity": (op10_toxicity.query, None),
     "op11_centroid_clustering": (op11_centroids.query, op11_centroids.ORACLE),
     "op12_near_duplicate_vectors": (op12_near_vectors.query, op12_near_vectors.ORACLE),
+    "op13_prefix_trie": (op13_prefix_trie.query, op13_prefix_trie.ORACLE),
 }
 
 
