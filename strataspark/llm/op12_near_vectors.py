@@ -38,7 +38,7 @@ from .common import NULL_ID, cut, read, skew_join
 from .op7_ngram_join import _forest
 from .vectors import finite, matrix
 
-THRESHOLD, PROBES, MISS, STRANGERS, SEED = 0.95, 4, 1e-6, 8.0, 29
+THRESHOLD, PROBES, MISS, STRANGERS, SEED = 0.95, 4, 1e-6, 1.0, 29
 LEAST_DIM, MOST_CODES, ROWS, BLOCK, BIN, LEADERS = 64, 8, 2048, 1024, 4096, 4
 
 
