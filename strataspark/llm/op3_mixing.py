@@ -4,7 +4,7 @@ A source's weight is its token share to the power alpha, normalised. alpha lies
 shares, 0 makes all sources equal. It is found by bisection on aggregates of the source table, which stays a DataFrame; each job tries
 GRID exponents at once, so a few jobs do.
 
-A source's quota is its weight times the budget. Its documents lie in blocks by a hash, as many that the largest source has about
+A source's quota is its weight times the budget. Its documents lie in blocks by a hash of the doc_id (of the text where that is null), as many that the largest source has about
 BLOCK_DOCS documents a block; each epoch has its own order of blocks, and of documents in a block. What starts within the quota is emitted: whole epochs, then the front of one more.
 Only sums of blocks are put in order across a source, so a source with a third of all rows is
 spread over its blocks.
@@ -17,10 +17,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, read, text_of
+from .common import cut, read, skew_join, text_of
 
 BLOCKS, BLOCK_DOCS, GRID, JOBS = 1024, 10_000, 32, 5
-#: Up to so many sources the table of quotas (some 60 bytes each) is broadcast.
+#: Up to so many sources the table of quotas (some 60 bytes each) is broadcast; beyond, that of the frequent ones.
 MAX_BROADCAST = 50_000
 ENTROPY_SHARE, MAX_EPOCHS, SEED = 0.97, 2.0, 17
 
@@ -100,16 +100,17 @@ def mix_sources(docs: DataFrame, entropy_share: float | None = ENTROPY_SHARE, ma
     tokens names a column that has each document's tokens; else the words of text are counted. Added columns: mix_tokens, mix_weight, mix_quota, mix_epoch (from 0), mix_block, mix_start (tokens of its source shown before
     it). Without a budget it is the smallest that shows every document at least once, so no document is lost; a smaller one leaves out
     what starts beyond the quota. Nulls in source make a source of their own; null texts have no tokens. A source without
-    tokens has weight 0 and is shown once. Repeated rows are rows like others; ties in an order go by hashes, then doc_id and text. An
+    tokens has weight 0 and is shown once. Repeated rows are rows like others; ties in an order go by hashes, then doc_id, tokens and text. An
     empty table gives an empty table. Columns of the added names are replaced."""
     own = ("mix_tokens", "mix_weight", "mix_quota", "mix_epoch", "mix_block", "mix_start")
     named = [c for c in docs.columns if c not in own]
     n_blocks = max(BLOCKS, -(-docs.count() // BLOCK_DOCS))
     n_tokens = F.coalesce(docs[tokens].cast("long"), F.lit(0).cast("long")) if tokens else words(docs)
-    base = docs.select(*(docs[c] for c in named), source_key(docs).alias("_mix_key"), n_tokens.alias("mix_tokens"), F.pmod(F.xxhash64(F.lit(seed), docs["doc_id"]), F.lit(n_blocks)).cast("int").alias("mix_block"))
-    blocks = cut(base.groupBy("_mix_key", "mix_block").agg(F.sum("mix_tokens").alias("tokens")))
-    sources = cut(blocks.groupBy("_mix_key").agg(F.sum("tokens").alias("tokens")))
-    head = sources.agg(F.sum("tokens").alias("t"), F.count_if(F.col("tokens") > 0).alias("n"), F.count("*").alias("all")).first()
+    each = F.xxhash64(F.lit(seed), docs["doc_id"], n_tokens, *([docs["text"]] if "text" in named else []))
+    base = docs.select(F.struct(*(docs[c] for c in named)).alias("row"), source_key(docs).alias("key"), docs["doc_id"].alias("id"), each.alias("hash"), n_tokens.alias("mix_tokens"), F.pmod(F.when(docs["doc_id"].isNull(), each).otherwise(F.xxhash64(F.lit(seed), docs["doc_id"])), F.lit(n_blocks)).cast("int").alias("mix_block"))
+    blocks = cut(base.groupBy("key", "mix_block").agg(F.sum("mix_tokens").alias("tokens"), F.count("*").alias("rows")))
+    sources = cut(blocks.groupBy("key").agg(F.sum("tokens").alias("tokens"), F.sum("rows").alias("rows")))
+    head = sources.agg(F.sum("tokens").alias("t"), F.count_if(F.col("tokens") > 0).alias("n"), F.sum("rows").alias("rows"), F.count("*").alias("all")).first()
     total, n = head.t or 0, head.n
     mix = find_exponent(sources.where("tokens > 0"), total, n, entropy_share, max_epochs, budget) if total else Mix(1.0, 0.0, 0.0, 0.0)
     power = F.when(F.col("tokens") > 0, F.pow(F.col("tokens") / F.lit(float(max(total, 1))), F.lit(mix.alpha))).otherwise(0.0)
@@ -118,18 +119,20 @@ def mix_sources(docs: DataFrame, entropy_share: float | None = ENTROPY_SHARE, ma
     quota = weight * F.lit(mix.budget)
     full = F.when(F.col("tokens") > 0, F.floor(quota / F.col("tokens") + F.lit(1e-9))).otherwise(1).cast("int")
     passes = F.when(F.col("tokens") > 0, F.greatest(F.lit(1), F.ceil(quota / F.col("tokens") - F.lit(1e-9)))).otherwise(1).cast("int")
-    plan = sources.select("_mix_key", F.col("tokens").alias("_mix_total"), weight.alias("mix_weight"), quota.alias("mix_quota"), full.alias("_mix_full"), passes.alias("_mix_passes"))
-    plan = F.broadcast(plan) if head["all"] <= MAX_BROADCAST else plan
-    epochs = F.explode(F.sequence(F.lit(0), F.col("_mix_passes") - 1)).alias("mix_epoch")
-    order = Window.partitionBy("_mix_key", "mix_epoch").orderBy(F.xxhash64(F.lit(seed), "mix_epoch", "_mix_key", "mix_block"), "mix_block").rowsBetween(Window.unboundedPreceding, -1)
-    places = blocks.join(plan, "_mix_key").select("_mix_key", "mix_block", "tokens", epochs).withColumn("_mix_before", F.coalesce(F.sum("tokens").over(order), F.lit(0).cast("long"))).drop("tokens")
-    shown = base.join(plan, "_mix_key").select("*", epochs).join(places, ["_mix_key", "mix_epoch", "mix_block"])
-    ids = [F.xxhash64(F.lit(seed), "mix_epoch", "doc_id"), F.col("doc_id"), F.col("mix_tokens"), *([F.col("text")] if "text" in named else [])]
-    inside = Window.partitionBy("_mix_key", "mix_epoch", "mix_block").orderBy(*ids).rowsBetween(Window.unboundedPreceding, -1)
-    within = F.col("_mix_before") + F.coalesce(F.sum("mix_tokens").over(inside), F.lit(0).cast("long"))
-    out = shown.withColumn("_mix_within", within).withColumn("mix_start", F.col("mix_epoch") * F.col("_mix_total") + F.col("_mix_within"))
-    stays = (F.col("mix_epoch") < F.col("_mix_full")) | (F.col("mix_start") < F.col("mix_quota"))
-    return out.where(stays).select(*named, *own), mix
+    plan = sources.select("key", F.col("tokens").alias("total"), "rows", weight.alias("mix_weight"), quota.alias("mix_quota"), full.alias("full"), passes.alias("passes"))
+    epochs = F.explode(F.sequence(F.lit(0), F.col("passes") - 1)).alias("mix_epoch")
+    order = Window.partitionBy("key", "mix_epoch").orderBy(F.xxhash64(F.lit(seed), "mix_epoch", "key", "mix_block"), "mix_block").rowsBetween(Window.unboundedPreceding, -1)
+
+    def planned(df: DataFrame) -> DataFrame:
+        return df.join(F.broadcast(plan), "key") if head["all"] <= MAX_BROADCAST else skew_join(df, plan, "key", "rows", head.rows or 0)
+
+    places = planned(blocks.drop("rows")).select("key", "mix_block", "tokens", epochs).withColumn("before", F.coalesce(F.sum("tokens").over(order), F.lit(0).cast("long"))).drop("tokens")
+    shown = planned(base).select("*", epochs).join(places, ["key", "mix_epoch", "mix_block"])
+    inside = Window.partitionBy("key", "mix_epoch", "mix_block").orderBy(F.xxhash64(F.lit(seed), "mix_epoch", "id"), "id", "mix_tokens", "hash").rowsBetween(Window.unboundedPreceding, -1)
+    within = F.col("before") + F.coalesce(F.sum("mix_tokens").over(inside), F.lit(0).cast("long"))
+    out = shown.withColumn("within", within).withColumn("mix_start", F.col("mix_epoch") * F.col("total") + F.col("within"))
+    stays = (F.col("mix_epoch") < F.col("full")) | (F.col("mix_start") < F.col("mix_quota"))
+    return out.where(stays).select(*(F.col("row")[c].alias(c) for c in named), *own), mix
 
 
 def query(spark, sf_dir: str) -> DataFrame:

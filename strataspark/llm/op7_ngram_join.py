@@ -186,8 +186,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: fl
     groups = cut(components(near, "_id", "least"))
     sized = mine.drop("keys").groupBy("_id").agg(F.max("n_bytes").alias("n_bytes")).join(groups.withColumnRenamed("node", "_id"), "_id")
     blocks = sized.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_bytes") / BLOCK_BYTES)).alias("blocks"))
-    n = groups.count()
-    bins = max(slots(spark), -(-n // BIN))
+    small = sized.join(blocks.where("blocks = 1"), "comp").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("b")).first()
+    bins = max(slots(spark), -(-small.n // BIN), -(-(small.b or 0) // BLOCK_BYTES))
     member = groups.join(blocks, "comp").select(F.col("node").alias("_id"), "comp", "blocks", F.pmod(F.xxhash64("node"), "blocks").alias("block"))
     texts = slim.select("_id", "text").join(member.hint("shuffle_hash"), "_id")
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
@@ -207,14 +207,15 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: fl
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs with one document of each near-duplicate group: the one with the smallest doc_id (of rows that share it, the smallest text).
 
-    Columns stay as they are."""
+    Columns stay as they are, whatever their names."""
     from pyspark.sql import Window
 
     classes = near_duplicates(docs, threshold)
-    stays = classes.where(F.coalesce("doc_id", F.lit(NULL_ID)) == F.col("class_id")).select(F.col("class_id").alias("_keep_id")).distinct()
-    marked = docs.withColumn("_keep_id", F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID))).join(stays.hint("shuffle_hash"), "_keep_id")
-    first = Window.partitionBy("_keep_id").orderBy(F.sha2(text_of(marked), 256))
-    return marked.withColumn("_keep_n", F.row_number().over(first)).where("_keep_n = 1").select(*docs.columns)
+    stays = classes.where(F.coalesce("doc_id", F.lit(NULL_ID)) == F.col("class_id")).select(F.col("class_id").alias("id")).distinct()
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)).alias("id"), F.sha2(text_of(docs), 256).alias("digest"))
+    first = Window.partitionBy("id").orderBy("digest")
+    kept = rows.join(stays.hint("shuffle_hash"), "id").withColumn("place", F.row_number().over(first)).where("place = 1")
+    return kept.select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
 ORACLE = """
