@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import combinations
 from math import factorial
 
 import numpy as np
@@ -17,10 +16,6 @@ from pyspark.sql import functions as F
 from strataspark.functions.columns import key_hash
 from strataspark.operators import metrics as M
 
-#: Features that exact Shapley values may have: each doubles the subsets.
-MAX_SHAP_FEATURES = 12
-
-
 def vectors(df: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="features").transform(df)
 
@@ -113,38 +108,66 @@ def _trees(model: PipelineModel, path: str, spark) -> list[dict[str, np.ndarray]
     return out
 
 
-def _expected(t: dict[str, np.ndarray], x: np.ndarray, known: frozenset[int], node: int = 0) -> np.ndarray:
-    """A tree's value for rows of which only some features are known; at others it goes both ways, by the training rows that did."""
-    if t["left"][node] < 0:
-        return np.full(len(x), t["value"][node])
-    a, b = int(t["left"][node]), int(t["right"][node])
-    left, right = _expected(t, x, known, a), _expected(t, x, known, b)
-    f = int(t["feature"][node])
-    if f in known:
-        return np.where(x[:, f] <= t["at"][node], left, right)
-    return (left * t["n"][a] + right * t["n"][b]) / (t["n"][a] + t["n"][b])
+def _paths(trees: list[dict[str, np.ndarray]]) -> list[tuple[float, list[tuple[int, float, float, float]]]]:
+    """Each leaf as (value, steps): for every feature on its path (feature, share, low, high). share is the part of the training rows that went the path's way
+    at the feature's nodes, all of them multiplied; rows with low < x <= high go that way themselves."""
+    out = []
+    for t in trees:
+        open_nodes = [(0, {})]
+        while open_nodes:
+            node, steps = open_nodes.pop()
+            if t["left"][node] < 0:
+                out.append((float(t["value"][node]), [(f, *s) for f, s in steps.items()]))
+                continue
+            f, at, a, b = int(t["feature"][node]), float(t["at"][node]), int(t["left"][node]), int(t["right"][node])
+            share, low, high = steps.get(f, (1.0, -np.inf, np.inf))
+            n = t["n"][a] + t["n"][b]
+            open_nodes.append((a, steps | {f: (share * t["n"][a] / n, low, min(high, at))}))
+            open_nodes.append((b, steps | {f: (share * t["n"][b] / n, max(low, at), high)}))
+    return out
+
+
+def path_shapley(paths: list, x: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """(base, predictions, phi) of rows under the sum of leaves.
+
+    A leaf is a game: a set of known features gives its value times the shares of the others, if the row goes its way in all that are known. Summed by size, the weights of all subsets
+    are the coefficients of the product of (share + t), or of share alone where the row leaves the path. The product is extended feature by
+    feature, for all rows at once; each feature's own factor is then divided out again, so a leaf costs the square of its path's features, whatever the number of features."""
+    base, phi, predicted = 0.0, np.zeros(x.shape), np.zeros(len(x))
+    for value, steps in paths:
+        d = len(steps)
+        shares = np.array([s for _, s, _, _ in steps])
+        base += value * shares.prod()
+        goes = np.stack([(x[:, f] > low) & (x[:, f] <= high) for f, _, low, high in steps], axis=1) if d else np.ones((len(x), 0), bool)
+        predicted += value * goes.all(axis=1)
+        c = np.zeros((len(x), d + 1))
+        c[:, 0] = 1
+        for j in range(d):
+            c[:, 1 : j + 2] = c[:, 1 : j + 2] * shares[j] + c[:, : j + 1] * goes[:, j : j + 1]
+            c[:, 0] *= shares[j]
+        weight = [factorial(k) * factorial(d - 1 - k) / factorial(d) for k in range(d)]
+        for j, (f, share, _, _) in enumerate(steps):
+            known, rest = np.zeros(len(x)), np.zeros(len(x))
+            for k in range(d, 0, -1):  # the product without (share + t), from its highest coefficient down
+                rest = c[:, k] - share * rest
+                known += weight[k - 1] * rest
+            unknown = (c[:, :d] * weight).sum(axis=1) / share
+            phi[:, f] += value * np.where(goes[:, j], (1 - share) * known, -share * unknown)
+    return base, predicted, phi
 
 
 def tree_shap(model: PipelineModel, df: DataFrame, features: list[str], key: str, path: str) -> DataFrame:
     """(key, base, prediction, phi): exact path-dependent Shapley values of a forest's probability, one per feature; base plus their sum is the prediction.
 
-    Every subset of features is weighed, so their number is bounded. Rows are explained where they lie; the node table is the model's."""
-    if len(features) > MAX_SHAP_FEATURES:
-        raise ValueError(f"more than {MAX_SHAP_FEATURES} features")
+    Rows are explained where they lie, in batches; the leaves' paths are the model's and go to every task."""
     spark = df.sparkSession
-    trees = spark.sparkContext.broadcast(_trees(model, path, spark))
-    m = len(features)
-    subsets = [frozenset(s) for k in range(m + 1) for s in combinations(range(m), k)]
+    trees = _trees(model, path, spark)
+    paths = spark.sparkContext.broadcast([(v / len(trees), steps) for v, steps in _paths(trees)])
 
     def run(batches):
         for pdf in batches:
-            x = pdf[features].to_numpy(float)
-            v = {s: sum(_expected(t, x, s) for t in trees.value) / len(trees.value) for s in subsets}
-            phi = np.zeros((len(x), m))
-            for s in subsets:
-                for i in set(range(m)) - s:
-                    phi[:, i] += factorial(len(s)) * factorial(m - len(s) - 1) / factorial(m) * (v[s | {i}] - v[s])
-            yield pd.DataFrame({key: pdf[key], "base": v[frozenset()], "prediction": v[frozenset(range(m))], "phi": list(phi)})
+            base, predicted, phi = path_shapley(paths.value, pdf[features].to_numpy(float))
+            yield pd.DataFrame({key: pdf[key], "base": base, "prediction": predicted, "phi": list(phi)})
 
     return df.select(key, *features).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, base double, prediction double, phi array<double>")
 

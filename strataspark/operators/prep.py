@@ -11,6 +11,8 @@ from strataspark.contract import OTHER, RARE_MIN_ROWS, UNKNOWN
 from strataspark.functions.columns import circular, key_hash, pearson, uniform
 from strataspark.operators.ordered import running_sum
 
+#: Pivots that divide vectors (they go to every task), rows for each, and rows compared at once.
+MAX_PIVOTS, PIVOT_ROWS, BLOCK = 4096, 256, 2048
 #: Levels of a category that may become columns.
 MAX_LEVELS = 1000
 
@@ -170,28 +172,97 @@ def seeded_places(df: DataFrame, key: str, name: str, seed: int = 42) -> DataFra
     return running_sum(df.withColumns({"_h": key_hash(key, seed), "_one": F.lit(1)}), "_h", {"_one": name}, tie=key).drop("_h", "_one")
 
 
-def vector_neighbours(df: DataFrame, k: int, block: int = 2048) -> DataFrame:
-    """(id, rank, nid, dist): k nearest other rows of (id, v array<double>), in blocks against blocks; each block keeps k for each row."""
-    import pandas as pd
+def _pivots(df: DataFrame, n: int) -> np.ndarray:
+    """Vectors to divide the others by: those of the smallest hashes, each once, at most MAX_PIVOTS."""
+    want = max(1, min(MAX_PIVOTS, -(-n // PIVOT_ROWS)))
+    rows = df.select("v", F.xxhash64("id").alias("h")).orderBy("h").limit(2 * want).collect()
+    return np.unique(np.array([r.v for r in rows], float), axis=0)[:want]
+
+
+def _spread(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Distances of rows to pivots."""
+    return np.sqrt(np.maximum((x**2).sum(1)[:, None] + (pivots**2).sum(1)[None] - 2 * x @ pivots.T, 0))
+
 
-    blocks = max(1, -(-df.count() // block))
-    b = df.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left, right = b.select("id", "v", F.col("_b").alias("_p"), every.alias("_q")), b.select("id", "v", every.alias("_p"), F.col("_b").alias("_q"))
+def vector_neighbours(df: DataFrame, k: int, count=None) -> DataFrame:
+    """(id, rank, nid, dist): k nearest other rows of (id, v array<double>), ties to the smaller nid. Exact, without comparing all pairs.
 
-    def near(a: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+    Each row belongs to the nearest of some pivots. Its k nearest in a block of its own cell bound how far the others can be; after that it is compared only in cells
+    that the triangle inequality leaves open: those whose farthest member, seen from their pivot, could be near enough, and whose half of the space is. In a cell only members at a fitting distance from the
+    pivot are computed. Cells are cut into blocks of BLOCK rows, and the rows that visit a block into parts of as many, so a cell of many rows is many tasks. count, an accumulator, gets the pairs computed."""
+    import pandas as pd
+
+    df = cut(df.select("id", "v"))
+    pivots = _pivots(df, df.count())
+    if not len(pivots):
+        return df.sparkSession.createDataFrame([], "id long, rank int, nid long, dist double")
+    apart = _spread(pivots, pivots)
+
+    def assign(batches):
+        for pdf in batches:
+            d = _spread(np.stack(pdf["v"]).astype(float), pivots) if len(pdf) else np.zeros((0, len(pivots)))
+            cell = d.argmin(1)
+            yield pdf.assign(cell=cell.astype("int32"), far=d[np.arange(len(d)), cell])
+
+    rows = df.mapInPandas(assign, "id long, v array<double>, cell int, far double")
+    sizes = cut(rows.groupBy("cell").agg(F.count("*").alias("rows"), F.max("far").alias("radius")))
+    blocks = sizes.select("cell", F.ceil(F.col("rows") / BLOCK).alias("blocks"))
+    rows = cut(rows.join(F.broadcast(blocks), "cell").withColumn("block", F.pmod(F.xxhash64("id"), "blocks")).drop("blocks"))  # one row a pivot
+    radius = {r.cell: r.radius for r in sizes.collect()}
+    cells = np.array(sorted(radius))
+    radii = np.array([radius[c] for c in cells])
+
+    def top(me, x, far, bound, ids, y, yfar) -> pd.DataFrame:
+        """k nearest for each of some rows within its bound; yfar are the others' distances from the pivot, far the rows' own, in the order of yfar."""
+        out, done = [], 0
+        for i in range(len(me)):
+            slack = 1e-9 * (bound[i] + far[i] + 1e-300) if np.isfinite(bound[i]) else np.inf
+            lo, hi = np.searchsorted(yfar, [far[i] - bound[i] - slack, far[i] + bound[i] + slack])
+            dist = np.sqrt(((y[lo:hi] - x[i]) ** 2).sum(1))
+            done += hi - lo
+            o = np.lexsort((ids[lo:hi], dist))
+            o = o[(ids[lo:hi][o] != me[i]) & (dist[o] <= bound[i] * (1 + 1e-9))][:k]
+            out.append(pd.DataFrame({"id": me[i], "nid": ids[lo:hi][o], "dist": dist[o]}))
+        if count is not None:
+            count.add(int(done))
+        return pd.concat(out) if out else pd.DataFrame([], columns=["id", "nid", "dist"], dtype=object)
+
+    def own(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("far", kind="stable")
+        x, far, ids = np.stack(pdf["v"]), pdf["far"].to_numpy(), pdf["id"].to_numpy()
+        near = top(ids, x, far, np.full(len(ids), np.inf), ids, x, far)
+        last = near.groupby("id")["dist"].agg(["size", "max"])
+        bound = np.array([last["max"][i] if i in last.index and last["size"][i] >= k else np.inf for i in ids])
+        return pd.DataFrame({"id": ids, "v": list(x), "cell": pdf["cell"], "block": pdf["block"], "bound": bound})
+
+    first = cut(rows.groupBy("cell", "block").applyInPandas(own, "id long, v array<double>, cell int, block long, bound double"))
+
+    def visits(batches):
+        """Each row with the cells that may hold nearer ones, its own too."""
+        for pdf in batches:
+            x = np.stack(pdf["v"]).astype(float) if len(pdf) else np.zeros((0, pivots.shape[1]))
+            d, bound, mine = _spread(x, pivots), pdf["bound"].to_numpy(), pdf["cell"].to_numpy()
+            slack = 1e-9 * (d.max(1, initial=0) + 1e-300)
+            reach = d[:, cells] - radii[None] <= (bound + slack)[:, None]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                half = (d[:, cells] ** 2 - d[np.arange(len(x)), mine][:, None] ** 2) / (2 * apart[mine][:, cells])
+            reach &= ~(half > (bound + 1e-6 * (d.max(1, initial=0) + 1e-300))[:, None])
+            i, j = np.nonzero(reach)
+            yield pd.DataFrame({"id": pdf["id"].to_numpy()[i], "v": [x[n] for n in i], "to": cells[j].astype("int32"), "far": d[i, cells[j]], "bound": bound[i]})
+
+    asked = first.mapInPandas(visits, "id long, v array<double>, to int, far double, bound double")
+    parts = asked.groupBy("to").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    table = F.broadcast(blocks.withColumnRenamed("cell", "to").join(parts, "to"))  # one row a pivot
+    asked = asked.join(table, "to").withColumn("part", F.pmod(F.xxhash64("id", F.lit(1)), "parts")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    held = rows.withColumnRenamed("cell", "to").join(table, "to").select("id", "v", "far", "to", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+
+    def meet(a: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if a.empty or c.empty:
             return pd.DataFrame([], columns=["id", "nid", "dist"], dtype=object)
-        x, y, ids = np.stack(a["v"]), np.stack(c["v"]), c["id"].to_numpy()
-        out = []
-        for i, me in enumerate(a["id"]):
-            dist = np.sqrt(((y - x[i]) ** 2).sum(1))
-            o = np.lexsort((ids, dist))
-            o = o[ids[o] != me][:k]
-            out.append(pd.DataFrame({"id": me, "nid": ids[o], "dist": dist[o]}))
-        return pd.concat(out)
-
-    found = left.groupBy("_p", "_q").cogroup(right.groupBy("_p", "_q")).applyInPandas(near, "id long, nid long, dist double")
+        c = c.sort_values("far", kind="stable")
+        return top(a["id"].to_numpy(), np.stack(a["v"]), a["far"].to_numpy(), a["bound"].to_numpy(), c["id"].to_numpy(), np.stack(c["v"]), c["far"].to_numpy())
+
+    found = asked.groupBy("to", "block", "part").cogroup(held.groupBy("to", "block", "part")).applyInPandas(meet, "id long, nid long, dist double")
     best = found.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("dist", "nid"))), 1, k).alias("b"))
     return best.select("id", F.posexplode("b").alias("p", "x")).select("id", (F.col("p") + 1).alias("rank"), F.col("x.nid").alias("nid"), F.col("x.dist").alias("dist"))
 
@@ -199,20 +270,24 @@ def vector_neighbours(df: DataFrame, k: int, block: int = 2048) -> DataFrame:
 def smote(df: DataFrame, label: str, minority: int, k: int = 5, seed: int = 42) -> DataFrame:
     """df (id, v, label) with synthetic minority rows up to the other classes' number: each lies between a row and one of its k nearest of the class.
 
-    Rows take turns by hash order; neighbour and place come from hashes. Synthetic rows have negative ids."""
+    Rows take turns by hash order; neighbour and place come from hashes. Synthetic rows are numbered down from the smallest id, or from 0 if that is
+    positive, so no two rows share an id."""
     mine = df.where(F.col(label) == minority)
     n, m = df.where(F.col(label) != minority).count(), mine.count()
     need = max(0, n - m)
     if not need or m < 2:
         return df
+    least = min(0, df.agg(F.min("id")).first()[0])
     near = vector_neighbours(mine.select("id", "v"), min(k, m - 1)).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("rank", "nid"))).alias("_near"))
     ranked = running_sum(mine.select("id", "v", key_hash("id", seed).alias("_h"), F.lit(1).alias("_one")), "_h", {"_one": "_rank"}, tie="id")
     copies = F.floor(F.lit(need / m)).cast("int") + (F.col("_rank") <= need % m).cast("int")
-    each = ranked.join(near, "id").where(copies > 0).select("id", "v", "_near", F.explode(F.sequence(F.lit(1), copies)).alias("_c"))
-    pick = F.element_at("_near", (F.pmod(key_hash(F.col("id") * 131 + F.col("_c"), seed), F.size("_near")) + 1).cast("int"))["nid"]
+    each = ranked.join(near, "id").where(copies > 0).select("id", "v", "_near", "_rank", F.explode(F.sequence(F.lit(1), copies)).alias("_c"))
+    place = F.pmod("id", F.lit(2147483647))
+    pick = F.element_at("_near", (F.pmod(key_hash(place * 131 + F.col("_c"), seed), F.size("_near")) + 1).cast("int"))["nid"]
     other = mine.select(F.col("id").alias("_nid"), F.col("v").alias("_nv"))
-    made = each.withColumn("_nid", pick).join(other, "_nid").withColumn("_t", uniform(F.col("id") * 977 + F.col("_c"), seed + 1, 811297697))
-    out = made.select((-(F.col("id") * 1000 + F.col("_c"))).alias("id"), F.transform(F.arrays_zip("v", "_nv"), lambda x: x["v"] + F.col("_t") * (x["_nv"] - x["v"])).alias("v"), F.lit(minority).alias(label))
+    made = each.withColumn("_nid", pick).join(other, "_nid").withColumn("_t", uniform(place * 977 + F.col("_c"), seed + 1, 811297697))
+    number = F.lit(least) - ((F.col("_c") - 1).cast("long") * m + F.col("_rank"))
+    out = made.select(number.alias("id"), F.transform(F.arrays_zip("v", "_nv"), lambda x: x["v"] + F.col("_t") * (x["_nv"] - x["v"])).alias("v"), F.lit(minority).alias(label))
     return df.select("id", "v", label).unionByName(out)
 
 
@@ -260,6 +335,38 @@ def fold_vocabulary(train: DataFrame, category: str, least: int) -> dict[int, tu
     return out
 
 
+def fold_moments(rows: DataFrame, shifts: dict[int, np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each fold the means and the covariance matrix of rows (fold, _v array<double>), from sums of products less a shift near the means.
+
+    Every task adds up one matrix for each fold it has; matrices are then summed line by line. The driver gets one a fold."""
+    import pandas as pd
+
+    def sums(batches):
+        held: dict[int, list] = {}
+        for pdf in batches:
+            for fold, part in pdf.groupby("fold"):
+                x = np.stack(part["_v"]).astype(float) - shifts[fold]
+                n, s, xx = held.get(fold, (0, 0.0, 0.0))
+                held[fold] = [n + len(x), s + x.sum(0), xx + x.T @ x]
+        for fold, (n, s, xx) in held.items():
+            yield pd.DataFrame({"fold": fold, "line": range(len(s)), "n": n, "s": s, "xx": list(xx)})
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf.iloc[:1].assign(n=pdf["n"].sum(), s=pdf["s"].sum(), xx=[np.sum(np.stack(pdf["xx"]), axis=0)])
+
+    kind = "fold int, line int, n long, s double, xx array<double>"
+    lines = rows.select("fold", "_v").mapInPandas(sums, kind).groupBy("fold", "line").applyInPandas(add, kind)
+    out, got = {}, {}
+    for r in lines.collect():
+        got.setdefault(r.fold, []).append(r)
+    for fold, rs in got.items():
+        rs.sort(key=lambda r: r.line)
+        n, s = rs[0].n, np.array([r.s for r in rs])
+        cov = np.array([r.xx for r in rs]) / n - np.outer(s / n, s / n)
+        out[fold] = shifts[fold] + s / n, (cov + cov.T) / 2
+    return out
+
+
 def fold_prepare(df: DataFrame, folds: DataFrame, key: str, numbers: list[str], angles: list[str], categories: list[str], least: int = RARE_MIN_ROWS, limit: float = 10.0) -> tuple[DataFrame, DataFrame]:
     """(rows, dropped), with all that is learned coming from each fold's train rows alone.
 
@@ -267,7 +374,7 @@ def fold_prepare(df: DataFrame, folds: DataFrame, key: str, numbers: list[str],
     where they are null, NaN or infinite, angles become sine and cosine (negative ones are flat: 0, 0), categories get the mode, rare levels merge, and each level but the commonest is a 0/1
     feature. Then constant features go, and the worst by variance inflation until all are within the limit. dropped is (fold, feature, why, vif).
 
-    All folds share the jobs: medians, one per category, and one pass for means and covariances. What reaches the driver are the folds' levels and one matrix per fold."""
+    All folds share the jobs: medians, one per category, and one pass that sums products for means and covariances. What reaches the driver are the folds' levels and one matrix per fold."""
     spark, plain = df.sparkSession, [*numbers, *angles]
     finite = {c: F.when(~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c).cast("double")) != float("inf")), F.col(c).cast("double")) for c in plain}
     x = folds.join(df.withColumns(finite), key)
@@ -289,24 +396,19 @@ def fold_prepare(df: DataFrame, folds: DataFrame, key: str, numbers: list[str],
             features[f"{c}={level}"] = (merged == level).cast("double")
     names = list(features)
     raw = x.select("fold", key, "role", F.array(*[features[n].cast("double") for n in names]).alias("_v"))
-    pairs = [(i, j) for i in range(len(names)) for j in range(i + 1)]
-    v = lambda i: F.col("_v")[i]
-    stats = raw.where("role = 'train'").groupBy("fold").agg(F.array(*[F.avg(v(i)) for i in range(len(names))]).alias("mean"), F.array(*[F.covar_pop(v(i), v(j)) for i, j in pairs]).alias("cov")).collect()
+    shifts = {r.fold: np.array([r[f"_m_{c}"] or 0.0 for c in numbers] + [0.0] * (len(names) - len(numbers))) for r in med.collect()}
     learned, dropped = [], []
-    for r in stats:
-        if empty := [n for n, m in zip(names, r["mean"], strict=True) if m is None]:
-            raise ValueError(f"no known value in {', '.join(empty)} of fold {r.fold}")
-        cov = np.zeros((len(names), len(names)))
-        for (i, j), c in zip(pairs, r["cov"], strict=True):
-            cov[i, j] = cov[j, i] = c
-        columns = {f"{c}={w}" for c in categories for w in vocabulary[c][r.fold][2]}
+    for fold, (mean, cov) in sorted(fold_moments(raw.where("role = 'train'"), shifts).items()):
+        if empty := [n for n, m in zip(names, mean, strict=True) if np.isnan(m)]:
+            raise ValueError(f"no known value in {', '.join(empty)} of fold {fold}")
+        columns = {f"{c}={w}" for c in categories for w in vocabulary[c][fold][2]}
         mine = [i for i, n in enumerate(names) if i < len(numbers) + 2 * len(angles) or n in columns]
         varies = [i for i in mine if cov[i, i] > 1e-12]
-        dropped += [(r.fold, names[i], "constant", None) for i in mine if i not in varies]
+        dropped += [(fold, names[i], "constant", None) for i in mine if i not in varies]
         sd = np.sqrt(np.diag(cov))
         left, gone = prune_matrix(cov[np.ix_(varies, varies)] / np.outer(sd[varies], sd[varies]), [names[i] for i in varies], limit)
-        dropped += [(r.fold, n, "inflated", f) for n, f in gone]
-        learned.append((r.fold, left, list(r["mean"]), [float(s) or 1.0 for s in sd]))
+        dropped += [(fold, n, "inflated", f) for n, f in gone]
+        learned.append((fold, left, mean.tolist(), [float(s) or 1.0 for s in sd]))
     fitted = spark.createDataFrame(learned, "fold int, _kept array<string>, _mean array<double>, _sd array<double>")
     z = F.zip_with(F.zip_with("_v", "_mean", lambda a, b: a - b), "_sd", lambda a, b: a / b)
     told = F.map_filter(F.map_from_arrays(F.array(*map(F.lit, names)), z), lambda n, _: F.array_contains("_kept", n))

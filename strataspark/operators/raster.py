@@ -1,9 +1,16 @@
-"""Rasters in long form, one row per cell: (tile, row, col, value). Neighbours come from two window passes, not from joins."""
+"""Rasters in long form, one row per cell: (tile, row, col, value). Neighbours come from window passes along rows, columns and both diagonals, not from joins."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from heapq import heappop, heappush
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strataspark.checkpoints import cut
 from strataspark.functions.columns import cells_km2, readable, rnd
@@ -66,17 +73,75 @@ def profile_curvature(size: float) -> Column:
     return F.when(g * g + h * h == 0, 0.0).otherwise(-2 * (d * g * g + v * h * h + f * g * h) / (g * g + h * h))
 
 
+def row_distances(cols, dys) -> list[float]:
+    """For each of a row's columns the least of (col - c)**2 + dy**2 over its columns c with a dy, from the lower envelope of their parabolas; nan without any.
+
+    cols rise. A stack holds the parabolas that are lowest somewhere, left to right; each goes in and out once, so the time is in proportion to the row."""
+    at, base, start = [], [], []
+    for c, dy in zip(cols, dys, strict=True):
+        if dy != dy:
+            continue
+        f = dy * dy + c * c
+        while at:
+            meet = (f - base[-1]) / (2 * (c - at[-1]))
+            if meet > start[-1]:
+                break
+            at.pop(), base.pop(), start.pop()
+        start.append(meet if at else -np.inf)
+        at.append(c)
+        base.append(f)
+    if not at:
+        return [np.nan] * len(cols)
+    out, k = [], 0
+    for c in cols:
+        while k + 1 < len(at) and start[k + 1] <= c:
+            k += 1
+        out.append((c - at[k]) ** 2 + base[k] - at[k] * at[k])
+    return out
+
+
 def proximity(cells: DataFrame, target: Column, size: float, key: str = "tile") -> DataFrame:
-    """cells with dist: to the nearest target cell of the same tile, null without one.
+    """cells with dist: to the nearest target cell of the same tile, null without one. A row's cells may be any, but a target is seen from other rows in columns they have.
 
-    Separable: the nearest target up or down each column by windows, then the least of (dx**2 + dy**2) along each row by an array of the tile's width."""
+    Separable: the nearest target up or down each column by windows, then along each row the lower envelope of the columns' parabolas. Rows are
+    sorted inside tasks and read as they come, one row held at a time, so width costs time in proportion."""
     up = Window.partitionBy(key, "col").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
     down = Window.partitionBy(key, "col").orderBy("row").rowsBetween(0, Window.unboundedFollowing)
     hit = F.when(target, F.col("row"))
-    x = cells.withColumn("_dy", F.least(F.col("row") - F.last(hit, True).over(up), F.first(hit, True).over(down) - F.col("row")))
-    rows = x.groupBy(key, "row").agg(F.collect_list(F.when(F.col("_dy").isNotNull(), F.struct("col", "_dy"))).alias("_row"))
-    d2 = F.array_min(F.transform("_row", lambda c: F.pow(c["col"] - F.col("col"), 2) + F.pow(c["_dy"], 2)))
-    return cells.join(rows, [key, "row"]).withColumn("dist", F.sqrt(d2) * size).drop("_row")
+    x = cells.withColumn("_dy", F.least(F.col("row") - F.last(hit, True).over(up), F.first(hit, True).over(down) - F.col("row")).cast("double"))
+    x = x.withColumn("_line", F.xxhash64(key, "row"))
+    own = list(cells.columns)
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def told(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+            one = pa.Table.from_batches(parts).combine_chunks()
+            cols, dys = one.column("col").to_pylist(), one.column("_dy").to_numpy().tolist()
+            ends = [*_starts(one), one.num_rows]
+            d2 = [v for lo, hi in zip(ends, ends[1:], strict=False) for v in row_distances(cols[lo:hi], dys[lo:hi])]
+            dist = pa.array(np.sqrt(np.array(d2, float)) * size, pa.float64(), from_pandas=True)
+            return pa.RecordBatch.from_arrays([*(one.column(c).chunk(0) for c in own), dist], names=[*own, "dist"])
+
+        def _starts(t) -> list[int]:
+            k, r = t.column(key).to_pandas().to_numpy(), t.column("row").to_numpy()
+            return [0, *(np.flatnonzero((k[1:] != k[:-1]) | (r[1:] != r[:-1])) + 1).tolist()] if t.num_rows else []
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            whole = pa.Table.from_batches([*held[-1:], batch])  # a row may go on from the batch before
+            last = _starts(whole)[-1] - (held[-1].num_rows if held else 0)
+            if last <= 0:
+                held.append(batch)
+                continue
+            yield told([*held, batch.slice(0, last)])
+            held = [batch.slice(last)]
+        if held:
+            yield told(held)
+
+    kind = T.StructType([*cells.schema.fields, T.StructField("dist", T.DoubleType())])
+    return x.repartition("_line").sortWithinPartitions(key, "row", "col").drop("_line").mapInArrow(lines, kind)
 
 
 def majority(cells: DataFrame, factor: int, key: str = "tile") -> DataFrame:
@@ -198,3 +263,93 @@ def score_faults(cells: DataFrame, score: str, zone: Column, stored_zone: str) -
     """Counts of what is wrong with a scored raster; all are 0 for a sound one."""
     s, z = F.col(score), F.col(stored_zone)
     return cells.agg(F.count_if(s.isNotNull() & ((s < 0) | (s > 1) | F.isnan(s))).alias("out_of_range"), F.count_if(s.isNull() != (z == 0)).alias("mask_differs"), F.count_if(s.isNotNull() & (z != zone)).alias("zone_differs"))
+
+
+def burn_lines(lines: DataFrame, left: float, top: float, size: float) -> DataFrame:
+    """(id, row, col): the cells that each line (id, x1, y1, x2, y2) runs through, of any length, each once. Rows run down from top.
+
+    The line's crossings with the grid, as shares of the line, cut it into pieces that lie in one cell each; a piece's middle tells which. A cell that
+    is only touched at an edge or corner isn't burnt; a line along an edge burns the cells to its right or above; a line without length burns its cell."""
+
+    def crossings(a: str, b: str, start: float) -> Column:
+        u, v = (F.col(a) - start) / size, (F.col(b) - start) / size
+        lo, hi = F.ceil(F.least(u, v)), F.floor(F.greatest(u, v))
+        return F.when((u != v) & (lo <= hi), F.transform(F.sequence(lo, hi), lambda k: (k - u) / (v - u))).otherwise(F.array().cast("array<double>"))
+
+    inner = F.filter(F.concat(crossings("x1", "x2", left), crossings("y1", "y2", top)), lambda t: (t > 0) & (t < 1))
+    cuts = F.concat(F.array(F.lit(0.0)), F.array_sort(F.array_distinct(inner)), F.array(F.lit(1.0)))
+    whole = lines.na.drop(subset=["x1", "y1", "x2", "y2"]).select("id", "x1", "y1", "x2", "y2", cuts.alias("_t"))
+    middle = F.explode(F.transform(F.sequence(F.lit(1), F.size("_t") - 1), lambda k: (F.get("_t", k - 1) + F.get("_t", k)) / 2)).alias("_m")
+    at = lambda a, b: F.col(a) + (F.col(b) - F.col(a)) * F.col("_m")
+    each = whole.select("id", "x1", "y1", "x2", "y2", middle)
+    row, col = F.ceil((F.lit(float(top)) - at("y1", "y2")) / size) - 1, F.floor((at("x1", "x2") - F.lit(float(left))) / size)
+    return each.select("id", row.cast("long").alias("row"), col.cast("long").alias("col")).distinct()
+
+
+def _flood(z: np.ndarray, level: np.ndarray, rise: float) -> np.ndarray:
+    """Spill heights of a tile with a frame of one cell: level has what is known, infinite where nothing is; the least solution of
+    spill = max(z, least neighbour's spill + rise), found from the lowest cell up. z is nan where there is no cell."""
+    out = level.copy()
+    heap = [(out[i, j], i, j) for i, j in zip(*np.nonzero(np.isfinite(out)), strict=True)]
+    heap.sort()
+    rows, cols = z.shape
+    while heap:
+        h, i, j = heappop(heap)
+        if h > out[i, j]:
+            continue
+        for a in range(max(0, i - 1), min(rows, i + 2)):
+            for b in range(max(0, j - 1), min(cols, j + 2)):
+                if z[a, b] == z[a, b]:
+                    new = max(z[a, b], h + rise)
+                    if new < out[a, b]:
+                        out[a, b] = new
+                        heappush(heap, (new, a, b))
+    return out
+
+
+def fill_pits(cells: DataFrame, rise: float = 0.0, side: int = 256, key: str = "tile") -> DataFrame:
+    """cells (key, row, col, value) with filled: the least surface over value from which every cell can drain to the edge, rising by at least rise from cell to cell.
+
+    The edge is where a neighbour is missing; cells there drain as they are. With rise above 0 every other cell has a lower neighbour, so flow() over filled ends at the edge. Squares of side
+    x side cells are solved each by a flood from its lowest known cell, and again when a neighbouring square's rim sank; the rims alone travel between
+    rounds, and rounds end when no rim changes: as many as squares that water crosses."""
+    square = [F.floor(F.col("row") / side).alias("_i"), F.floor(F.col("col") / side).alias("_j")]
+    edge = sum((F.col(f"n{k}").isNull().cast("int") for k in AROUND), F.lit(0)) > 0
+    base = cut(neighbourhood(cells.where("value IS NOT NULL").select(key, "row", "col", F.col("value").cast("double").alias("value")), key=key).select(key, "row", "col", "value", edge.alias("edge"), *square))
+    rim = (F.pmod("row", F.lit(side)).isin(0, side - 1)) | (F.pmod("col", F.lit(side)).isin(0, side - 1))
+
+    def solve(own: pd.DataFrame, around: pd.DataFrame) -> pd.DataFrame:
+        if own.empty:
+            return pd.DataFrame([], columns=[key, "row", "col", "value", "_i", "_j", "filled"])
+        r0, c0 = int(own["row"].min()) - 1, int(own["col"].min()) - 1
+        shape = (int(own["row"].max()) - r0 + 2, int(own["col"].max()) - c0 + 2)
+        z, level = np.full(shape, np.nan), np.full(shape, np.inf)
+        i, j = own["row"].to_numpy() - r0, own["col"].to_numpy() - c0
+        z[i, j] = own["value"]
+        e = own["edge"].to_numpy()
+        level[i[e], j[e]] = own["value"].to_numpy()[e]
+        if len(around):
+            a, b = around["row"].to_numpy() - r0, around["col"].to_numpy() - c0
+            near = (a >= 0) & (b >= 0) & (a < shape[0]) & (b < shape[1])
+            level[a[near], b[near]] = np.minimum(level[a[near], b[near]], around["spill"].to_numpy()[near])
+        return own[[key, "row", "col", "value", "_i", "_j"]].assign(filled=_flood(z, level, rise)[i, j])
+
+    kind = f"{key} {dict(base.dtypes)[key]}, row int, col int, value double, _i long, _j long, filled double"
+    base = base.withColumns({"row": F.col("row").cast("int"), "col": F.col("col").cast("int")})
+    steps = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b])).alias("_s")
+    rims, before = base.where("false").select(key, "row", "col", F.lit(0.0).alias("spill"), "_i", "_j"), None
+    while True:
+        out = cut(base.groupBy(key, "_i", "_j").cogroup(rims.groupBy(key, "_i", "_j")).applyInPandas(solve, kind))
+        now = cut(out.where(rim & (F.col("filled") < float("inf"))).select(key, "row", "col", F.col("filled").alias("spill")))
+        state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64(key, "row", "col", "spill").cast("decimal(38,0)"))).first())
+        if state == before:
+            return cells.join(out.select(key, F.col("row").cast(dict(cells.dtypes)["row"]).alias("row"), F.col("col").cast(dict(cells.dtypes)["col"]).alias("col"), "filled"), [key, "row", "col"], "left")
+        before = state
+        near = now.select("*", steps).select(key, "row", "col", "spill", F.floor((F.col("row") + F.col("_s.a")) / side).alias("_i"), F.floor((F.col("col") + F.col("_s.b")) / side).alias("_j"))
+        rims = near.where((F.floor(F.col("row") / side) != F.col("_i")) | (F.floor(F.col("col") / side) != F.col("_j"))).distinct()
+
+
+def streams(cells: DataFrame, least: int = 1000, rise: float = 1e-6, side: int = 256, key: str = "tile") -> DataFrame:
+    """(key, row, col, acc, stream): cells that drain through each once pits are filled, and whether they are at least so many."""
+    filled = fill_pits(cells, rise, side, key).where("filled IS NOT NULL").select(key, "row", "col", F.col("filled").alias("value"))
+    return flow(filled, key).withColumn("stream", (F.col("acc") >= least).cast("int"))

@@ -30,7 +30,7 @@ def _square(df: DataFrame, x: str, y: str, size: float) -> DataFrame:
 
 
 def nearest(points: DataFrame, sites: DataFrame, k: int = 1, size: float | None = None, exclude_self: bool = False) -> DataFrame:
-    """(id, rank, sid, dist): each point's k nearest sites, ties to the smaller sid. Points are (id, x, y), sites (sid, sx, sy).
+    """(id, rank, sid, dist): each point's k nearest sites, ties to the smaller sid. Points are (id, x, y), sites (sid, sx, sy); ids are unique.
 
     Sites within a square's side are found in the nine squares around a point. Points whose k-th site is farther go on to squares of
     double side; each round has few of them. exclude_self leaves out sites with the point's own id."""
@@ -81,18 +81,21 @@ def rect_distance(x: Column, y: Column, rect: Column) -> Column:
 
 
 def nearest_rect(points: DataFrame, rects: DataFrame, at_once: int = MAX_RECTS) -> DataFrame:
-    """points with rect_dist, the distance to the nearest rectangle; null if there is none. ids are unique.
+    """points with rect_dist, the distance to the nearest rectangle; null if there is none, or a coordinate of the point is null. ids are unique.
+
+    Rectangles with a null bound don't take part.
 
     Up to at_once rectangles go to every task as one row. More meet points in the squares of a grid that they touch; points without a
     rectangle within a square's side go on to squares of double side."""
+    rects = rects.na.drop(subset=["xmin", "ymin", "xmax", "ymax"])
     box = rects.agg(F.count("*").alias("n"), F.min("xmin").alias("a"), F.max("xmax").alias("b"), F.min("ymin").alias("c"), F.max("ymax").alias("d"), F.avg(F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"))).alias("side")).first()
     if box.n <= at_once:
         one = rects.agg(F.collect_list(F.struct("xmin", "ymin", "xmax", "ymax")).alias("_rects"))
-        return points.join(F.broadcast(one)).withColumn("rect_dist", F.array_min(F.transform("_rects", lambda r: rect_distance(F.col("x"), F.col("y"), r)))).drop("_rects")
+        return points.join(F.broadcast(one)).withColumn("rect_dist", F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), F.array_min(F.transform("_rects", lambda r: rect_distance(F.col("x"), F.col("y"), r))))).drop("_rects")
     spread = float(max(box.b - box.a, box.d - box.c, 1e-9))
     side = max(1.5 * spread / box.n**0.5, float(box.side))
     far = points.agg(F.max(F.greatest(*[F.abs(F.col(c) - F.lit(float(v))) for c, v in (("x", box.a), ("x", box.b), ("y", box.c), ("y", box.d))])).alias("m")).first().m or 0.0
-    left, out = points.select("id", "x", "y"), None
+    left, out = points.select("id", "x", "y").na.drop(subset=["x", "y"]), None
     while True:
         last = side > 2 * float(far) + spread
         on = lambda lo, hi: F.explode(F.sequence(_key(F.col(lo), side), _key(F.col(hi), side)))  # noqa: B023, E731
@@ -137,8 +140,10 @@ def in_polygons(points: DataFrame, polygons: DataFrame, size: float, how: str =
 
 
 def first_polygon(points: DataFrame, polygons: DataFrame, size: float) -> DataFrame:
-    """Each point once, with the polygon of smallest pid that holds it, or null."""
-    return in_polygons(points, polygons, size).groupBy(*points.columns).agg(F.min("pid").alias("pid"))
+    """Each row of points once, with the polygon of smallest pid that holds it, or null. Rows that are the same are looked up once and stay as many."""
+    rows = points.groupBy(*points.columns).agg(F.count("*").alias("_rows"))
+    found = in_polygons(rows, polygons, size).groupBy(*points.columns, "_rows").agg(F.min("pid").alias("pid"))
+    return found.select(*points.columns, "pid", F.explode(F.sequence(F.lit(1).cast("long"), "_rows"))).drop("col")
 
 
 def clip_to_convex(lines: DataFrame, polygons: DataFrame, size: float) -> DataFrame:

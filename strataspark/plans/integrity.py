@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from strataspark import lifecycle as V
+from strataspark.checkpoints import shared_folder
 from strataspark.functions import columns as C
 from strataspark.operators import quality as Q
 from strataspark.plans.registry import query, table
@@ -16,11 +19,25 @@ def file_fingerprints(spark, d):
     return file_inventory(spark, f"{d}/nation.parquet").unionByName(file_inventory(spark, f"{d}/region.parquet"))
 
 
-@query("SELECT 'region.parquet' AS name, 'changed' AS fault UNION ALL SELECT 'old.parquet', 'missing' UNION ALL SELECT 'nation.parquet', 'new'")
+#: Files of customers' numbers and names by market segment, one folder a segment; of the record one is missing, one differs, and one is of a folder that is gone.
+INVENTORY_SQL = """WITH f AS (SELECT 'segment=' || c_mktsegment AS folder, sha256(string_agg(c_custkey || ',' || c_name || chr(10), '' ORDER BY c_custkey)) AS sha256, sum(length(c_custkey || ',' || c_name) + 1)::BIGINT AS bytes FROM customer GROUP BY c_mktsegment)
+SELECT folder, CASE WHEN folder = (SELECT min(folder) FROM f) THEN 'new' WHEN folder = (SELECT max(folder) FROM f) THEN 'changed' ELSE 'same' END AS state, sha256, bytes FROM f UNION ALL SELECT 'segment=gone', 'missing', '0', 1"""
+
+
+@query(INVENTORY_SQL)
 def inventory_check(spark, d):
-    now = file_fingerprints_single(spark, d)
-    recorded = now.where("name = 'region.parquet'").withColumn("sha256", F.lit("0")).unionByName(spark.createDataFrame([("old.parquet", "1", 1)], "name string, sha256 string, bytes long"))
-    return inventory_faults(now, recorded)
+    """Every folder's file has the same base name or another; what tells files apart is the path below the root."""
+    c = table(spark, d, "customer").select(F.col("c_mktsegment").alias("segment"), F.concat_ws(",", "c_custkey", "c_name").alias("line"), "c_custkey")
+    path = f"{shared_folder(spark)}/inventory-{uuid.uuid4().hex}"
+    c.repartition("segment").sortWithinPartitions("segment", "c_custkey").select("segment", "line").write.partitionBy("segment").text(path)
+    files = file_inventory(spark, path).where(F.col("name").contains("/part-"))
+    now = files.withColumn("folder", F.substring_index("name", "/", 1))
+    ends = F.broadcast(now.agg(F.min("folder").alias("a"), F.max("folder").alias("z")))
+    recorded = now.join(ends).where("folder <> a").select("name", F.when(F.col("folder") == F.col("z"), "0").otherwise(F.col("sha256")).alias("sha256"), "bytes")
+    recorded = recorded.unionByName(spark.createDataFrame([("segment=gone/part-0", "0", 1)], "name string, sha256 string, bytes long"))
+    every = now.select("name", "sha256", "bytes").unionByName(recorded.join(now, "name", "left_anti"))
+    told = every.join(inventory_faults(now.drop("folder"), recorded), "name", "left")
+    return told.select(F.substring_index("name", "/", 1).alias("folder"), F.coalesce("fault", F.lit("same")).alias("state"), "sha256", "bytes")
 
 
 def file_fingerprints_single(spark, d):

@@ -102,6 +102,23 @@ def smote_neighbours(spark, d):
     return P.vector_neighbours(m, 5).select("id", "rank", "nid", C.rnd("dist", 5).alias("dist"))
 
 
+#: Synthetic rows from the ranks of the rows' hashes: a neighbour and a place between by hashes of row and copy.
+SMOTE_SQL = """WITH x AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label % 3 AS y FROM embeddings), m AS (SELECT id, v, row_number() OVER (ORDER BY (id * 1103515245 + 42) % 2147483647, id) AS rank FROM x WHERE y = 1),
+s AS (SELECT (SELECT count(*) FROM m) AS m, greatest(0, (SELECT count(*) FROM x WHERE y <> 1) - (SELECT count(*) FROM m)) AS need),
+r AS (SELECT a.id, b.id AS nid, b.v AS nv, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.v, b.v), b.id) AS k FROM m a JOIN m b ON a.id <> b.id),
+c AS (SELECT id, v, rank, unnest(range(1, (need // s.m + (rank <= need % s.m)::INT)::INT + 1)) AS c FROM m, s),
+o AS (SELECT c.*, (((id * 131 + c) * 1103515245 + 42) % 2147483647) % 5 + 1 AS k, ((id * 977 + c) * 811297697 + 43) % 2147483647 / 2147483647.0::DOUBLE AS t FROM c)
+SELECT -((c - 1) * s.m + rank) AS id, round(v[1] + t * (nv[1] - v[1]), 4) AS first, round(v[64] + t * (nv[64] - v[64]), 4) AS last, round(list_sum(list_transform(list_zip(v, nv), lambda z: z[1] + t * (z[2] - z[1]))), 4) AS total
+FROM o JOIN r USING (id, k), s"""
+
+
+@query(SMOTE_SQL)
+def smote_points(spark, d):
+    x = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"), (F.col("label") % 3).alias("y"))
+    made = P.smote(x, "y", 1).where("id < 0")
+    return made.select("id", C.rnd(F.col("v")[0], 4).alias("first"), C.rnd(F.col("v")[63], 4).alias("last"), C.rnd(F.aggregate("v", F.lit(0.0), lambda a, b: a + b), 4).alias("total"))
+
+
 @query("SELECT y, CASE WHEN y = 1 THEN greatest(n, o) ELSE n END AS n FROM (SELECT (label = 1)::INT AS y, count(*) AS n, (SELECT count(*) FROM embeddings WHERE label <> 1) AS o FROM embeddings GROUP BY 1)")
 def smote_balance(spark, d):
     x = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"), (F.col("label") == 1).cast("int").alias("y"))

@@ -103,9 +103,14 @@ def confined(root: str, path: str) -> str:
 
 
 def file_inventory(spark: SparkSession, path: str) -> DataFrame:
-    """(name, sha256, bytes) of every file under a path, hashed where it is read."""
+    """(name, sha256, bytes) of every file under a path, hashed where it is read. name is the path below the given one, the file's own name if that is the file.
+
+    Spark reads a file whole to hash it, so one of 2 GB or more ends in an error."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    root = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(root).toString()
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
+    below = F.when(F.startswith("path", F.lit(f"{root}/")), F.substr("path", F.lit(len(root) + 2))).otherwise(F.element_at(F.split("path", "/"), -1))
+    return files.select(below.alias("name"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
 
 
 def inventory_faults(now: DataFrame, recorded: DataFrame) -> DataFrame:
