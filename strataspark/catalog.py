@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strataspark.plans import evaluation, integrity, learning, preparation, rasters, spatial, tables  # noqa: F401
+from strataspark.plans import evaluation, geometry, integrity, learning, preparation, rasters, spatial, tables  # noqa: F401
 from strataspark.plans.registry import QUERIES, Query
 
 

@@ -201,7 +201,6 @@ def simplify_ring(points: np.ndarray, least: float) -> np.ndarray:
 
 def simplify_rings(rings: DataFrame, least: float) -> DataFrame:
     """rings (..., points array<struct<x, y>>, first and last the same) with points thinned by area: triangles under least go. Rings stay closed and keep three corners at least."""
-    kind = rings.schema["points"].dataType
 
     @F.pandas_udf("array<int>")
     def kept(points: pd.Series) -> pd.Series:
@@ -215,4 +214,4 @@ def simplify_rings(rings: DataFrame, least: float) -> DataFrame:
         return pd.Series(out)
 
     at = F.transform(kept("points"), lambda i: F.get("points", i))
-    return rings.withColumn("points", F.when(F.col("points").isNotNull() & (F.size("points") > 0), F.concat(at, F.slice(at, 1, 1))).otherwise(F.col("points")).cast(kind))
+    return rings.withColumn("points", F.when(F.col("points").isNotNull() & (F.size("points") > 0), F.concat(at, F.slice(at, 1, 1))).otherwise(F.col("points")))

@@ -16,6 +16,8 @@ from strataspark.checkpoints import cut
 from strataspark.functions.columns import cells_km2, readable, rnd
 
 ZONES = 6
+#: Cells of squares that are solved in one group.
+BIN_CELLS = 1 << 18
 
 
 def zone_table(df: DataFrame, by: str) -> DataFrame:
@@ -318,28 +320,33 @@ def fill_pits(cells: DataFrame, rise: float = 0.0, side: int = 256, key: str = "
     base = cut(neighbourhood(cells.where("value IS NOT NULL").select(key, "row", "col", F.col("value").cast("double").alias("value")), key=key).select(key, "row", "col", "value", edge.alias("edge"), *square))
     rim = (F.pmod("row", F.lit(side)).isin(0, side - 1)) | (F.pmod("col", F.lit(side)).isin(0, side - 1))
 
-    def solve(own: pd.DataFrame, around: pd.DataFrame) -> pd.DataFrame:
-        if own.empty:
-            return pd.DataFrame([], columns=[key, "row", "col", "value", "_i", "_j", "filled"])
-        r0, c0 = int(own["row"].min()) - 1, int(own["col"].min()) - 1
-        shape = (int(own["row"].max()) - r0 + 2, int(own["col"].max()) - c0 + 2)
+    def square_of(own: pd.DataFrame, around) -> np.ndarray:
+        rows, cols, values, e = (own[c].to_numpy() for c in ("row", "col", "value", "edge"))
+        r0, c0 = int(rows.min()) - 1, int(cols.min()) - 1
+        shape = (int(rows.max()) - r0 + 2, int(cols.max()) - c0 + 2)
         z, level = np.full(shape, np.nan), np.full(shape, np.inf)
-        i, j = own["row"].to_numpy() - r0, own["col"].to_numpy() - c0
-        z[i, j] = own["value"]
-        e = own["edge"].to_numpy()
-        level[i[e], j[e]] = own["value"].to_numpy()[e]
-        if len(around):
-            a, b = around["row"].to_numpy() - r0, around["col"].to_numpy() - c0
-            near = (a >= 0) & (b >= 0) & (a < shape[0]) & (b < shape[1])
-            level[a[near], b[near]] = np.minimum(level[a[near], b[near]], around["spill"].to_numpy()[near])
-        return own[[key, "row", "col", "value", "_i", "_j"]].assign(filled=_flood(z, level, rise)[i, j])
+        i, j = rows - r0, cols - c0
+        z[i, j] = values
+        level[i[e], j[e]] = values[e]
+        if around is not None:
+            r, c, spill = around
+            near = (r >= r0) & (c >= c0) & (r - r0 < shape[0]) & (c - c0 < shape[1])
+            level[r[near] - r0, c[near] - c0] = np.minimum(level[r[near] - r0, c[near] - c0], spill[near])
+        return _flood(z, level, rise)[i, j]
+
+    def solve(own: pd.DataFrame, around: pd.DataFrame) -> pd.DataFrame:
+        known = {k: tuple(g[c].to_numpy() for c in ("row", "col", "spill")) for k, g in around.groupby([key, "_i", "_j"])} if len(around) else {}
+        out = [g[[key, "row", "col", "value", "_i", "_j"]].assign(filled=square_of(g, known.get(k))) for k, g in own.groupby([key, "_i", "_j"])] if len(own) else []
+        return pd.concat(out) if out else pd.DataFrame([], columns=[key, "row", "col", "value", "_i", "_j", "filled"])
 
     kind = f"{key} {dict(base.dtypes)[key]}, row int, col int, value double, _i long, _j long, filled double"
     base = base.withColumns({"row": F.col("row").cast("int"), "col": F.col("col").cast("int")})
+    bins = max(base.sparkSession.sparkContext.defaultParallelism, base.count() // BIN_CELLS)  # several squares a group, for what a group costs
+    square_bin = F.pmod(F.xxhash64(key, "_i", "_j"), F.lit(bins)).alias("_bin")
     steps = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b])).alias("_s")
     rims, before = base.where("false").select(key, "row", "col", F.lit(0.0).alias("spill"), "_i", "_j"), None
     while True:
-        out = cut(base.groupBy(key, "_i", "_j").cogroup(rims.groupBy(key, "_i", "_j")).applyInPandas(solve, kind))
+        out = cut(base.groupBy(square_bin).cogroup(rims.groupBy(square_bin)).applyInPandas(solve, kind))
         now = cut(out.where(rim & (F.col("filled") < float("inf"))).select(key, "row", "col", F.col("filled").alias("spill")))
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64(key, "row", "col", "spill").cast("decimal(38,0)"))).first())
         if state == before:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from strataspark.checkpoints import shared_folder
 from strataspark.functions import columns as C
 from strataspark.operators import metrics as M
 from strataspark.operators import models as L
@@ -87,12 +88,28 @@ def shap_additivity(spark, d):
     import uuid
 
     x = samples(spark, d)
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    folder = shared_folder(spark)
     s = L.tree_shap(L.fit_forest(x, FEATURES, "label", trees=5, depth=4), x, FEATURES, "id", f"{folder}/forest-{uuid.uuid4().hex}")
     total = F.col("base") + F.aggregate("phi", F.lit(0.0), lambda a, v: a + v)
     return s.agg(F.count("*").alias("rows"), (F.max(F.abs(total - F.col("prediction"))) < 1e-9).alias("additive"))
 
 
+MANY = [f"g{i:02d}" for i in range(23)]
+
+
+@query("SELECT count(*) AS rows, true AS additive, 23 AS features FROM customer")
+def shap_many_features(spark, d):
+    """Explained by 23 features, far beyond what weighing every subset allows."""
+    import uuid
+
+    k = F.col("id")
+    x = samples(spark, d).withColumns({f: (k * (7919 + 1009 * i) % (997 + 2 * i)) / F.lit(float(997 + 2 * i)) for i, f in enumerate(MANY)})
+    folder = shared_folder(spark)
+    s = L.tree_shap(L.fit_forest(x, MANY, "label", trees=5, depth=6), x, MANY, "id", f"{folder}/forest-{uuid.uuid4().hex}")
+    total = F.col("base") + F.aggregate("phi", F.lit(0.0), lambda a, v: a + v)
+    return s.agg(F.count("*").alias("rows"), (F.max(F.abs(total - F.col("prediction"))) < 1e-9).alias("additive"), F.max(F.size("phi")).alias("features"))
+
+
 @query("SELECT id, CASE WHEN score >= 0.6 THEN 'alert' WHEN score >= 0.4 THEN 'watch' ELSE 'none' END AS call FROM (SELECT c_custkey AS id, (c_custkey * 7919 % 1009) / 1009.0::DOUBLE AS score FROM customer)")
 def score_calls(spark, d):
     s = (F.col("id") * 7919 % 1009) / F.lit(1009.0)
