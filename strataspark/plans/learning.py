@@ -10,7 +10,7 @@ from strataspark.operators import metrics as M
 from strataspark.operators import models as L
 from strataspark.operators.raster import zone_table
 from strataspark.plans.registry import query, table
-from strataspark.plans.samples import points
+from strataspark.plans.samples import POINTS, points
 
 FEATURES = ["f1", "f2", "f3", "f4"]
 
@@ -94,6 +94,43 @@ def shap_additivity(spark, d):
     return s.agg(F.count("*").alias("rows"), (F.max(F.abs(total - F.col("prediction"))) < 1e-9).alias("additive"))
 
 
+#: Two protocols of two outer and two inner folds: by groups with a buffer of 600 m, and by numbers without. An inner fold holds whole groups, too.
+NESTED_SQL = f"""WITH {POINTS}, p AS (SELECT *, unnest(['spatial', 'random']) AS protocol FROM points), m AS (SELECT protocol, id, x, y, label, (("group" // 2) % 2)::INT AS inner_fold, o::INT AS outer_fold, CASE WHEN (CASE WHEN protocol = 'spatial' THEN "group" % 2 ELSE id % 2 END) = o THEN 'test' ELSE 'train' END AS role FROM p, (SELECT unnest([0, 1]) AS o)),
+k AS (SELECT *, CASE WHEN role = 'train' AND protocol = 'spatial' AND EXISTS (SELECT 1 FROM m t WHERE t.protocol = m.protocol AND t.outer_fold = m.outer_fold AND t.role = 'test' AND (t.x - m.x) * (t.x - m.x) + (t.y - m.y) * (t.y - m.y) <= 360000) THEN 'removed' ELSE role END AS kept FROM m)
+SELECT protocol, outer_fold, learner, count_if(kept = 'train')::BIGINT AS train, count_if(kept = 'removed')::BIGINT AS removed, count_if(kept = 'test')::BIGINT AS test, count_if(kept = 'test' AND label = 1)::BIGINT AS positives, count_if(kept = 'train')::BIGINT AS out_of_fold, true AS threshold_of_inner, 0::BIGINT AS faults
+FROM k, (SELECT unnest(['forest', 'boosted', 'linear']) AS learner) GROUP BY ALL"""
+
+
+@query(NESTED_SQL)
+def nested_spatial(spark, d):
+    """Per outer fold and learner: rows of each role, out-of-fold scores, whether the threshold is one of those, and faults of all the fold's splits."""
+    from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+
+    from strataspark.operators import folds as K
+    from strataspark.operators import nested as N
+
+    p = points(spark, d)
+    k = F.col("id")
+    angle = F.when(k % 9 == 0, -1.0).otherwise((k * 37 % 360).cast("double"))
+    x = p.select("*", F.when(k % 11 != 0, F.col("label") * 300 + k * 7919 % 1009).alias("u"), angle.alias("angle"), F.concat(F.lit("c"), (k % 3).cast("string")).alias("kind"), F.floor(F.col("x") / 30).alias("col"), F.floor(F.col("y") / 30).alias("row"))
+    splits = N.nested_splits(x, "id", [("spatial", F.col("group") % 2, 600.0), ("random", k % 2, 0.0)], 2, F.expr("`group` div 2") % 2, 2, 600.0)
+    learner = {
+        "forest": (lambda t, depth: RandomForestClassifier(labelCol="label", numTrees=3, maxDepth=depth, seed=42).fit(t), [{"depth": 2}, {"depth": 3}]),
+        "boosted": (lambda t, trees: GBTClassifier(labelCol="label", maxIter=trees, maxDepth=2, seed=42).fit(t), [{"trees": 2}]),
+        "linear": (lambda t, c: LogisticRegression(labelCol="label", regParam=c, maxIter=10).fit(t), [{"c": 0.1}]),
+    }
+    told, receipts = N.nested_spatial(splits, x, "id", "label", ["u"], ["angle"], ["kind"], learner, least=2)
+    one = splits.where("inner_fold = 0").groupBy("protocol", "outer_fold").agg(*(F.count_if(F.col("role") == r).alias(r) for r in ("train", "removed")))
+    scored = told.groupBy("protocol", "outer_fold", "learner").agg(F.count("*").alias("test"), F.sum("label").cast("long").alias("positives"))
+    # inner splits and the spatial outer ones: no group crosses, each class is there
+    facts = x.select("id", "label", "group", "row", "col", F.lit("").alias("event"))
+    grouped = splits.where("protocol = 'spatial' OR inner_fold > 0").select("protocol", F.col("outer_fold").alias("o"), F.col("split").alias("outer_fold"), "id", "role")
+    bad = K.split_faults(grouped.drop("protocol", "o"), facts, "id", "group", "event", "label", 2).select("outer_fold", (F.col("groups") + F.col("too_few").cast("int")).alias("n"))
+    faults = grouped.select("protocol", "o", "outer_fold").distinct().join(bad, "outer_fold").groupBy("protocol", F.col("o").alias("outer_fold")).agg(F.sum("n").alias("faults"))
+    out = receipts.join(one, ["protocol", "outer_fold"]).join(scored, ["protocol", "outer_fold", "learner"]).join(faults, ["protocol", "outer_fold"], "left")
+    return out.select("protocol", "outer_fold", "learner", "train", "removed", "test", "positives", F.col("n_oof").alias("out_of_fold"), F.col("origin_ok").alias("threshold_of_inner"), F.coalesce("faults", F.lit(0).cast("long")).alias("faults"))
+
+
 MANY = [f"g{i:02d}" for i in range(23)]
 
 

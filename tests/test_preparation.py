@@ -137,3 +137,22 @@ def test_inventory_of_folders_with_equal_file_names(spark, tmp_path):
     assert [tuple(r) for r in Src.inventory_faults(left, recorded.drop("product")).collect()] == [("p=1/part-0.txt", "missing")]
     assert lifecycle.verified_products(recorded, left).isEmpty()
     assert [r.name for r in Src.file_inventory(spark, str(tmp_path / "t" / "p=2" / "part-0.txt")).collect()] == ["part-0.txt"]
+
+
+def test_held_out_rows_change_nothing_that_nested_validation_fits(spark):
+    from pyspark.ml.classification import LogisticRegression
+
+    from strataspark.operators import nested as N
+
+    rng = np.random.default_rng(2)
+    rows = [(i, float(rng.uniform(0, 9000)), float(rng.uniform(0, 9000)), int(rng.random() < 0.4), float(rng.normal()), "ab"[int(rng.integers(2))]) for i in range(160)]
+    x = spark.createDataFrame([(*r[:4], r[4] + 2 * r[3], r[5]) for r in rows], "id long, x double, y double, label int, u double, kind string")
+    fold = (F.col("x") > 4500).cast("int")
+    splits = N.nested_splits(x, "id", [("spatial", fold, 300.0)], 2, (F.col("y") > 4500).cast("int"), 2, 300.0)
+    learners = {"linear": (lambda t, c: LogisticRegression(labelCol="label", regParam=c, maxIter=8).fit(t), [{"c": 0.1}, {"c": 2.0}])}
+    out = []
+    for data in (x, x.withColumns({"u": F.when(fold == 0, 1e4 - F.col("id")).otherwise(F.col("u")), "kind": F.when(fold == 0, "new").otherwise(F.col("kind"))})):
+        told, receipts = N.nested_spatial(splits, data, "id", "label", ["u"], [], ["kind"], learners, least=2)
+        assert receipts.where("not origin_ok").isEmpty() and told.count() == 160
+        out.append(tuple(receipts.where("outer_fold = 0").first()))
+    assert out[0] == out[1]  # the test rows of fold 0 differ, what was fitted doesn't
