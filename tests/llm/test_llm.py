@@ -541,7 +541,7 @@ def test_pipeline_equals_brute_force(spark):
 
 
 def test_all_queries_are_there():
-    assert [n for n in entries.queries() if n.startswith("op")] and {int(n[2:].split("_")[0]) for n in entries.queries() if n.startswith("op")} == set(range(1, 11))
+    assert [n for n in entries.queries() if n.startswith("op")] and {int(n[2:].split("_")[0]) for n in entries.queries() if n.startswith("op")} == set(range(1, 14))
     import __spark_entry__
 
     assert {*entries.queries(), "pipeline"} <= set(__spark_entry__.queries())
