@@ -32,10 +32,13 @@ def prediction_identity(df: DataFrame, key: str, score: str) -> DataFrame:
     return df.agg(F.count("*").alias("rows"), F.sum(row).cast("string").alias("sum"), F.bit_xor(F.xxhash64(key, score)).alias("xor")).select("rows", F.sha2(F.concat_ws(":", "rows", "sum", F.col("xor").cast("string")), 256).alias("identity"))
 
 
-def publish(df: DataFrame, path: str, faults=None) -> DataFrame:
+def publish(df: DataFrame, path: str, faults=None, inputs: tuple[str, DataFrame] | None = None) -> DataFrame:
     """Writes to a staging folder beside path, checks what was written, and renames it into place. An existing path is never replaced.
 
-    faults(written) gives rows for what is wrong; any stop the publication and remove the staging folder."""
+    faults(written) gives rows for what is wrong; any stop the publication and remove the staging folder. inputs, a folder and its recorded
+    inventory, are looked at again after writing: if a file was changed, added or taken away meanwhile, nothing is published."""
+    from strataspark.sources.tables import file_inventory, inventory_faults
+
     spark = df.sparkSession
     jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     target = jvm.org.apache.hadoop.fs.Path(path)
@@ -48,6 +51,8 @@ def publish(df: DataFrame, path: str, faults=None) -> DataFrame:
         written = spark.read.parquet(staging)
         if faults is not None and not (bad := faults(written)).isEmpty():
             raise ValueError(f"{path} not published: {bad.limit(5).collect()}")
+        if inputs is not None and not (moved := inventory_faults(file_inventory(spark, inputs[0]), inputs[1])).isEmpty():
+            raise ValueError(f"{path} not published, its inputs differ: {moved.limit(5).collect()}")
         if fs.exists(target) or not fs.rename(jvm.org.apache.hadoop.fs.Path(staging), target):
             raise FileExistsError(path)
     finally:

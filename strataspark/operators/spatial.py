@@ -194,19 +194,27 @@ def dispersion(points: DataFrame, size: float, nx: int, ny: int) -> DataFrame:
 def thin(points: DataFrame, r: float, draw: str = "id") -> DataFrame:
     """Points kept one by one in draw order if no point kept before is nearer than r: the same set as one task after another would keep.
 
-    Rounds: a point goes in when it is first among the undecided within r; its neighbours go out."""
-    p = points.select(F.col(draw).alias("id"), "x", "y")
-    a, b = _square(p, "x", "y", r), _around(p.select(F.col("id").alias("sid"), F.col("x").alias("sx"), F.col("y").alias("sy")), "sx", "sy", r)
-    pairs = cut(a.join(b, ["_gx", "_gy"]).where((F.col("id") != F.col("sid")) & (F.pow(F.col("x") - F.col("sx"), 2) + F.pow(F.col("y") - F.col("sy"), 2) < r * r)).select("id", "sid"))
-    undecided, kept = cut(p.select("id")), None
+    Rounds: a point goes in when it is first among the undecided within r; its neighbours go out. Each round looks for one such neighbour of a point in the squares around it, by a semi join, so
+    pairs are never written down; what is kept is written once, in the round that keeps it."""
+    undecided, kept = cut(points.select(F.col(draw).alias("id"), "x", "y")), []
+
+    def near(a: DataFrame, b: DataFrame, first: bool) -> DataFrame:
+        """Rows of a with a row of b within r, of an earlier draw if first."""
+        p, q = _square(a, "x", "y", r), _around(b.select(F.col("id").alias("sid"), F.col("x").alias("sx"), F.col("y").alias("sy")), "sx", "sy", r)
+        on = (p["_gx"] == q["_gx"]) & (p["_gy"] == q["_gy"]) & (F.pow(p["x"] - q["sx"], 2) + F.pow(p["y"] - q["sy"], 2) < r * r) & ((q["sid"] < p["id"]) if first else (q["sid"] != p["id"]))
+        return p.join(q, on, "left_semi").select("id")
+
     while not undecided.isEmpty():
-        live = pairs.join(undecided, "id", "left_semi").join(undecided.withColumnRenamed("id", "sid"), "sid", "left_semi")
-        blocked = live.where("sid < id").select("id").distinct()
-        now = cut(undecided.join(blocked, "id", "left_anti"))
-        kept = now if kept is None else cut(kept.union(now))
-        gone = pairs.join(now, "id", "left_semi").select(F.col("sid").alias("id")).distinct()
-        undecided = cut(undecided.join(now, "id", "left_anti").join(gone, "id", "left_anti"))
-    return points.join(kept, points[draw] == kept["id"], "left_semi") if kept is not None else points.limit(0)
+        now = cut(undecided.join(near(undecided, undecided, True), "id", "left_anti"))
+        kept.append(now)
+        left = undecided.join(now.select("id"), "id", "left_anti")
+        undecided = cut(left.join(near(left, now, False), "id", "left_anti"))
+    if not kept:
+        return points.limit(0)
+    ids = kept[0].select("id")
+    for more in kept[1:]:
+        ids = ids.union(more.select("id"))
+    return points.join(ids.withColumnRenamed("id", "_kept"), points[draw] == F.col("_kept"), "left_semi")
 
 
 def rejection_cascade(points: DataFrame, reasons: list[tuple[str, Column]]) -> DataFrame:

@@ -156,3 +156,15 @@ def test_held_out_rows_change_nothing_that_nested_validation_fits(spark):
         assert receipts.where("not origin_ok").isEmpty() and told.count() == 160
         out.append(tuple(receipts.where("outer_fold = 0").first()))
     assert out[0] == out[1]  # the test rows of fold 0 differ, what was fitted doesn't
+
+
+def test_publication_looks_at_its_inputs_again(spark, tmp_path):
+    source = str(tmp_path / "in")
+    spark.range(4).coalesce(1).write.parquet(source)
+    recorded = Src.file_inventory(spark, source).collect()
+    recorded = spark.createDataFrame(recorded, "name string, sha256 string, bytes long")
+    lifecycle.publish(spark.read.parquet(source), str(tmp_path / "a"), inputs=(source, recorded))
+    spark.range(1).coalesce(1).write.mode("append").parquet(source)
+    with pytest.raises(ValueError, match="inputs differ"):
+        lifecycle.publish(spark.range(4), str(tmp_path / "b"), inputs=(source, recorded))
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["a", "in"]
