@@ -162,7 +162,8 @@ def _suspects_by_range(held: DataFrame, ranges: int, max_log2: int) -> DataFrame
         log2 = max(min(MIN_LOG2, max_log2), int(8 * n).bit_length())
         parts = again.coalesce(min(MAX_BUILDERS, slots(held.sparkSession))).mapInArrow(_put_all(log2), "slice int, once binary, twice binary")
         rows = parts.groupBy("slice").applyInPandas(_merge, "slice int, twice binary").collect()  # at most 2**log2 bits
-        return _held_by(held, np.frombuffer(b"".join(r.twice for r in sorted(rows, key=lambda r: r["slice"])), np.uint8), log2)
+        twice = np.frombuffer(b"".join(r.twice for r in sorted(rows, key=lambda r: r["slice"])), np.uint8) if rows else np.zeros(1 << (log2 - 3), np.uint8)
+        return _held_by(held, twice, log2)
     each = held.mapInArrow(_hash_of, f"_id {dict(held.dtypes)['_id']}, digest binary, h long")
     return cut(each.join(again.hint("merge"), "h").select("_id", "digest"))
 
