@@ -168,3 +168,28 @@ def test_publication_looks_at_its_inputs_again(spark, tmp_path):
     with pytest.raises(ValueError, match="inputs differ"):
         lifecycle.publish(spark.range(4), str(tmp_path / "b"), inputs=(source, recorded))
     assert sorted(p.name for p in tmp_path.iterdir()) == ["a", "in"]
+
+
+def test_nested_validation_of_a_buffer_that_leaves_nothing(spark):
+    from pyspark.ml.classification import LogisticRegression
+
+    from strataspark.operators import nested as N
+
+    x = spark.range(80).selectExpr("id", "cast(id as double) AS x", "0d AS y", "cast(id % 3 = 0 as int) AS label", "id % 3 + id % 7 * 0.5d AS u", "'a' AS kind")
+    splits = N.nested_splits(x, "id", [("spatial", F.col("id") % 2, 500.0), ("random", F.col("id") % 2, 0.0)], 2, F.expr("id div 2") % 2, 2, 0.0)
+    learners = {"linear": (lambda t, c: LogisticRegression(labelCol="label", regParam=c, maxIter=5).fit(t), [{"c": 0.1}])}
+    told, receipts = N.nested_spatial(splits, x, "id", "label", ["u"], [], ["kind"], learners, least=2)
+    got = {(r.protocol, r.n_oof, r.threshold is None, r.candidate is None, r.origin_ok) for r in receipts.collect()}
+    assert got == {("spatial", 0, True, True, True), ("random", 40, False, False, True)}
+    assert {(r.protocol, r.n, r.k) for r in told.groupBy("protocol").agg(F.count("*").alias("n"), F.count("score").alias("k")).collect()} == {("spatial", 80, 0), ("random", 80, 80)}
+
+
+def test_neighbours_travel_in_small_pieces(spark, monkeypatch):
+    monkeypatch.setattr(P, "VISITS", 64)
+    monkeypatch.setattr(P, "SPREADS", 64)
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(600, 6))
+    got = P.vector_neighbours(spark.createDataFrame([(i, [float(a) for a in r]) for i, r in enumerate(v)], "id long, v array<double>"), 3).collect()
+    d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    assert len(got) == 1800 and all(r.nid == int(d[r.id].argsort()[r["rank"] - 1]) for r in got)
