@@ -1,4 +1,4 @@
-"""Prefix trie of conversations, with leaf counts and savings of whole subtrees by pointer jumping.
+"""Prefix trie of conversations, with leaf counts and savings of whole subtrees by sums along paths.
 
 1. A turn is a 32-byte digest and a number of words before anything is shuffled; texts never are.
 2. Turns are sorted by ranges of (conversation, turn), so a very long conversation is many tasks' work. A prefix is the sum of its
@@ -7,9 +7,9 @@
    range reach over its ends, so the driver sees two small rows a range.
 3. A rebuilt prefix is the head's sum plus the own turns' sum, moved by a power of BASE; no turn is moved or copied for it.
 4. Each distinct (depth, sum) is a node, keyed by a digest, with an edge to its parent's digest.
-5. Subtree sums: every node holds a pointer to its ancestor 2**k levels up and the sums over its descendants
-   nearer than that. A round adds to each node what the nodes pointing at it hold and doubles the pointers, so the deepest
-   conversation costs the logarithm of its turns in rounds. Nodes that very many point at are joined by broadcast of those few.
+5. Subtree sums: a node belongs to its smallest member, and a conversation's own nodes are the end of its path, since deeper nodes have
+   fewer members. So a node's subtree is what its members own at its depth or deeper: a running sum from the end of each
+   path, added up by node. That is one pass, whatever the depth.
 6. The members that end at a node are joined into text by ranges of their ids, many ids a row; the rows of one node are then fed to
    its SHA-256 in order, a stream that holds one row at a time.
 """
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, read, skew_join
@@ -29,7 +29,7 @@ from .common import cut, read, skew_join
 PRIME = 2**255 - 19
 BASE = int.from_bytes(hashlib.sha256(b"prefix trie").digest(), "big") % PRIME
 BACK = pow(BASE, -1, PRIME)
-GROUP, HEADS, IDS, MAX_ROUNDS = 20, 4, 4096, 62
+GROUP, HEADS, IDS = 20, 4, 4096
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -132,19 +132,19 @@ def rebuilt_turns(turns: DataFrame, convs: DataFrame) -> tuple[DataFrame, DataFr
     return rows, info.where("size = 0").select("conv_id", F.lit(ROOT).alias("key"))
 
 
-def subtree_sums(nodes: DataFrame, values: list[str]) -> DataFrame:
-    """(key, *values) of nodes (key, parent, *values): each value summed over the node's subtree, by pointer jumping."""
-    state = cut(nodes.select("key", F.col("parent").alias("up"), *values))
-    for _ in range(MAX_ROUNDS):
-        points = cut(state.where(F.col("up").isNotNull()).groupBy("up").agg(*(F.sum(v).alias(f"_{v}") for v in values), F.count("*").alias("_n")))
-        pointing = points.agg(F.sum("_n")).first()[0] or 0
-        if not pointing:
-            return state.select("key", *values)
-        summed = state.join(points.withColumnRenamed("up", "key"), "key", "left").select("key", "up", *((F.col(v) + F.coalesce(f"_{v}", F.lit(0))).alias(v) for v in values))
-        ups = points.select("up", "_n").join(state.select(F.col("key").alias("up"), F.col("up").alias("_next")), "up")
-        moved = skew_join(summed.where(F.col("up").isNotNull()), ups, "up", "_n", pointing)
-        state = cut(moved.select("key", F.col("_next").alias("up"), *values).unionByName(summed.where(F.col("up").isNull())))
-    raise RuntimeError("the edges are no forest")
+def subtree_sums(rows: DataFrame, owned: DataFrame, values: list[str]) -> DataFrame:
+    """(key, *values): each value summed over the node's subtree. rows are (conv_id, depth, key), owned the nodes as (conv_id, depth, *values) with their smallest member.
+
+    Paths are cut into ranges, each summed by windows; at most one conversation a range goes on in the next, so what is brought over is a row a range."""
+    x = rows.select("conv_id", "depth", "key").join(owned, ["conv_id", "depth"], "left").na.fill(0, values)
+    x = cut(x.repartitionByRange("conv_id", "depth").withColumn("_part", F.spark_partition_id()))
+    inside = Window.partitionBy("conv_id", "_part").orderBy(F.desc("depth")).rowsBetween(Window.unboundedPreceding, 0)
+    later = Window.partitionBy("conv_id").orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    parts = x.groupBy("conv_id", "_part").agg(*(F.sum(v).alias(v) for v in values))
+    brought = parts.select("conv_id", "_part", *(F.sum(v).over(later).alias(f"_{v}") for v in values)).where(F.col(f"_{values[0]}").isNotNull())
+    told = x.select("conv_id", "_part", "key", *(F.sum(v).over(inside).alias(v) for v in values)).join(F.broadcast(brought), ["conv_id", "_part"], "left")
+    whole = owned.agg(*(F.sum(v).alias(v) for v in values)).select(F.lit(ROOT).alias("key"), *values)
+    return told.groupBy("key").agg(*(F.sum(F.col(v) + F.coalesce(f"_{v}", F.lit(0))).alias(v) for v in values)).unionByName(whole)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,8 +209,8 @@ def prefix_trie(df: DataFrame) -> DataFrame:
     nodes = cut(root.unionByName(deeper))
     children = nodes.where(F.col("parent").isNotNull()).groupBy("parent").agg(F.count("*").alias("n_children"))
     known = cut(nodes.join(children.withColumnRenamed("parent", "key"), "key", "left").withColumn("n_children", F.coalesce("n_children", F.lit(0).cast("long"))))
-    own = known.select("key", "parent", (F.col("n_children") == 0).cast("long").alias("n_leaves"), ((F.col("n_convs") - 1) * F.col("words")).alias("saved_tokens"))
-    sums = subtree_sums(own, ["n_leaves", "saved_tokens"])
+    own = known.select("conv_id", "depth", (F.col("n_children") == 0).cast("long").alias("n_leaves"), ((F.col("n_convs") - 1) * F.col("words")).alias("saved_tokens"))
+    sums = subtree_sums(rows, own, ["n_leaves", "saved_tokens"])
     ends = ends_digests(rows.where("ends").select("key", "conv_id").unionByName(none))
     parents = known.where("n_children > 0").select(F.col("key").alias("parent"), F.col("conv_id").alias("parent_conv_id"), F.col("n_children").alias("_n"))
     named = skew_join(known.where(F.col("parent").isNotNull()), parents, "parent", "_n", nodes.count()).drop("_n").unionByName(known.where(F.col("parent").isNull()).withColumn("parent_conv_id", F.lit(None).cast("long")))

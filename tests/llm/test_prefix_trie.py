@@ -80,3 +80,17 @@ def test_empty_tables(spark):
     assert op.prefix_trie(spark.createDataFrame([], schema)).collect() == []
     assert op.prefix_trie(spark.createDataFrame([(None, 1, "a", "b")], schema)).collect() == []
     check(spark, [(21, 0, None, None)])
+
+
+def test_no_rounds_by_depth(spark):
+    # sums of subtrees took a round of joins for each doubling of the depth, each with plans that the driver kept
+    def stages(turns):
+        tracker, group = spark.sparkContext.statusTracker(), f"depth {turns}"
+        spark.sparkContext.setJobGroup(group, group)
+        rows = [(c, t, "user", f"w{t} x") for c in (7, 27) for t in range(turns + c)]
+        op.prefix_trie(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(2)).collect()
+        spark.sparkContext.setJobGroup("", "")
+        return len(tracker.getJobIdsForGroup(group))
+
+    few, many = stages(4), stages(400)
+    assert many <= few + 6
