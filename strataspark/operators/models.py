@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from math import factorial
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -13,9 +15,24 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataspark.checkpoints import cut
 from strataspark.functions.columns import key_hash
 from strataspark.operators import metrics as M
 
+#: Rows for each task that learns. A small file of numbers has few splits and many rows.
+TASK_ROWS = 1 << 16
+#: Fits of a search that run at once.
+FITS = 4
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df in tasks of about TASK_ROWS rows by a hash of a key, each in the key's order; as it is if it fills one task only.
+
+    What a learner draws by task and place then depends on the rows, not on how files are split."""
+    tasks = -(-df.count() // TASK_ROWS)
+    return df.repartition(tasks, key).sortWithinPartitions(key) if tasks > 1 else df
+
+
 def vectors(df: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="features").transform(df)
 
@@ -178,18 +195,29 @@ def shap_ranking(shap: DataFrame, features: list[str]) -> DataFrame:
     return one.unpivot([], features, "feature", "mean_abs").orderBy(F.desc("mean_abs"), "feature")
 
 
+def at_once(df: DataFrame, work, over: list, jobs: int = FITS) -> list:
+    """work of each of over, several at a time: the driver plans one's jobs while the others' run."""
+    with ThreadPoolExecutor(jobs) as pool:
+        return list(pool.map(inheritable_thread_target(df.sparkSession)(work), over))
+
+
+def told_by(model, df: DataFrame) -> DataFrame:
+    return model.transform(df) if isinstance(model, KernelMachine) else score(model, df)
+
+
 def grid_search(df: DataFrame, fold: Column, folds: int, candidates: list[dict], fit, label: str, prepare=None) -> DataFrame:
     """(candidate, mean_auc, sd): each candidate's AUC over folds. fit(train, **candidate) gives something with transform or a model for score().
 
-    prepare, say over-sampling, sees a fold's training rows only."""
-    x, rows = df.withColumn("_fold", fold), []
-    for k, c in enumerate(candidates):
-        for f in range(folds):
-            train = x.where(F.col("_fold") != f).drop("_fold")
-            model = fit(prepare(train) if prepare else train, **c)
-            held = x.where(F.col("_fold") == f).drop("_fold")
-            told = model.transform(held) if isinstance(model, KernelMachine) else score(model, held)
-            rows.append((k, f, M.auc(told, "score", label).first().auc))
+    prepare, say over-sampling, sees a fold's training rows only. Fits run several at a time."""
+    x = df.withColumn("_fold", fold)
+
+    def tried(at: tuple[int, int]) -> tuple:
+        k, f = at
+        train = x.where(F.col("_fold") != f).drop("_fold")
+        told = cut(told_by(fit(prepare(train) if prepare else train, **candidates[k]), x.where(F.col("_fold") == f).drop("_fold")).select(label, "score"))
+        return k, f, M.auc(told, "score", label).first().auc
+
+    rows = at_once(df, tried, [(k, f) for k in range(len(candidates)) for f in range(folds)])
     out = df.sparkSession.createDataFrame(rows, "candidate int, fold int, auc double")
     return out.groupBy("candidate").agg(F.avg("auc").alias("mean_auc"), F.stddev_pop("auc").alias("sd")).orderBy(F.desc("mean_auc"), "candidate")
 
@@ -197,18 +225,36 @@ def grid_search(df: DataFrame, fold: Column, folds: int, candidates: list[dict],
 def nested_fit(df: DataFrame, outer: int, inner: int, key: str, candidates: list[dict], fit, label: str) -> DataFrame:
     """(outer_fold, key, label, score, prediction, threshold): tuned on inner folds, threshold from their out-of-fold scores, refitted, scored outside.
 
-    df has fold (outer) and inner columns."""
-    out = None
-    for o in range(outer):
-        train, test = df.where(F.col("fold") != o), df.where(F.col("fold") == o)
-        best = candidates[grid_search(train, F.col("inner"), inner, candidates, fit, label).first().candidate]
+    df has fold (outer) and inner columns. Every candidate is fitted once on each inner fold; its scores there, stored, give both its AUC and, if it is the best, the threshold.
+    Rows are dealt out to tasks once and kept while models are fitted; fits run several at a time."""
+    x = spread(df, key).persist()
+
+    def tried(at: tuple[int, int, int]) -> tuple[float | None, DataFrame]:
+        o, k, i = at
+        train = x.where(F.col("fold") != o)
+        told = cut(told_by(fit(train.where(F.col("inner") != i), **candidates[k]), train.where(F.col("inner") == i)).select(key, label, "score"))
+        return M.auc(told, "score", label).first().auc, told
+
+    def finished(o: int) -> DataFrame:
+        known = [[a for i in range(inner) if (a := done[o, k, i][0]) is not None] for k in range(len(candidates))]
+        best = max(range(len(candidates)), key=lambda k: (sum(known[k]) / len(known[k]) if known[k] else -1.0, -k))
         held = None
         for i in range(inner):
-            part = score(fit(train.where(F.col("inner") != i), **best), train.where(F.col("inner") == i)).select(key, label, "score").withColumn("origin", F.lit("inner_validation"))
+            part = done[o, best, i][1].withColumn("origin", F.lit("inner_validation"))
             held = part if held is None else held.unionByName(part)
         threshold = M.youden_out_of_fold(held, "score", label, key, "origin", "inner_validation").first().threshold
-        told = score(fit(train, **best), test).select(F.lit(o).alias("outer_fold"), key, label, "score", (F.col("score") >= threshold).cast("int").alias("prediction"), F.lit(threshold).alias("threshold"))
-        out = told if out is None else out.unionByName(told)
+        told = told_by(fit(x.where(F.col("fold") != o), **candidates[best]), df.where(F.col("fold") == o))
+        return told.select(F.lit(o).alias("outer_fold"), key, label, "score", (F.col("score") >= threshold).cast("int").alias("prediction"), F.lit(threshold).alias("threshold"))
+
+    try:
+        tries = [(o, k, i) for o in range(outer) for k in range(len(candidates)) for i in range(inner)]
+        done = dict(zip(tries, at_once(df, tried, tries), strict=True))
+        parts = at_once(df, finished, list(range(outer)))
+    finally:
+        x.unpersist()
+    out = parts[0]
+    for told in parts[1:]:
+        out = out.unionByName(told)
     return out
 
 
