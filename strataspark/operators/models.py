@@ -49,12 +49,19 @@ def fit_boosted(df: DataFrame, features: list[str], label: str, trees: int = 20,
     return PipelineModel([assembler, GBTClassifier(labelCol=label, maxIter=trees, maxDepth=depth, seed=seed).fit(assembler.transform(df))])
 
 
-def fourier(df: DataFrame, features: list[str], dims: int, gamma: float, seed: int) -> DataFrame:
-    """Random Fourier features of an RBF kernel exp(-gamma |x - y|**2), as expressions."""
+def fourier(features: list[str], dims: int, gamma: float, seed: int, along: tuple[list[float], float] | None = None) -> Column:
+    """Random Fourier features of an RBF kernel exp(-gamma |x - y|**2), as an array; or with along, (coefficients, intercept), the number that a linear machine gives them.
+
+    Made by the batch, and once for each row wherever the column is used or filtered."""
     rng = np.random.default_rng(seed)
     w, b = rng.normal(0, np.sqrt(2 * gamma), (dims, len(features))), rng.uniform(0, 2 * np.pi, dims)
-    parts = [F.cos(sum((F.col(f) * float(w[k, i]) for i, f in enumerate(features)), F.lit(float(b[k])))) * float(np.sqrt(2 / dims)) for k in range(dims)]
-    return df.withColumn("features", array_to_vector(F.array(*parts)))
+
+    def run(*columns: pd.Series) -> pd.Series:
+        z = np.cos(np.stack([c.to_numpy(float) for c in columns], axis=1) @ w.T + b) * np.sqrt(2 / dims)
+        return pd.Series(list(z)) if along is None else pd.Series(z @ np.asarray(along[0]) + along[1])
+
+    told = F.pandas_udf(run, "array<double>" if along is None else "double").asNondeterministic()
+    return told(*[F.col(f).cast("double") for f in features])
 
 
 class KernelMachine:
@@ -63,18 +70,26 @@ class KernelMachine:
     def __init__(self, features: list[str], dims: int = 32, gamma: float = 0.5, c: float = 1.0, seed: int = 42):
         self.features, self.dims, self.gamma, self.c, self.seed = features, dims, gamma, c, seed
 
+    def _margin(self) -> Column:
+        return fourier(self.features, self.dims, self.gamma, self.seed, (self.machine.coefficients.toArray().tolist(), float(self.machine.intercept)))
+
     def fit(self, df: DataFrame, label: str) -> KernelMachine:
-        x = fourier(df, self.features, self.dims, self.gamma, self.seed)
-        self.machine = LinearSVC(labelCol=label, regParam=1 / (self.c * max(1, df.count())), maxIter=30).fit(x)
-        margins = self.machine.transform(x).select(label, array_to_vector(F.array(vector_to_array("rawPrediction")[1])).alias("margin"))
-        self.scale = LogisticRegression(featuresCol="margin", labelCol=label, rawPredictionCol="r", probabilityCol="p", predictionCol="q").fit(margins)
+        """Rows are dealt out in tasks of TASK_ROWS once. They stay as features and label; what is made of them is made by each pass."""
+        rows = df.select(*self.features, label)
+        n = rows.count()
+        rows = rows.repartition(max(1, -(-n // TASK_ROWS))).persist()
+        try:
+            x = rows.select(label, array_to_vector(fourier(self.features, self.dims, self.gamma, self.seed)).alias("features"))
+            self.machine = LinearSVC(labelCol=label, regParam=1 / (self.c * max(1, n)), maxIter=30).fit(x)
+            margins = rows.select(label, array_to_vector(F.array(self._margin())).alias("margin"))
+            self.scale = LogisticRegression(featuresCol="margin", labelCol=label, rawPredictionCol="r", probabilityCol="p", predictionCol="q").fit(margins)
+        finally:
+            rows.unpersist()
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
-        out = self.machine.transform(fourier(df, self.features, self.dims, self.gamma, self.seed))
-        margin = vector_to_array("rawPrediction")[1]
-        p = 1 / (1 + F.exp(-(margin * float(self.scale.coefficients[0]) + float(self.scale.intercept))))
-        return out.select(*df.columns, margin.alias("margin"), p.alias("score"))
+        p = 1 / (1 + F.exp(-(F.col("margin") * float(self.scale.coefficients[0]) + float(self.scale.intercept))))
+        return df.select("*", self._margin().alias("margin")).select(*df.columns, "margin", p.alias("score"))
 
 
 def score(model: Transformer, df: DataFrame) -> DataFrame:
