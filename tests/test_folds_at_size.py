@@ -1,8 +1,11 @@
-"""Fold preparation at size: medians by enclosing quantiles, folds joined once."""
+"""Fold preparation at size: medians by enclosing quantiles, folds joined once, rounding without decimals."""
+
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from strataspark.functions import columns as C
 from strataspark.operators import prep as P
 
 
@@ -29,3 +32,11 @@ def test_folds_are_joined_with_the_rows_once(spark):
     assert "Range (" not in plan and "role" in plan
     got = {(r.fold, r.id): r.features for r in rows.collect()}
     assert len(got) == 120 and set(got[0, 0]) == {"u", "kind=c1", "kind=c2"}
+
+
+def test_fast_rounding_is_rounding(spark):
+    rng = random.Random(7)
+    v = [0.0, -0.0, 1.00005, -1.00005, 2.675, 1e300, -1e15, 0.00005, -0.00004, float("nan"), float("inf"), None, 12345.67895, 0.49999999] + [rng.uniform(-10, 10) for _ in range(4000)] + [rng.randrange(-(10**6), 10**6) / 2e4 for _ in range(4000)]
+    x = spark.createDataFrame([(i, a) for i, a in enumerate(v)], "i int, v double").select("i", C.rnd("v", 4).alias("a"), C.rnd_fast("v", 4).alias("b"))
+    assert x.where("NOT (a <=> b)").count() == 0
+    assert all(str(r.a) == str(r.b) for r in x.collect())
