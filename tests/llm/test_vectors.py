@@ -1,5 +1,8 @@
 """op1's recall and how much it verifies, with production parameters, in 64 dimensions."""
 
+import os
+from pathlib import Path
+
 import numpy as np
 import pytest
 
@@ -73,3 +76,31 @@ def test_op2_prunes_nothing_that_reaches_theta():
     theta = np.concatenate([np.sort(products[:30])[:, -5], [0.0]])
     keep = op2.survivors(q, theta, v, norms, v / np.where(norms > 0, norms, 1)[:, None])
     assert keep[products >= theta[:, None]].all() and keep[:30].mean() < 0.5
+
+
+def test_op1_in_small_pieces_finds_the_same(spark, clouds, monkeypatch):
+    t = table(spark, np.repeat(clouds["far"][:900], 2, axis=0))
+    run = lambda: sorted(map(tuple, op1.search_ann(t, t.where("vec_id % 20 = 0"), leaf=16, sample=900).collect()))
+    whole = run()
+    for name, n in (("AT_ONCE", 50), ("DEALT", 200), ("SUMMED", 7), ("QUERY_BLOCK", 9)):
+        monkeypatch.setattr(op1, name, n)
+    assert run() == whole and len(whole) == 90 * 20
+
+
+def test_op1_deals_queries_out_in_pieces(spark, clouds):
+    """Each query goes to most of 512 leaves: as one batch its copies would take 500 MB."""
+    t = table(spark, clouds["far"][:5000])
+
+    def workers():
+        for p in os.listdir("/proc"):
+            try:
+                if p.isdigit() and b"pyspark" in Path(f"/proc/{p}/cmdline").read_bytes() and b"daemon" in Path(f"/proc/{p}/cmdline").read_bytes():
+                    yield Path(f"/proc/{p}")
+            except OSError:
+                pass
+
+    for p in workers():  # from now on the peak counts anew
+        (p / "clear_refs").write_text("5")
+    assert op1.search_ann(t, t.where("vec_id % 5 < 2").coalesce(1), leaf=8, sample=5000).count() == 2000 * 20
+    peaks = [int(line.split()[1]) / 1024 for p in workers() for line in (p / "status").read_text().splitlines() if line.startswith("VmHWM")]
+    assert peaks and max(peaks) < 450, peaks
