@@ -193,3 +193,31 @@ def test_neighbours_travel_in_small_pieces(spark, monkeypatch):
     d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(2))
     np.fill_diagonal(d, np.inf)
     assert len(got) == 1800 and all(r.nid == int(d[r.id].argsort()[r["rank"] - 1]) for r in got)
+
+
+def test_neighbours_without_structure_travel_to_packs_not_to_cells(spark, monkeypatch):
+    monkeypatch.setattr(P, "PIVOT_ROWS", 8)
+    monkeypatch.setattr(P, "BLOCK", 250)
+    sc = spark.sparkContext
+    store, none = sc._jsc.sc().statusStore(), sc._gateway.new_array(sc._gateway.jvm.double, 0)
+
+    def written():
+        stages = store.stageList(None, False, False, none, sc._gateway.jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    v = np.random.default_rng(6).normal(size=(1000, 24))
+    before = written()
+    rows = [(i, [float(a) for a in r]) for i, r in enumerate(v)]
+    got = P.vector_neighbours(spark.createDataFrame(rows, "id long, v array<double>"), 3).collect()
+    told = {i: [(r.nid, round(r.dist, 9)) for r in sorted(got, key=lambda r: r["rank"]) if r.id == i] for i in range(0, 1000, 50)}
+    want = brute(rows, 3)
+    assert len(got) == 3000 and all(told[i] == want[i] for i in told)
+    assert written() - before < 40_000  # each row meets most of 125 cells
+
+
+def test_packs_hold_every_pivot_once():
+    x = np.random.default_rng(2).normal(size=(90, 3))
+    rows = np.r_[np.full(88, 10), 500, 0]
+    packs = P._packs(x, rows, 60)
+    assert sorted(np.concatenate(packs)) == list(range(90)) and all(len(p) == 1 or rows[p].sum() <= 60 for p in packs) and len(packs) < 40
+    assert len(P._packs(np.zeros((5, 2)), np.full(5, 3), 6)) == 3
